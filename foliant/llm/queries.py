@@ -9,7 +9,51 @@ from pyspark.sql import functions as F
 
 from foliant.session import table
 
-from . import leaks, split, tokens
+from . import langid, leaks, split, tokens
+
+
+def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its languages and segments."""
+    model, temperature = _language_model(spark, folder)
+    return langid.label_documents(table(spark, folder, "documents"), model, temperature)
+
+
+def p1_books(spark: SparkSession, folder: str) -> DataFrame:
+    """Every book that has text, with its languages."""
+    model, temperature = _language_model(spark, folder)
+    return langid.label_books(_book_parts(spark, folder, model), temperature)
+
+
+def _language_model(spark: SparkSession, folder: str) -> tuple[langid.Classifier, float]:
+    return langid.train(table(spark, folder, "lang_samples"), table(spark, folder, "documents"))
+
+
+def _book_parts(spark: SparkSession, folder: str, model: langid.Classifier) -> DataFrame:
+    return (
+        langid.score_parts(table(spark, folder, "chapters"), model, True, "idx")
+        .unionByName(langid.score_parts(table(spark, folder, "srt_entries"), model, False))
+        .unionByName(langid.score_parts(table(spark, folder, "verified_texts"), model, False))
+    )
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose label is missing or wrong, and the languages of mixed ones."""
+    model, temperature = _language_model(spark, folder)
+    books = langid.label_books(_book_parts(spark, folder, model), temperature)
+    labels = table(spark, folder, "books").select("book_id", F.lit("book").alias("kind"), F.col("book_id").alias("record_id"), F.col("language").alias("label"))
+    options = table(spark, folder, "job_options").select("book_id", F.lit("options").alias("kind"), F.col("job_id").alias("record_id"), F.col("source_lang").alias("label"))
+    judged = labels.unionByName(options).join(books, "book_id").select("kind", "record_id", "label", "languages")
+    documents = langid.label_documents(table(spark, folder, "documents"), model, temperature).select(
+        F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("record_id"), "label", F.col("languages.lang").alias("languages")
+    )
+    code = langid.label_code(F.col("label"))
+    mixed = F.size("languages") > 1
+    named = F.coalesce(F.array_contains("languages", code), F.lit(False))
+    case = F.when(mixed & (F.col("kind") != "options"), True).otherwise(~named)
+    return (
+        judged.unionByName(documents).where("record_id is not null").where(case)
+        .select("kind", "record_id", F.explode("languages").alias("lang")).distinct()
+    )
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
