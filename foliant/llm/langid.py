@@ -131,9 +131,8 @@ class Classifier:
         self.slots = np.full(SLOTS, -1, np.int32)
         self.slots[_slot(vocabulary)] = np.arange(len(vocabulary), dtype=np.int32)
         a = self._presence(marks)
-        x = self._presence([t for _, t in rows])
-        na, nx = np.sqrt(np.maximum(a.sum(1), 1)), np.sqrt(np.maximum(x.sum(1), 1))
-        k_mm, k_nm = (a @ a.T) / np.outer(na, na), (x @ a.T) / np.outer(nx, na)
+        na = np.sqrt(np.maximum(a.sum(1, dtype=np.float32), 1))
+        k_mm, k_nm = self._kernel(marks, a, na), self._kernel([t for _, t in rows], a, na)
         value, vector = np.linalg.eigh(k_mm)
         good = value > 1e-6
         root = vector[:, good] / np.sqrt(value[good])
@@ -142,13 +141,28 @@ class Classifier:
         phi1 = np.hstack([phi, np.ones((len(phi), 1))])
         w = np.linalg.solve(phi1.T @ phi1 + ridge * np.eye(phi1.shape[1]), phi1.T @ y)
         self.bias = w[-1].astype(np.float32)
-        self.weights = ((a / na[:, None]).T @ (root @ w[:-1])).astype(np.float32)  # A' W
+        dual = ((root @ w[:-1]) / na[:, None]).astype(np.float32)
+        self.weights = np.zeros((len(self.keys), len(LANGUAGES)), np.float32)  # A' W
+        for k in range(0, len(a), 128):
+            self.weights += a[k : k + 128].T.astype(np.float32) @ dual[k : k + 128]
+
+    def _kernel(self, texts: list[str], a: np.ndarray, na: np.ndarray) -> np.ndarray:
+        """(texts x landmarks), in blocks."""
+        out = np.empty((len(texts), len(a)), np.float32)
+        for i in range(0, len(texts), 128):
+            x = self._presence(texts[i : i + 128]).astype(np.float32)
+            nx = np.sqrt(np.maximum(x.sum(1), 1))
+            for j in range(0, len(a), 128):
+                out[i : i + 128, j : j + 128] = (x @ a[j : j + 128].T.astype(np.float32)) / np.outer(nx, na[j : j + 128])
+        return out
 
     def _presence(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.keys)), np.float32)
-        cp = codes(texts)
-        for seg, ids in self._present(cp, np.cumsum(cp == SEP, dtype=np.int32), len(texts)):
-            out[seg, ids] = 1
+        out = np.zeros((len(texts), len(self.keys)), np.uint8)
+        for k in range(0, len(texts), 64):
+            part = texts[k : k + 64]
+            cp = codes(part)
+            for seg, ids in self._present(cp, np.cumsum(cp == SEP, dtype=np.int32), len(part)):
+                out[k + seg, ids] = 1
         return out
 
     def _present(self, cp: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
