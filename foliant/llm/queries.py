@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import table
 
-from . import langid, leaks, split, tokens
+from . import garble, langid, leaks, split, tokens
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +64,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(p3_pieces(spark, folder))
 
 
+def _garbled(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    models, margin = garble.train(table(spark, folder, "lang_samples"), table(spark, folder, "documents"))
+    text = "content" if name == "chapters" else "text"
+    return garble.find_garbled(table(spark, folder, name), ["book_id", "idx"], text, models, margin)
+
+
+def p4_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters with wrongly decoded characters, and their text as far as it can be restored."""
+    return _garbled(spark, folder, "chapters").where("garbled")
+
+
+def p4_cues(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder, "srt_entries").where("garbled")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    models, margin = garble.train(table(spark, folder, "lang_samples"), table(spark, folder, "documents"))
+    parts = [
+        garble.find_garbled(table(spark, folder, name), ["book_id", "idx"], text, models, margin).where("garbled").select(F.lit(kind).alias("kind"), "book_id", "idx")
+        for kind, name, text in (("chapter", "chapters", "content"), ("cue", "srt_entries", "text"))
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
