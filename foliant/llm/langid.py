@@ -283,11 +283,9 @@ def train(samples: DataFrame, documents: DataFrame | None = None, max_samples: i
     Bounds: max_samples samples and max_documents documents, by the order of a hash of their text. The temperature is
     the one of TEMPERATURES under which the samples are likeliest by a model that did not see them.
     """
-    rows = [
-        (r[0], r[1])
-        for r in samples.select(label_code(F.col("lang")).alias("lang"), "text").where("lang is not null and text is not null")
-        .orderBy(F.xxhash64("text"), "text").limit(max_samples).collect()
-    ]
+    from .sampling import labelled
+
+    rows = labelled(samples, max_samples)
     if not rows:
         raise ValueError("no labelled samples")
     rows.sort(key=lambda r: (hash_text(r[1]), r))
@@ -304,10 +302,7 @@ def train(samples: DataFrame, documents: DataFrame | None = None, max_samples: i
     model = Classifier(rows)
     if documents is None:
         return model, temperature
-    known = (
-        documents.select(label_code(F.col("lang")).alias("lang"), "text").where("lang is not null and length(text) > 100")
-        .orderBy(F.xxhash64("text"), "text").limit(max_documents).collect()
-    )
+    known = labelled(documents, max_documents, 100)
     more: dict[str, list[str]] = {}
     for lang, text in known:
         sentences = [s for s in SENTENCE.split(text) if len(s) > 12]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import table
 
-from . import garble, langid, leaks, split, tokens
+from . import garble, langid, leaks, pairs, split, tokens
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +56,30 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_glossary(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective glossary entries."""
+    model, _ = _language_model(spark, folder)
+    return pairs.short_defects(pairs.short_features(table(spark, folder, "glossary"), table(spark, folder, "job_options"), model))
+
+
+def p2_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective answers to chapters."""
+    model, _ = _language_model(spark, folder)
+    return pairs.long_defects(*(table(spark, folder, t) for t in ("chapters", "job_options", "checkpoints")), model)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    model, _ = _language_model(spark, folder)
+    jobs = table(spark, folder, "job_options")
+    short = pairs.short_defects(pairs.short_features(table(spark, folder, "glossary"), jobs, model))
+    long = pairs.long_defects(table(spark, folder, "chapters"), jobs, table(spark, folder, "checkpoints"), model)
+    return (
+        short.select(F.lit("glossary").alias("kind"), F.col("entry_id").cast("string").alias("record_id"), "defect")
+        .unionByName(long.select(F.lit("chapter").alias("kind"), F.concat_ws("#", "job_id", F.col("idx").cast("string")).alias("record_id"), "defect"))
+        .distinct()
+    )
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_chapters(table(spark, folder, "chapters"), table(spark, folder, "job_options"))
 
