@@ -78,16 +78,17 @@ def template(term: str, response: str) -> tuple[str, str, bool]:
     key, out = fold(term), fold(response)
     if not name:
         return key, out, False
-    key = key.replace(name, "@")
-    if name in out:
-        return key, out.replace(name, "@"), False
+    whole = re.compile(f"(?<![a-z]){name}(?![a-z])")
+    key = whole.sub("@", key)
+    if whole.search(out):
+        return key, whole.sub("@", out), False
     for n in range(len(name) - 1, 1, -1):
-        if out.endswith(name[:n]):
+        if out.endswith(name[:n]) and not out[-n - 1 : -n].isalpha():
             return key, out[:-n].rstrip(), True
     return key, out, False
 
 
-SHORT = "entry_id long, target string, source string, key string, phrase string, empty boolean, refusal boolean, copy boolean, kernel_lang string, kernel_lead double"
+SHORT = "entry_id long, target string, source string, key string, phrase string, empty boolean, refusal boolean, copy boolean, proper boolean, kernel_lang string, kernel_lead double"
 
 
 def short_features(glossary: DataFrame, jobs: DataFrame, model: langid.Classifier) -> DataFrame:
@@ -110,6 +111,7 @@ def short_features(glossary: DataFrame, jobs: DataFrame, model: langid.Classifie
                 "empty": [is_empty(r) for r in response],
                 "refusal": [bool(r and REFUSAL.search(r)) for r in response],
                 "copy": [bool(r) and letters_of(r) != "" and letters_of(r) == letters_of(t) for t, r in zip(b["term"], response, strict=True)],
+                "proper": [all(w[:1].isupper() and w.isascii() for w in t.split()) for t in b["term"]],
                 "kernel_lang": [langid.LANGUAGES[k] for k in sc.argmax(1)],
                 "kernel_lead": np.where(letters >= 3, lead, 0.0).astype(float),
             })
@@ -144,7 +146,7 @@ HOME_LEAST, HOME_SHARE = 3, 0.15
 def short_defects(features: DataFrame) -> DataFrame:
     """(entry_id, defect) of defective short responses, from short_features.
 
-    In order: empty, refusal, copy (unless most responses to that prompt, over all languages, repeat it: a name),
+    In order: empty, refusal, copy (but for names: capitalised words that most responses, over all languages, repeat),
     other_language (the phrase is at home in another language), truncated. Ties between usual phrases go to the one that
     sorts last, so that a shortened version never wins over its continuation.
     """
@@ -180,7 +182,7 @@ def short_defects(features: DataFrame) -> DataFrame:
     defect = (
         F.when(F.col("empty"), "empty")
         .when(F.col("refusal"), "refusal")
-        .when(F.col("copy") & ((F.col("copied") <= 0.5) | F.col("key").contains(" ")), "copy")
+        .when(F.col("copy") & ~(F.col("proper") & (F.col("copied") > 0.5)), "copy")
         .when(F.col("copy"), None)
         .when(cut & no_name, "truncated")
         .when(foreign, "other_language")
