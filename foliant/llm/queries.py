@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import table
 
-from . import garble, langid, leaks, pairs, split, tokens
+from . import garble, langid, leaks, pairs, split, tokens, toxic
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +124,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where(F.col("exact_tokens") * 3 >= F.col("item_tokens")).select("doc_id", "item_id").distinct()
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document that holds an entry of the lexicon; all others have none."""
+    return toxic.score_documents(*(table(spark, folder, t) for t in ("documents", "lexicon", "labels")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic.cases(p8_scores(spark, folder))
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of each source's documents, by category."""
+    return toxic.source_rates(table(spark, folder, "documents"), p8_scores(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
