@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.session import table
 
-from . import garble, langid, leaks, pairs, split, tokens, toxic
+from . import garble, langid, leaks, pairs, scan, split, tokens, toxic
 
 
 def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +112,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def p5_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scanned block, repaired, with what it held."""
+    return scan.clean_blocks(table(spark, folder, "verified_texts"), table(spark, folder, "books"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.noise_of(p5_blocks(spark, folder))
+
+
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean paragraphs of each book, in reading order of where they begin."""
+    return scan.paragraphs(p5_blocks(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
