@@ -43,6 +43,8 @@ REFUSAL = re.compile("|".join(REFUSALS), re.I | re.S)
 #: Placeholders that stand for an answer.
 PLACEHOLDERS = frozenset({"n/a", "na", "n.a.", "tbd", "todo", "null", "none", "nil", "-", "--", "—", "…", "...", "?", "???", "[empty]", "(empty)", "[blank]", "xxx", "..."})
 
+_MARKS = re.compile(r"[\W_]+")
+_WIDE = re.compile("[぀-ヿ一-鿿]")
 _TAG = re.compile(r"<[^<>]*>")
 _HEAD = re.compile(r"(?is)<head\b.*?</head\s*>|<h[1-6]\b.*?</h[1-6]\s*>|<title\b.*?</title\s*>|<!--.*?-->")
 _CODE = re.compile(r"(?is)<(pre|code|script|style)\b.*?</\1\s*>")
@@ -53,7 +55,7 @@ _NAME = re.compile(r"(?<![^\W_])[A-Z][a-z]{3,}(?![a-z])")
 
 def letters_of(text: str) -> str:
     """Case, white space, quotes, marks and hidden characters aside."""
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _MARKS.sub("", text.casefold())
 
 
 def bare(text: str) -> str:
@@ -207,14 +209,14 @@ def long_features(df: DataFrame, keys: list[str], model: langid.Classifier | Non
         code = bool(_CODE.search(body))
         story = html.unescape(_TAG.sub(" ", _CODE.sub(" ", body))) if code else html.unescape(_TAG.sub(" ", body))
         story = re.sub(r"\s+", " ", story).strip()
-        n = sum(map(str.isalnum, story))
+        n = len(_MARKS.sub("", story))
         refusal = False
         if n < 1500 and REFUSAL.search(story):
             rest = " ".join(s for s in re.split(r"(?<=[.!?…])\s+|(?<=[。！？])", story) if not REFUSAL.search(s))
             refusal = sum(map(str.isalnum, rest)) < 40
         empty = n == 0 and not (code and any(c.isalnum() for c in bare(body))) or story.lower() in PLACEHOLDERS
-        digest = hashlib.md5(letters_of(bare(body)).encode()).hexdigest()
-        wide = len(re.findall("[぀-ヿ一-鿿]", story)) * 2 > n
+        digest = hashlib.md5(letters_of(bare(body) if code else story).encode()).hexdigest()
+        wide = not story.isascii() and len(_WIDE.findall(story)) * 2 > n
         return (empty, refusal, n == 0, digest, len(_SENTENCE.findall(story)), n, bool(_END.search(story)), -(-len(text) // 4)), story, wide
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,6 +253,7 @@ def spikes(answers: DataFrame) -> DataFrame:
     ).select("tokens")
 
 
+BROADCAST_ROWS = 200_000
 SENTENCES_LEAST, RATIO_LEAST, LETTERS_LEAST = 0.75, 0.6, 0.6
 
 
@@ -267,7 +270,11 @@ def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, m
     done = checkpoints.where("status = 'completed' and job_id is not null and idx is not null").select("job_id", "idx", "content")
     answers = long_features(done.join(jobs.select("job_id", "target", "book_id"), "job_id"), ["job_id", "idx", "book_id", "target"], model, "target")
     answers = answers.dropDuplicates(["job_id", "idx"])
-    prompts = long_features(chapters.where("book_id is not null and idx is not null"), ["book_id", "idx"], None).dropDuplicates(["book_id", "idx"])
+    chapters = chapters.where("book_id is not null and idx is not null")
+    asked = done.select("job_id", "idx").join(jobs.select("job_id", "book_id"), "job_id").select("book_id", "idx").distinct()
+    if asked.count() <= BROADCAST_ROWS:  # beyond, features of chapters that nobody asked for are computed too
+        chapters = chapters.join(F.broadcast(asked), ["book_id", "idx"], "left_semi")
+    prompts = long_features(chapters, ["book_id", "idx"], None).dropDuplicates(["book_id", "idx"])
     prompts = prompts.select("book_id", "idx", *[F.col(c).alias(f"p_{c}") for c in ("code", "hash", "sentences", "letters", "ended", "wide")])
     pairs = answers.join(prompts, ["book_id", "idx"])
     whole = (F.col("ended")) & (F.col("p_sentences") >= 4) & (F.col("sentences") >= 0.9 * F.col("p_sentences"))
