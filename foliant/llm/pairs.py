@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import checkpointed
+
 from . import langid
 
 #: What refusals say, by language: inability or regret near the task.
@@ -152,6 +154,7 @@ def short_defects(features: DataFrame) -> DataFrame:
     other_language (the phrase is at home in another language), truncated. Ties between usual phrases go to the one that
     sorts last, so that a shortened version never wins over its continuation.
     """
+    features = checkpointed(features)  # used six times below
     good = features.where("not empty and not refusal and not copy and target is not null")
     # partial counts first: a phrase that a third of the rows share is summed up before it is shuffled
     phrases = good.groupBy("target", "phrase").agg(F.count("*").alias("n"))
@@ -276,10 +279,10 @@ def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, m
         chapters = chapters.join(F.broadcast(asked), ["book_id", "idx"], "left_semi")
     prompts = long_features(chapters, ["book_id", "idx"], None).dropDuplicates(["book_id", "idx"])
     prompts = prompts.select("book_id", "idx", *[F.col(c).alias(f"p_{c}") for c in ("code", "hash", "sentences", "letters", "ended", "wide")])
-    pairs = answers.join(prompts, ["book_id", "idx"])
+    pairs = checkpointed(answers.join(prompts, ["book_id", "idx"]))  # small rows, used three times below
     whole = (F.col("ended")) & (F.col("p_sentences") >= 4) & (F.col("sentences") >= 0.9 * F.col("p_sentences"))
     usual = pairs.where(whole).groupBy("target", "p_wide").agg(F.percentile_approx(F.col("letters") / F.col("p_letters"), 0.5, 1000).alias("usual"))
-    limits = spikes(answers.where("not empty and not refusal")).withColumn("spike", F.lit(True))
+    limits = spikes(pairs.where("not empty and not refusal")).withColumn("spike", F.lit(True))
     pairs = pairs.join(F.broadcast(usual), ["target", "p_wide"], "left").join(limits, "tokens", "left")
     share = F.col("letters") / F.greatest(F.col("p_letters"), F.lit(1)) / F.coalesce(F.col("usual"), F.lit(1.0))
     few = (F.col("p_sentences") >= 3) & (F.col("sentences") < SENTENCES_LEAST * F.col("p_sentences")) & (share < 0.9)
