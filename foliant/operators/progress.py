@@ -22,13 +22,12 @@ def fold(events: DataFrame) -> DataFrame:
     What counts is what follows the last start: a task's state is an aggregate of three passes' partial sums, so no task's
     events are gathered, and a task with a third of all events needs no sort of them.
     """
-    starts = events.where("event = 'Started'").groupBy("task_id").agg(F.max("seq").alias("since"), F.max_by("total", "seq").alias("total"))
+    starts = events.where("event = 'Started'").groupBy("task_id").agg(F.max("seq").alias("since"), F.max_by("total", "seq").alias("t"))
     live = events.join(starts, "task_id", "left").where("since is null or seq >= since")
     done = F.sum(F.when(F.col("event") == "ChapterFinished", 1).otherwise(0)).alias("completed")
     last_event = F.max_by("event", F.when(F.col("event").isin("Started", "ChapterFinished", "Completed", "ChunkFinished"), F.col("seq"))).alias("last_event")
     chunk = F.max_by(F.struct("chunk_index", "chunk_total"), F.when(F.col("event") == "ChunkFinished", F.col("seq"))).alias("chunk")
-    ended = F.max(F.when(F.col("event") == "Completed", F.col("seq"))).alias("ended")
-    state = live.groupBy("task_id").agg(F.max("total").alias("any_total"), F.first("since").alias("since"), done, last_event, chunk, ended).join(starts.select("task_id", F.col("total").alias("t")), "task_id", "left")
+    state = live.groupBy("task_id").agg(F.max("t").alias("t"), done, last_event, chunk)
     flight = F.when((F.col("last_event") == "ChunkFinished") & (F.col("chunk.chunk_total") > 0), (F.col("chunk.chunk_index") + 1) / F.col("chunk.chunk_total")).otherwise(F.lit(0.0))
     over = F.col("last_event") == "Completed"
     return state.select(

@@ -1,15 +1,502 @@
-"""All queries of the core, by name, with their SQL."""
+"""All queries of the core, by name, with their SQL for DuckDB. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import blocks as B
+from foliant.functions import html_tree as H
+from foliant.functions import text as T
+from foliant.operators import ocr, progress, resume, toc
+from foliant.operators import translate as TR
+from foliant.session import table
+from foliant.sources import srt
+
+from .oracles import SQL
+
+BUDGET = 64
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in QUERIES}
+
+
+def docs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where("text is not null")
+
+
+def books(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.latest(table(spark, folder, "books"), ["book_id"], "loaded_at")
+
+
+def jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.latest(table(spark, folder, "job_options"), ["job_id"], "created_at")
+
+
+def chapters(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chapters").dropDuplicates(["book_id", "idx"])
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "checkpoints").dropDuplicates(["job_id", "idx"])
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "verified_texts").where("text is not null").dropDuplicates(["book_id", "page_number", "block_ix"])
+
+
+# ---------------------------------------------------------------- text
+
+
+@query
+def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query
+def chunk_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return TR.chunks(docs(spark, folder), ["doc_id"], "text", BUDGET)
+
+
+@query
+def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
+    packed = T.pack(T.sentences(F.col("text")), BUDGET)
+    return docs(spark, folder).select("doc_id", F.size(packed).cast("bigint").alias("chunks"))
+
+
+@query
+def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of raw chapters, markup included, per book."""
+    n = T.tokens(F.make_valid_utf8(F.col("content").cast("string")))
+    return chapters(spark, folder).groupBy("book_id").agg(F.sum(n).alias("tokens"), F.count("*").alias("chapters"))
+
+
+@query
+def cache_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", T.cache_key(F.lit("fake"), F.col("text")).alias("cache_key"))
+
+
+@query
+def job_ids(spark: SparkSession, folder: str) -> DataFrame:
+    j = jobs(spark, folder).join(books(spark, folder).select("book_id", "source_path"), "book_id")
+    made = T.job_key(F.col("source_path"), F.col("target_lang"), F.col("output_mode"), F.col("provider"), F.lit("default"))
+    return j.select("job_id", made.alias("made_id"))
+
+
+@query
+def txt_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+
+
+@query
+def paragraphs_from_text(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph"))
+
+
+@query
+def html_escape(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", T.escape(F.col("text")).alias("escaped"))
+
+
+@query
+def match_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", T.match_text(F.col("text")).alias("folded"), T.without_space(F.col("text")).alias("header"))
+
+
+@query
+def first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", T.first_line(F.col("text")).alias("first"), T.other_lines(F.col("text")).alias("rest"))
+
+
+@query
+def anomaly_score(spark: SparkSession, folder: str) -> DataFrame:
+    return docs(spark, folder).select("doc_id", F.round(T.anomaly(F.col("text")), 6).alias("anomaly"))
+
+
+@query
+def book_formats(spark: SparkSession, folder: str) -> DataFrame:
+    return books(spark, folder).select("book_id", T.book_format(F.col("source_path")).alias("format"), T.stem(F.col("source_path")).alias("stem"))
+
+
+@query
+def output_names(spark: SparkSession, folder: str) -> DataFrame:
+    j = jobs(spark, folder).join(books(spark, folder).select("book_id", "source_path"), "book_id")
+    name = T.output_name(F.lit("{stem}.{target_lang}.{output_mode}"), F.col("source_path"), F.coalesce("source_lang", F.lit("")), F.col("target_lang"), F.col("output_mode"))
+    return j.select("job_id", name.alias("name"), T.output_name(F.lit(" "), F.col("source_path"), F.lit(""), F.col("target_lang"), F.col("output_mode")).alias("plain_name"))
+
+
+@query
+def locales(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs(spark, folder).select("job_id", T.locale(F.concat(F.replace("target_lang", F.lit("-"), F.lit("_")), F.lit(".UTF-8"))).alias("locale"))
+
+
+@query
+def durations(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", T.duration(F.col("event_id") % 20000).alias("duration"))
+
+
+@query
+def glossary_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The system prompt of each job that has a glossary."""
+    entries = F.array_sort(F.collect_list(F.struct("entry_id", "term", "translation")))
+    per_job = table(spark, folder, "glossary").where("translation is not null").groupBy("job_id").agg(T.glossary_lines(entries).alias("lines"))
+    text = T.fill_prompt(F.lit("Translate from {source_lang} to {target_lang}."), F.coalesce("source_lang", F.lit("auto")), F.col("target_lang"), F.col("lines"))
+    return jobs(spark, folder).join(per_job, "job_id").select("job_id", text.alias("prompt"))
+
+
+@query
+def source_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens that each job's calls leave for the text."""
+    limit = lambda c, d: F.when(F.col(c) > 0, F.col(c)).otherwise(d)
+    out = T.source_budget(limit("max_input_tokens", 4000), limit("max_output_tokens", 2000), F.lit(120))
+    return jobs(spark, folder).select("job_id", out.cast("bigint").alias("budget"))
+
+
+# ---------------------------------------------------------------- selection and contents
+
+
+@query
+def skip_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters that are left untranslated by the name of their file."""
+    low = F.lower("href")
+    skip = F.lit(False)
+    for p in ("cover", "titlepage", "copyright", "dedication", "colophon", "ch0[12]"):
+        skip = skip | low.rlike(p)
+    return chapters(spark, folder).select("book_id", "idx", skip.alias("skipped"))
+
+
+@query
+def toc_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapter titles as entries: even chapters point into a section of the chapter before."""
+    c = chapters(spark, folder).where("title is not null")
+    href = F.when(F.col("idx") % 2 == 0, F.format_string("part%03d.xhtml", F.floor(F.col("idx") / 3))).otherwise(F.format_string("part%03d.xhtml#s%d", F.floor(F.col("idx") / 3), F.col("idx")))
+    return toc.labels(c.select("book_id", F.col("idx").alias("pos"), href.alias("href"), F.col("title").alias("label")))
+
+
+@query
+def clean_hrefs(spark: SparkSession, folder: str) -> DataFrame:
+    href = T.clean_href(F.col("href"))
+    return chapters(spark, folder).select("book_id", "idx", href.alias("href"), T.manifest_id(href).alias("id"))
+
+
+@query
+def manifest_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids made of titles, numbered where they repeat within a book."""
+    c = chapters(spark, folder).where("title is not null").select("book_id", "idx", T.manifest_id(F.col("title")).alias("base"))
+    return toc.unique_ids(c)
+
+
+# ---------------------------------------------------------------- calls and cache
+
+
+def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return TR.keyed(TR.chunks(docs(spark, folder), ["doc_id"], "text", BUDGET), "fake")
+
+
+def _cache(chunked: DataFrame) -> DataFrame:
+    """A cache that holds the chunks of every third document."""
+    known = chunked.where("doc_id % 3 = 0").select("cache_key", F.concat(F.lit("[ZH] "), "chunk").alias("translation"))
+    return known.dropDuplicates(["cache_key"])
+
+
+@query
+def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Cue texts looked up among those of every third cue."""
+    cues = table(spark, folder, "srt_entries").where("text is not null").dropDuplicates(["book_id", "idx"]).select("book_id", "idx", F.col("text").alias("chunk"))
+    cues = TR.keyed(cues, "fake")
+    cache = cues.where("idx % 3 = 0").select("cache_key", F.concat(F.lit("[ZH] "), "chunk").alias("translation"))
+    return TR.lookup(cues, cache).select("book_id", "idx", "hit", "translation")
+
+
+@query
+def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
+    cues = TR.keyed(table(spark, folder, "srt_entries").where("text is not null").select("idx", F.col("text").alias("chunk")), "fake")
+    cache = cues.where("idx % 3 = 0").select("cache_key", F.col("chunk").alias("translation"))
+    return TR.misses(cues, cache)
+
+
+@query
+def cache_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
+    return cache_lookup(spark, folder).groupBy("book_id").agg(F.count("*").alias("cues"), F.sum(F.col("hit").cast("long")).alias("hits"))
+
+
+def _answered(spark: SparkSession, folder: str) -> DataFrame:
+    chunked = _chunks(spark, folder)
+    cache = _cache(chunked)
+    new = TR.call(TR.misses(chunked, cache), TR.Fake, concurrency=8)
+    full = TR.upsert(cache, new)
+    answered = TR.lookup(chunked, full).select("doc_id", "chunk_ix", "translation")
+    return TR.reassemble(answered, ["doc_id"])
+
+
+@query
+def translated(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents through chunks, cache, calls of the misses, and back."""
+    return _answered(spark, folder).select("doc_id", "translation")
+
+
+@query
+def translate_bilingual(spark: SparkSession, folder: str) -> DataFrame:
+    both = docs(spark, folder).select("doc_id", T.trim(F.col("text")).alias("text")).join(_answered(spark, folder), "doc_id")
+    return TR.side_by_side(both, ["doc_id"], "text", "translation", "bilingual")
+
+
+def _sides(mode: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        sentences = sentence_split(spark, folder).withColumn("answer", F.concat(F.lit("[ZH] "), "sentence"))
+        return TR.side_by_side(sentences, ["doc_id", "pos"], "sentence", "answer", mode)
+
+    return run
+
+
+for _mode in ("bilingual", "interleaved", "translation_only"):
+    QUERIES[f"sentences_{_mode}"] = _sides(_mode)
+
+
+@query
+def refine_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """A second pass over the answers, under its own keys."""
+    first = sentence_split(spark, folder).select(F.concat(F.lit("[ZH] "), "sentence").alias("chunk")).distinct()
+    again = TR.keyed(first, "fake-refine")
+    return again.select("cache_key", F.concat(F.lit("[ZH] "), "chunk").alias("translation"))
+
+
+# ---------------------------------------------------------------- checkpoints
+
+
+def _wanted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chapter of every job that has a checkpoint."""
+    have = stored(spark, folder).select("job_id").distinct()
+    j = jobs(spark, folder).join(have, "job_id", "left_semi").select("job_id", "book_id")
+    return chapters(spark, folder).select("book_id", "idx", "href", "content").join(j, "book_id")
+
+
+@query
+def checkpoint_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.summary(stored(spark, folder))
+
+
+@query
+def checkpoint_pending(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.pending(_wanted(spark, folder).select("job_id", "idx"), stored(spark, folder))
+
+
+@query
+def checkpoint_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.backfill(_wanted(spark, folder).select("job_id", "idx"), stored(spark, folder))
+
+
+@query
+def checkpoint_restore(spark: SparkSession, folder: str) -> DataFrame:
+    restored = resume.restore(_wanted(spark, folder).select("job_id", "idx", "content"), stored(spark, folder))
+    return restored.select("job_id", "idx", "restored", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query
+def checkpoint_valid(spark: SparkSession, folder: str) -> DataFrame:
+    """Checkpoints whose source is still the book's."""
+    sources = jobs(spark, folder).join(books(spark, folder).select("book_id", F.col("source_hash").alias("current_hash")), "book_id").select("job_id", "current_hash")
+    return resume.valid(stored(spark, folder).select("job_id", "idx", "source_hash"), sources).select("job_id", "idx")
+
+
+@query
+def chapter_failures(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.failures(stored(spark, folder).select("job_id", "idx", "href", "status"))
+
+
+# ---------------------------------------------------------------- documents
+
+
+@query
+def html_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return H.nodes(chapters(spark, folder), ["book_id", "idx"])
+
+
+@query
+def html_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of chapters that are to be translated."""
+    return H.texts(chapters(spark, folder), ["book_id", "idx"])
+
+
+@query
+def html_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """How many headings of the first level each chapter has."""
+    return html_nodes(spark, folder).where("tag = 'h1'").groupBy("book_id", "idx").agg(F.count("*").alias("headings"))
+
+
+@query
+def html_chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the selected texts of each chapter."""
+    n = F.size(T.pack(T.sentences(F.col("text")), BUDGET))
+    return html_texts(spark, folder).groupBy("book_id", "idx").agg(F.sum(n).alias("chunks"), F.count("*").alias("texts"))
+
+
+# ---------------------------------------------------------------- scanned pages
+
+
+@query
+def page_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).where(B.is_page_number(F.col("text"))).select("book_id", "page_number", "block_ix", "text")
+
+
+@query
+def prompt_leakage(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and blocks with leaked instructions."""
+    b = pages(spark, folder).select(F.concat_ws("#", "book_id", F.col("page_number").cast("string"), F.col("block_ix").cast("string")).alias("id"), "text")
+    d = docs(spark, folder).select(F.col("doc_id").cast("string").alias("id"), "text")
+    return b.unionByName(d).select("id", B.is_leaked(F.col("text")).alias("leaked"))
+
+
+@query
+def repeated_headers(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.repeated_headers(pages(spark, folder))
+
+
+@query
+def cleaned_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    p = pages(spark, folder)
+    return ocr.clean(p, ocr.repeated_headers(p, "greatest(2, floor(pages / 5))")).select("book_id", "page_number", "block_ix", "text")
+
+
+@query
+def diagram_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.group_labels(pages(spark, folder))
+
+
+@query
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.full_text(pages(spark, folder))
+
+
+@query
+def block_types(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).select("book_id", "page_number", "block_ix", B.plain_type(F.col("text")).alias("plain_type"), B.is_top_heading(F.col("text")).alias("top"))
+
+
+@query
+def chapter_split(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.chapter_of(pages(spark, folder)).select("book_id", "page_number", "block_ix", F.col("chapter").cast("bigint").alias("chapter"))
+
+
+@query
+def caption_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of type other with what follows, where that looks like a caption; subheadings stand in for captions."""
+    p = pages(spark, folder).withColumn("block_type", F.when(F.col("block_type") == "subheading", "caption").otherwise(F.col("block_type")))
+    return ocr.captions(p, "other")
+
+
+@query
+def table_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.table_runs(pages(spark, folder)).select("book_id", "page_number", "table_ix", F.size("cells").cast("bigint").alias("cells"))
+
+
+@query
+def table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ocr.table_rows(F.col("cells"))
+    t = ocr.table_runs(pages(spark, folder)).select("book_id", "page_number", "table_ix", F.posexplode(rows).alias("row", "cells"))
+    return t.select("book_id", "page_number", "table_ix", "row", F.array_join(F.transform("cells", lambda c: c["text"]), " | ").alias("cells"))
+
+
+@query
+def grid_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.grid_columns(ocr.table_runs(pages(spark, folder)))
+
+
+@query
+def box_unions(spark: SparkSession, folder: str) -> DataFrame:
+    b = ocr.box_union(pages(spark, folder))
+    return b.select("book_id", "page_number", *[F.col(f"bbox.{c}").cast("bigint").alias(c) for c in "xywh"])
+
+
+@query
+def verify_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.verify_candidates(pages(spark, folder)).select("book_id", "page_number", "block_ix", F.round("anomaly", 6).alias("anomaly"))
+
+
+@query
+def verify_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The best of each page's blocks, taken as attempts in order."""
+    a = F.struct("block_ix", "text", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.round(T.anomaly(F.col("text")), 6).alias("anomaly"))
+    attempts = F.transform(F.array_sort(F.collect_list(a)), lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("confidence"), x["anomaly"].alias("anomaly")))
+    grouped = pages(spark, folder).groupBy("book_id", "page_number").agg(attempts.alias("attempts"))
+    best = ocr.best_attempt(F.col("attempts"), F.lit(0.5))
+    return grouped.select("book_id", "page_number", best.alias("b")).select("book_id", "page_number", "b.text", F.round("b.confidence", 6).alias("confidence"))
+
+
+@query
+def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the tables that tables of blocks give in Markdown's one-line form."""
+    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.replace(c["text"], F.lit("|"), F.lit("/"))), " | "), F.lit(" |"))
+    t = ocr.table_runs(pages(spark, folder)).select("book_id", "page_number", "table_ix", ocr.markdown_rows(line).alias("rows"))
+    return t.select("book_id", "page_number", "table_ix", F.posexplode("rows").alias("row", "cells")).select("book_id", "page_number", "table_ix", "row", F.size("cells").cast("bigint").alias("cells"))
+
+
+@query
+def block_html(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).select("book_id", "page_number", "block_ix", ocr.to_html(F.col("text"), F.col("block_type")).alias("html"))
+
+
+@query
+def box_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes written as JSON, every other one as a list, read again."""
+    p = pages(spark, folder).where("bbox is not null")
+    listed = F.concat(F.lit("["), F.concat_ws(",", *[F.col(f"bbox.{c}").cast("string") for c in "xywh"]), F.lit("]"))
+    json = F.when(F.col("block_ix") % 2 == 0, F.to_json("bbox")).otherwise(listed)
+    return p.select("book_id", "page_number", "block_ix", B.box(json).alias("b")).select("book_id", "page_number", "block_ix", "b.x", "b.y", "b.w", "b.h")
+
+
+# ---------------------------------------------------------------- progress, log, cues
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as progress of their users' tasks."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Started", "ChapterStarted", "ChunkFinished", "ChapterFinished", "ChunkFinished", "ChapterFinished", "ChunkStarted", "ChapterFinished")]), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("event"),
+        F.when(kind == "Started", F.col("event_id") % 13 + 3).alias("total"), (F.col("event_id") % 4).alias("chunk_index"), F.lit(5).cast("bigint").alias("chunk_total"),
+    )
+
+
+@query
+def progress_fold(spark: SparkSession, folder: str) -> DataFrame:
+    return progress.fold(_events(spark, folder))
+
+
+@query
+def stage_remap(spark: SparkSession, folder: str) -> DataFrame:
+    p = progress_fold(spark, folder)
+    return p.select("task_id", progress.remap(F.col("progress"), 0, 0.5).alias("first_stage"), progress.remap(F.col("progress"), 50, 0.5).alias("second_stage"))
+
+
+@query
+def log_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of one level whose line holds a phrase, whatever its case."""
+    e = table(spark, folder, "events")
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type", "props")
+    return e.where((F.col("event_type") == F.lit("click")) & F.contains(F.lower(line), F.lit("1"))).select("event_id", line.alias("line"))
+
+
+@query
+def srt_html(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "srt_entries").where("start_time is not null and end_time is not null and text is not null").dropDuplicates(["book_id", "idx"])
+    return c.select("book_id", "idx", srt.cue_html(F.col("start_time"), F.col("end_time"), F.col("text")).alias("html"))
+
+
+@query
+def srt_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Cues written as files and parsed again; what isn't a whole cue is lost on the way."""
+    c = table(spark, folder, "srt_entries").where("start_time is not null and end_time is not null and text is not null").dropDuplicates(["book_id", "idx"])
+    return srt.files(c).select("book_id", F.explode(srt.cues(F.col("text"))).alias("c")).select("book_id", "c.*")

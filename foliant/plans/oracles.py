@@ -1,0 +1,157 @@
+"""The SQL twins of the core's queries, for DuckDB. Keys are the queries' names."""
+
+from __future__ import annotations
+
+from foliant.functions.blocks import CJK, LEAKED
+from foliant.functions.text import ODD, SENTENCE_ENDS, SIGNS, SPACE
+
+TRIM = "regexp_replace(@, '^[" + SPACE + "]+|[" + SPACE + "]+$', '', 'g')"
+
+
+def trim(x: str) -> str:
+    return TRIM.replace("@", x)
+
+
+def squeeze(x: str) -> str:
+    return trim(f"regexp_replace({x}, '[{SPACE}]+', ' ', 'g')")
+
+
+def ltrim(x: str) -> str:
+    return f"ltrim({x}, ' ')"
+
+
+DOCS = "(SELECT * FROM documents WHERE text IS NOT NULL)"
+SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([{SENTENCE_ENDS}])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {trim('s')}), lambda s: s <> '')"
+ONE = {
+    "chapters": "(SELECT DISTINCT ON (book_id, idx) * FROM chapters)",
+    "stored": "(SELECT DISTINCT ON (job_id, idx) * FROM checkpoints)",
+    "pages": "(SELECT DISTINCT ON (book_id, page_number, block_ix) * FROM verified_texts WHERE text IS NOT NULL)",
+    "jobs": "(SELECT DISTINCT ON (job_id) * FROM job_options ORDER BY job_id, created_at DESC)",
+    "books": "(SELECT DISTINCT ON (book_id) * FROM books ORDER BY book_id, loaded_at DESC)",
+    "cues": "(SELECT DISTINCT ON (book_id, idx) * FROM srt_entries WHERE text IS NOT NULL)",
+}
+ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+MODES = {
+    "bilingual": "SELECT 0 AS part, 'translation' AS side UNION ALL SELECT 1, 'original'",
+    "interleaved": "SELECT 0 AS part, 'original' AS side UNION ALL SELECT 1, 'translation'",
+    "translation_only": "SELECT 0 AS part, 'translation' AS side",
+}
+SPLIT = f"SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM {DOCS})"
+
+TOKENS = "CAST(ceil(length({}) / 4.0) AS BIGINT)"
+ISLAND = "sum(CASE WHEN flag THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, page_number ORDER BY block_ix)"
+LABEL_TEXT = trim("text")
+HEADING = f"(starts_with({ltrim('{0}')}, '#') OR regexp_matches({ltrim('{0}')}, '^[0-9.]+(?:[ {CJK}])') OR regexp_matches({ltrim('{0}')}, '^第[0-9]'))"
+CAPTION = f"regexp_matches({ltrim('{0}')}, '^(?:图|表|Fig|Table)')"
+HEADING, CAPTION = HEADING.replace("{0}", "{t}"), CAPTION.replace("{0}", "{t}")
+
+
+def heading(t: str) -> str:
+    return HEADING.replace("{t}", t)
+
+
+def caption(t: str) -> str:
+    return CAPTION.replace("{t}", t)
+
+
+IS_LABEL = (
+    f"(block_type IN ('paragraph', 'other') AND {LABEL_TEXT} <> '' AND strlen({LABEL_TEXT}) <= 25 AND NOT regexp_matches({LABEL_TEXT}, '[。！？.!?]$') "
+    f"AND NOT {heading(LABEL_TEXT)} AND NOT {caption(LABEL_TEXT)} AND (regexp_matches({LABEL_TEXT}, '[^{CJK}]') OR length({LABEL_TEXT}) <= 6))"
+)
+IS_PAGE = f"(regexp_matches({trim('text')}, '^[0-9]{{1,4}}$') OR (strlen({trim('text')}) <= 15 AND regexp_matches({trim('text')}, '^\\s*[0-9]*\\.*\\s*(?:-\\s*[0-9]*\\.*\\s*)+$')))"
+IS_LEAKED = "(" + " OR ".join(f"contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in LEAKED) + f" OR regexp_matches({trim('lower(text)')}, '^chapter [0-9]'))"
+TOP = f"(CASE WHEN {trim('text')} = '' THEN false WHEN starts_with({trim('text')}, '第') THEN regexp_matches({trim('text')}, '^第[0-9]') WHEN NOT regexp_matches({trim('text')}, '^[0-9]') THEN true ELSE NOT regexp_matches({trim('text')}, '^[0-9]+\\.') END)"
+ANOMALY = f"CASE WHEN length(text) = 0 THEN 0.0 ELSE least((length(text) - length(regexp_replace(text, '[{ODD}]', '', 'g'))) * 1.5 / length(text) + runs * 0.8 / length(text) + least((length(text) - length(regexp_replace(text, '[{SIGNS}]', '', 'g'))) * 1.0 / length(text), 0.5), 1.0) END"
+
+
+def with_runs(source: str, keys: str) -> str:
+    """A source with the lengths of runs of four or more equal characters: islands of exploded characters."""
+    chars = f"SELECT {keys}, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM {source} WHERE length(text) > 0"
+    islands = f"SELECT {keys}, c, i - row_number() OVER (PARTITION BY {keys}, c ORDER BY i) AS g FROM ({chars})"
+    sums = f"SELECT {keys}, sum(n) AS runs FROM (SELECT {keys}, count(*) AS n FROM ({islands}) GROUP BY {keys}, c, g HAVING count(*) >= 4) GROUP BY {keys}"
+    return f"(SELECT s.*, coalesce(r.runs, 0) AS runs FROM {source} s LEFT JOIN ({sums}) r USING ({keys}))"
+
+
+PAGE_KEYS = "book_id, page_number, block_ix"
+CELLS = f"SELECT book_id, page_number, min(block_ix) AS table_ix, count(*) AS cells FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag GROUP BY book_id, page_number, island"
+WANTED = f"(SELECT j.job_id, c.idx, c.content FROM {ONE['chapters']} c JOIN {ONE['jobs']} j USING (book_id) WHERE j.job_id IN (SELECT job_id FROM checkpoints))"
+PACK = f"""
+WITH RECURSIVE s AS (SELECT doc_id, pos + 1 AS i, {TOKENS.format('sentence')} AS n, length(sentence) AS len FROM ({SPLIT})),
+ends AS (SELECT doc_id, max(i) AS last FROM s GROUP BY doc_id),
+walk(doc_id, i, used, open, closed) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ends
+  UNION ALL
+  SELECT w.doc_id, s.i,
+    CASE WHEN s.n > 64 THEN 0 WHEN w.open = 1 AND w.used + s.n > 64 THEN s.n ELSE w.used + s.n END,
+    CASE WHEN s.n > 64 THEN 0 ELSE 1 END,
+    w.closed + CASE WHEN s.n > 64 THEN w.open + CAST(ceil(s.len / 256.0) AS BIGINT) WHEN w.open = 1 AND w.used + s.n > 64 THEN 1 ELSE 0 END
+  FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1)
+SELECT d.doc_id, coalesce(w.closed + w.open, 0) AS chunks FROM {DOCS} d LEFT JOIN (SELECT walk.* FROM walk JOIN ends ON ends.doc_id = walk.doc_id AND walk.i = ends.last) w USING (doc_id)
+"""
+KINDS = "['Started', 'ChapterStarted', 'ChunkFinished', 'ChapterFinished', 'ChunkFinished', 'ChapterFinished', 'ChunkStarted', 'ChapterFinished'][event_id % 8 + 1]"
+FOLD = f"""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, {KINDS} AS event, event_id % 13 + 3 AS total, event_id % 4 AS chunk FROM events),
+s AS (SELECT task_id, max(seq) AS since, arg_max(total, seq) AS t FROM e WHERE event = 'Started' GROUP BY task_id),
+l AS (SELECT e.*, s.t FROM e LEFT JOIN s USING (task_id) WHERE s.since IS NULL OR e.seq >= s.since),
+a AS (SELECT task_id, any_value(t) AS t, count(*) FILTER (WHERE event = 'ChapterFinished') AS done,
+  arg_max(event, seq) FILTER (WHERE event IN ('Started', 'ChapterFinished', 'ChunkFinished')) AS last, arg_max(chunk, seq) FILTER (WHERE event = 'ChunkFinished') AS chunk FROM l GROUP BY task_id)
+SELECT task_id, CAST(t AS BIGINT) AS total, CAST(done AS BIGINT) AS completed,
+  CAST(CASE WHEN t IS NULL THEN 0 ELSE floor(least((done + CASE WHEN last = 'ChunkFinished' THEN (chunk + 1) / 5.0 ELSE 0 END) * 100.0 / t, 100.0)) END AS INTEGER) AS progress FROM a
+"""
+
+SQL: dict[str, str] = {
+    "sentence_split": SPLIT,
+    "chunk_counts": PACK,
+    "token_estimate": f"SELECT book_id, CAST(sum({TOKENS.format('decode(content)')}) AS BIGINT) AS tokens, count(*) AS chapters FROM {ONE['chapters']} GROUP BY book_id",
+    "cache_keys": f"SELECT doc_id, sha256('fake:' || text) AS cache_key FROM {DOCS}",
+    "job_ids": f"SELECT job_id, substring(sha256(b.source_path || '|' || substring(sha256(concat_ws('|', j.target_lang, j.output_mode, j.provider, 'default')), 1, 16)), 1, 16) AS made_id FROM {ONE['jobs']} j JOIN {ONE['books']} b USING (book_id)",
+    "txt_lines": f"SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') END AS l FROM {DOCS})",
+    "paragraphs_from_text": f"SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {squeeze('p')}), lambda p: p <> '') AS l FROM {DOCS})",
+    "html_escape": f"SELECT doc_id, {ESCAPE.format('text')} AS escaped FROM {DOCS}",
+    "match_texts": f"SELECT doc_id, lower(regexp_replace(text, '[{SPACE}]', '', 'g')) AS folded, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {DOCS}",
+    "first_lines": f"SELECT doc_id, {trim('string_split(text, chr(10))[1]')} AS first, CASE WHEN contains(text, chr(10)) THEN nullif({trim('substring(text, instr(text, chr(10)) + 1)')}, '') END AS rest FROM {DOCS}",
+    "anomaly_score": f"SELECT doc_id, round({ANOMALY}, 6) AS anomaly FROM {with_runs(DOCS, 'doc_id')}",
+    "book_formats": f"SELECT book_id, CASE lower(regexp_extract(source_path, '\\.([^./]+)$', 1)) WHEN 'epub' THEN 'epub' WHEN 'mobi' THEN 'mobi' WHEN 'azw' THEN 'mobi' WHEN 'azw3' THEN 'mobi' WHEN 'prc' THEN 'mobi' WHEN 'txt' THEN 'text' WHEN 'text' THEN 'text' WHEN 'srt' THEN 'srt' WHEN 'docx' THEN 'docx' END AS format, regexp_extract(source_path, '([^/]+)\\.[^./]*$', 1) AS stem FROM {ONE['books']}",
+    "output_names": f"SELECT job_id, stem || '.' || target_lang || '.' || output_mode AS name, stem || '_' || target_lang AS plain_name FROM (SELECT j.*, regexp_extract(b.source_path, '([^/]+)\\.[^./]*$', 1) AS stem FROM {ONE['jobs']} j JOIN {ONE['books']} b USING (book_id))",
+    "locales": f"SELECT job_id, target_lang AS locale FROM {ONE['jobs']}",
+    "durations": "SELECT event_id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60 % 60, s % 60) END AS duration FROM (SELECT event_id, event_id % 20000 AS s FROM events)",
+    "glossary_prompts": f"SELECT j.job_id, 'Translate from ' || CASE WHEN coalesce(source_lang, 'auto') = 'auto' THEN 'the original language' ELSE source_lang END || ' to ' || target_lang || '.' || chr(10) || 'Use the following glossary:' || chr(10) || g.l || chr(10) AS prompt FROM {ONE['jobs']} j JOIN (SELECT job_id, string_agg('- ' || term || ' => ' || translation, chr(10) ORDER BY entry_id) AS l FROM glossary WHERE translation IS NOT NULL GROUP BY job_id) g USING (job_id)",
+    "source_budgets": f"SELECT job_id, CAST(greatest(least(greatest(CASE WHEN max_input_tokens > 0 THEN max_input_tokens ELSE 4000 END - 170, 0), greatest(CASE WHEN max_output_tokens > 0 THEN max_output_tokens ELSE 2000 END - 200, 0)), 1) AS BIGINT) AS budget FROM {ONE['jobs']}",
+    "skip_docs": f"SELECT book_id, idx, regexp_matches(lower(href), 'cover|titlepage|copyright|dedication|colophon|ch0[12]') AS skipped FROM {ONE['chapters']}",
+    "toc_labels": f"SELECT book_id, path, label FROM (SELECT book_id, printf('part%03d.xhtml', idx // 3) AS path, title AS label, row_number() OVER (PARTITION BY book_id, idx // 3 ORDER BY idx % 2, CASE WHEN idx % 2 = 0 THEN -idx ELSE idx END) AS n FROM {ONE['chapters']} WHERE title IS NOT NULL) WHERE n = 1",
+    "clean_hrefs": f"SELECT book_id, idx, href, CASE WHEN href = '' OR regexp_matches(href, '^[0-9]') THEN 'i' || id ELSE id END AS id FROM (SELECT *, regexp_replace(href, '[^\\p{{L}}\\p{{N}}\\-._]', '_', 'g') AS id FROM (SELECT book_id, idx, CASE WHEN h = '' THEN 'index.xhtml' ELSE h END AS href FROM (SELECT book_id, idx, regexp_replace(regexp_replace(href, '^/+', ''), '^(?:OEBPS|EPUB)/', '') AS h FROM {ONE['chapters']})))",
+    "manifest_ids": f"SELECT book_id, idx, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS id FROM (SELECT *, row_number() OVER (PARTITION BY book_id, base ORDER BY idx) AS n FROM (SELECT book_id, idx, CASE WHEN r = '' OR regexp_matches(r, '^[0-9]') THEN 'i' || r ELSE r END AS base FROM (SELECT book_id, idx, regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\-._]', '_', 'g') AS r FROM {ONE['chapters']} WHERE title IS NOT NULL)))",
+    "cache_lookup": f"SELECT c.book_id, c.idx, k.k IS NOT NULL AS hit, CASE WHEN k.k IS NOT NULL THEN '[ZH] ' || c.text END AS translation FROM {ONE['cues']} c LEFT JOIN (SELECT DISTINCT sha256('fake:' || text) AS k FROM {ONE['cues']} WHERE idx % 3 = 0) k ON k.k = sha256('fake:' || c.text)",
+    "cache_misses": "SELECT DISTINCT sha256('fake:' || text) AS cache_key, text AS chunk FROM srt_entries WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM srt_entries WHERE text IS NOT NULL AND idx % 3 = 0)",
+    "cache_hit_rate": f"SELECT book_id, count(*) AS cues, CAST(count(*) FILTER (WHERE text IN (SELECT text FROM srt_entries WHERE text IS NOT NULL AND idx % 3 = 0)) AS BIGINT) AS hits FROM {ONE['cues']} GROUP BY book_id",
+    "refine_pass": f"SELECT sha256('fake-refine:[ZH] ' || sentence) AS cache_key, '[ZH] [ZH] ' || sentence AS translation FROM (SELECT DISTINCT sentence FROM ({SPLIT}))",
+    "checkpoint_summary": f"SELECT job_id, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total, count(*) FILTER (WHERE status NOT IN ('completed', 'failed')) AS pending FROM {ONE['stored']} GROUP BY job_id",
+    "checkpoint_pending": f"SELECT job_id, idx FROM {WANTED} w WHERE NOT EXISTS (SELECT 1 FROM checkpoints k WHERE k.job_id = w.job_id AND k.idx = w.idx AND k.status = 'completed')",
+    "checkpoint_backfill": f"SELECT job_id, idx, status FROM {ONE['stored']} UNION ALL SELECT job_id, idx, 'pending' FROM {WANTED} w WHERE NOT EXISTS (SELECT 1 FROM checkpoints k WHERE k.job_id = w.job_id AND k.idx = w.idx)",
+    "checkpoint_restore": f"SELECT w.job_id, w.idx, k.content IS NOT NULL AS restored, CAST(octet_length(coalesce(k.content, w.content)) AS BIGINT) AS bytes FROM {WANTED} w LEFT JOIN (SELECT * FROM {ONE['stored']} WHERE status = 'completed') k ON k.job_id = w.job_id AND k.idx = w.idx",
+    "checkpoint_valid": f"SELECT k.job_id, k.idx FROM {ONE['stored']} k JOIN {ONE['jobs']} j USING (job_id) JOIN {ONE['books']} b USING (book_id) WHERE k.source_hash = '' OR k.source_hash = b.source_hash",
+    "chapter_failures": f"SELECT job_id, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) AS total, coalesce(string_agg(href, ', ' ORDER BY idx) FILTER (WHERE status = 'failed'), '') AS hrefs, count(*) FILTER (WHERE status = 'failed') = count(*) AS all_failed FROM {ONE['stored']} GROUP BY job_id",
+    "html_headings": f"SELECT book_id, idx, len(regexp_extract_all(decode(content), '<h1[ >]')) AS headings FROM {ONE['chapters']} WHERE regexp_matches(decode(content), '<h1[ >]')",
+    "page_numbers": f"SELECT {PAGE_KEYS}, text FROM {ONE['pages']} WHERE {IS_PAGE}",
+    "prompt_leakage": f"SELECT id, {IS_LEAKED} AS leaked FROM (SELECT book_id || '#' || page_number || '#' || block_ix AS id, text FROM {ONE['pages']} UNION ALL SELECT CAST(doc_id AS VARCHAR), text FROM {DOCS})",
+    "repeated_headers": f"SELECT h.book_id, h.header, h.n FROM (SELECT book_id, header, count(*) AS n FROM (SELECT DISTINCT book_id, page_number, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {ONE['pages']} WHERE {trim('text')} <> '' AND strlen({trim('text')}) <= 80) GROUP BY book_id, header) h JOIN (SELECT book_id, count(DISTINCT page_number) AS pages FROM {ONE['pages']} GROUP BY book_id) p USING (book_id) WHERE pages >= 3 AND n >= pages // 5",
+    "diagram_groups": f"SELECT book_id, page_number, min(block_ix) AS block_ix, CASE WHEN flag THEN 'other' ELSE min(block_type) END AS block_type, string_agg(CASE WHEN flag THEN {trim('text')} ELSE text END, chr(10) ORDER BY block_ix) AS text, count(*) AS merged FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, {IS_LABEL} AS flag FROM {ONE['pages']})) GROUP BY book_id, page_number, island, flag",
+    "page_texts": f"SELECT book_id, page_number, string_agg(text, chr(10) || chr(10) ORDER BY block_ix) AS full_text FROM {ONE['pages']} GROUP BY book_id, page_number",
+    "block_types": f"SELECT {PAGE_KEYS}, CASE WHEN {caption('t')} THEN 'caption' WHEN regexp_matches(t, '^##+ ') OR regexp_matches(t, '^[0-9]+\\.[0-9]') THEN 'subheading' WHEN {heading('t')} THEN 'heading' ELSE 'paragraph' END AS plain_type, {TOP} AS top FROM (SELECT *, {trim('text')} AS t FROM {ONE['pages']})",
+    "chapter_split": f"SELECT {PAGE_KEYS}, CAST(greatest(sum(CASE WHEN block_type = 'heading' AND {TOP} THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY page_number, block_ix), 1) AS BIGINT) AS chapter FROM {ONE['pages']}",
+    "caption_pairs": f"SELECT {PAGE_KEYS}, CASE WHEN nt = 'subheading' THEN nx END AS caption FROM (SELECT *, lead(block_type) OVER w AS nt, lead(text) OVER w AS nx FROM {ONE['pages']} WINDOW w AS (PARTITION BY book_id, page_number ORDER BY block_ix)) WHERE block_type = 'other'",
+    "table_runs": CELLS,
+    "box_unions": f"SELECT p.book_id, p.page_number, b.x, b.y, b.r - b.x AS w, b.b - b.y AS h FROM (SELECT DISTINCT book_id, page_number FROM {ONE['pages']}) p LEFT JOIN (SELECT book_id, page_number, CAST(min(bbox.x) AS BIGINT) AS x, CAST(min(bbox.y) AS BIGINT) AS y, max(CAST(bbox.x AS BIGINT) + bbox.w) AS r, max(CAST(bbox.y AS BIGINT) + bbox.h) AS b FROM {ONE['pages']} WHERE bbox IS NOT NULL GROUP BY book_id, page_number) b USING (book_id, page_number)",
+    "verify_candidates": f"SELECT {PAGE_KEYS}, round(a, 6) AS anomaly FROM (SELECT *, {ANOMALY} AS a FROM {with_runs(ONE['pages'], PAGE_KEYS)}) WHERE CAST(confidence AS DOUBLE) < 0.7 OR a > 0.3",
+    "markdown_tables": f"SELECT book_id, page_number, table_ix, 0 AS row, cells FROM ({CELLS})",
+    "box_parse": f"SELECT {PAGE_KEYS}, CAST(bbox.x AS BIGINT) AS x, CAST(bbox.y AS BIGINT) AS y, CAST(bbox.w AS BIGINT) AS w, CAST(bbox.h AS BIGINT) AS h FROM {ONE['pages']} WHERE bbox IS NOT NULL",
+    "cleaned_blocks": f"WITH h AS (SELECT h.book_id, h.header FROM (SELECT book_id, header, count(*) AS n FROM (SELECT DISTINCT book_id, page_number, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {ONE['pages']} WHERE {trim('text')} <> '' AND strlen({trim('text')}) <= 80) GROUP BY book_id, header) h JOIN (SELECT book_id, count(DISTINCT page_number) AS pages FROM {ONE['pages']} GROUP BY book_id) p USING (book_id) WHERE pages >= 3 AND n >= greatest(2, pages // 5)) SELECT {PAGE_KEYS}, text FROM (SELECT *, regexp_replace(text, '[{SPACE}]', '', 'g') AS k FROM {ONE['pages']}) p WHERE NOT {IS_LEAKED} AND NOT {IS_PAGE} AND NOT EXISTS (SELECT 1 FROM h WHERE h.book_id = p.book_id AND starts_with(p.k, h.header) AND strlen(p.k) <= strlen(h.header) + 10)",
+    "grid_columns": f"WITH c AS (SELECT *, row_number() OVER w - 1 AS at, min(block_ix) OVER (PARTITION BY book_id, page_number, island) AS table_ix, count(*) OVER (PARTITION BY book_id, page_number, island) AS n FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag WINDOW w AS (PARTITION BY book_id, page_number, island ORDER BY block_ix)), t AS (SELECT c.*, k.k FROM c, (SELECT unnest(range(2, 200)) AS k) k WHERE n >= 6 AND k <= n // 2 AND n % k = 0), m AS (SELECT *, coalesce(bbox.x, 0) AS x, floor(avg(coalesce(bbox.x, 0)) OVER (PARTITION BY book_id, page_number, table_ix, k, at % k)) AS mean FROM t) SELECT book_id, page_number, table_ix, CAST(min(k) AS INTEGER) AS columns FROM (SELECT book_id, page_number, table_ix, k, bool_or(abs(x - mean) > floor(mean / 6) + 50) AS bad FROM m GROUP BY book_id, page_number, table_ix, k) WHERE NOT bad GROUP BY book_id, page_number, table_ix",
+    "progress_fold": FOLD,
+    "stage_remap": f"SELECT task_id, CAST(round(progress * 0.5) AS INTEGER) AS first_stage, CAST(round(progress * 0.5 + 50) AS INTEGER) AS second_stage FROM ({FOLD})",
+    "log_search": "SELECT event_id, line FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || props AS line FROM events) WHERE event_type = 'click' AND contains(lower(line), '1')",
+    "srt_html": f"SELECT book_id, idx, '<div class=\"srt-entry\" data-start=\"' || {ESCAPE.format('start_time')} || '\" data-end=\"' || {ESCAPE.format('end_time')} || '\"><p>' || {ESCAPE.format('text')} || '</p></div>' AS html FROM {ONE['cues']} WHERE start_time IS NOT NULL AND end_time IS NOT NULL",
+} | {
+    f"sentences_{mode}": f"SELECT doc_id, pos, part, side, CASE WHEN side = 'translation' THEN '[ZH] ' || sentence ELSE sentence END AS text FROM ({SPLIT}), ({rows})"
+    for mode, rows in MODES.items()
+}
