@@ -108,7 +108,7 @@ SQL: dict[str, str] = {
     "txt_lines": f"SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') END AS l FROM {DOCS})",
     "paragraphs_from_text": f"SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {squeeze('p')}), lambda p: p <> '') AS l FROM {DOCS})",
     "html_escape": f"SELECT doc_id, {ESCAPE.format('text')} AS escaped FROM {DOCS}",
-    "match_texts": f"SELECT doc_id, lower(regexp_replace(text, '[{SPACE}]', '', 'g')) AS folded, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {DOCS}",
+    "match_texts": f"SELECT doc_id, replace(lower(replace(regexp_replace(text, '[{SPACE}]', '', 'g'), 'İ', chr(1))), chr(1), 'i' || chr(775)) AS folded, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {DOCS}",
     "first_lines": f"SELECT doc_id, {trim('string_split(text, chr(10))[1]')} AS first, CASE WHEN contains(text, chr(10)) THEN nullif({trim('substring(text, instr(text, chr(10)) + 1)')}, '') END AS rest FROM {DOCS}",
     "anomaly_score": f"SELECT doc_id, round({ANOMALY}, 6) AS anomaly FROM {with_runs(DOCS, 'doc_id')}",
     "book_formats": f"SELECT book_id, CASE lower(regexp_extract(source_path, '\\.([^./]+)$', 1)) WHEN 'epub' THEN 'epub' WHEN 'mobi' THEN 'mobi' WHEN 'azw' THEN 'mobi' WHEN 'azw3' THEN 'mobi' WHEN 'prc' THEN 'mobi' WHEN 'txt' THEN 'text' WHEN 'text' THEN 'text' WHEN 'srt' THEN 'srt' WHEN 'docx' THEN 'docx' END AS format, regexp_extract(source_path, '([^/]+)\\.[^./]*$', 1) AS stem FROM {ONE['books']}",
@@ -146,7 +146,7 @@ SQL: dict[str, str] = {
     "markdown_tables": f"SELECT book_id, page_number, table_ix, 0 AS row, cells FROM ({CELLS})",
     "box_parse": f"SELECT {PAGE_KEYS}, CAST(bbox.x AS BIGINT) AS x, CAST(bbox.y AS BIGINT) AS y, CAST(bbox.w AS BIGINT) AS w, CAST(bbox.h AS BIGINT) AS h FROM {ONE['pages']} WHERE bbox IS NOT NULL",
     "cleaned_blocks": f"WITH h AS (SELECT h.book_id, h.header FROM (SELECT book_id, header, count(*) AS n FROM (SELECT DISTINCT book_id, page_number, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {ONE['pages']} WHERE {trim('text')} <> '' AND strlen({trim('text')}) <= 80) GROUP BY book_id, header) h JOIN (SELECT book_id, count(DISTINCT page_number) AS pages FROM {ONE['pages']} GROUP BY book_id) p USING (book_id) WHERE pages >= 3 AND n >= greatest(2, pages // 5)) SELECT {PAGE_KEYS}, text FROM (SELECT *, regexp_replace(text, '[{SPACE}]', '', 'g') AS k FROM {ONE['pages']}) p WHERE NOT {IS_LEAKED} AND NOT {IS_PAGE} AND NOT EXISTS (SELECT 1 FROM h WHERE h.book_id = p.book_id AND starts_with(p.k, h.header) AND strlen(p.k) <= strlen(h.header) + 10)",
-    "grid_columns": f"WITH c AS (SELECT *, row_number() OVER w - 1 AS at, min(block_ix) OVER (PARTITION BY book_id, page_number, island) AS table_ix, count(*) OVER (PARTITION BY book_id, page_number, island) AS n FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag WINDOW w AS (PARTITION BY book_id, page_number, island ORDER BY block_ix)), t AS (SELECT c.*, k.k FROM c, (SELECT unnest(range(2, 200)) AS k) k WHERE n >= 6 AND k <= n // 2 AND n % k = 0), m AS (SELECT *, coalesce(bbox.x, 0) AS x, floor(avg(coalesce(bbox.x, 0)) OVER (PARTITION BY book_id, page_number, table_ix, k, at % k)) AS mean FROM t) SELECT book_id, page_number, table_ix, CAST(min(k) AS INTEGER) AS columns FROM (SELECT book_id, page_number, table_ix, k, bool_or(abs(x - mean) > floor(mean / 6) + 50) AS bad FROM m GROUP BY book_id, page_number, table_ix, k) WHERE NOT bad GROUP BY book_id, page_number, table_ix",
+    "grid_columns": f"WITH c AS (SELECT *, row_number() OVER w - 1 AS cell_no, min(block_ix) OVER (PARTITION BY book_id, page_number, island) AS table_ix, count(*) OVER (PARTITION BY book_id, page_number, island) AS n FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag WINDOW w AS (PARTITION BY book_id, page_number, island ORDER BY block_ix)), t AS (SELECT c.*, k.k FROM c, (SELECT unnest(range(2, 200)) AS k) k WHERE n >= 6 AND k <= n // 2 AND n % k = 0), m AS (SELECT *, coalesce(bbox.x, 0) AS x, floor(avg(coalesce(bbox.x, 0)) OVER (PARTITION BY book_id, page_number, table_ix, k, cell_no % k)) AS mean FROM t) SELECT book_id, page_number, table_ix, CAST(min(k) AS INTEGER) AS columns FROM (SELECT book_id, page_number, table_ix, k, bool_or(abs(x - mean) > floor(mean / 6) + 50) AS bad FROM m GROUP BY book_id, page_number, table_ix, k) WHERE NOT bad GROUP BY book_id, page_number, table_ix",
     "progress_fold": FOLD,
     "stage_remap": f"SELECT task_id, CAST(round(progress * 0.5) AS INTEGER) AS first_stage, CAST(round(progress * 0.5 + 50) AS INTEGER) AS second_stage FROM ({FOLD})",
     "log_search": "SELECT event_id, line FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || props AS line FROM events) WHERE event_type = 'click' AND contains(lower(line), '1')",
