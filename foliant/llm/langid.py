@@ -75,7 +75,7 @@ def _table() -> np.ndarray:
 
 def codes(texts: list[str]) -> np.ndarray:
     """The texts as one array of letters and single spaces, the separator between them."""
-    raw = np.frombuffer((" ￿ ".join([*texts, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.frombuffer((" " + " ￿ ".join([*texts, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)
     cp = _table()[np.where(raw > SEP, SPACE, raw) if raw.size and raw.max() > SEP else raw]
     cp = cp[cp != 0]
     blank = cp == SPACE
