@@ -226,6 +226,8 @@ CLEAR = 0.6  # a sentence speaks for a second language only if it beats the docu
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 _CODE = re.compile(r"(?is)<(pre|code|script|style)\b.*?</\1\s*>")
 _TAG = re.compile(r"<[^<>]*>")
+#: A line of code or markup: an assignment, a call that ends a statement, braces, a tag.
+_CODE_LINE = re.compile(r"\w\s*=\s*[\w\"'\[{(]|[{}]|<[/|]?\w+\|?>|\w\(\S*\)\s*;")
 _ENTITY = re.compile(r"&(#\d+|#x[0-9a-fA-F]+|\w+);")
 
 
@@ -326,7 +328,7 @@ def label_documents(documents: DataFrame, model: Classifier, temperature: float)
     """(doc_id, label, lang, confidence, languages, segments) of documents (doc_id, text, lang), without a shuffle.
 
     label is the given lang.
-    segments are runs of sentences in one language, as code point offsets. A null, empty or letterless text has a null
+    Lines of code aren't judged. segments are runs of sentences in one language, as code point offsets. A null, empty or letterless text has a null
     language and empty arrays; a null doc_id stays; repeated rows stay repeated; other columns are ignored; an empty
     table gives no rows.
     """
@@ -358,7 +360,8 @@ def label_documents(documents: DataFrame, model: Classifier, temperature: float)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             cuts = [spans(t) for t in texts]
-            sc, letters = model.scores([t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in c])
+            sentences = [t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in c]
+            sc, letters = model.scores(["" if _CODE_LINE.search(s) else s for s in sentences])  # code speaks no language
             at, rows = 0, []
             for t, c in zip(texts, cuts, strict=True):
                 rows.append(one(t, c, sc[at : at + len(c)], letters[at : at + len(c)]))
