@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,19 @@ def session(cpus: int | str = "*", shuffle: int = 8, app: str = "foliant") -> Sp
     )
 
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it; a cluster installs or ships it."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
