@@ -147,13 +147,19 @@ class Classifier:
             self.weights += a[k : k + 128].T.astype(np.float32) @ dual[k : k + 128]
 
     def _kernel(self, texts: list[str], a: np.ndarray, na: np.ndarray) -> np.ndarray:
-        """(texts x landmarks), in blocks."""
+        """(texts x landmarks): the landmarks' rows of each text's n-grams, added up."""
+        by_gram = np.ascontiguousarray(a.T)
         out = np.empty((len(texts), len(a)), np.float32)
-        for i in range(0, len(texts), 128):
-            x = self._presence(texts[i : i + 128]).astype(np.float32)
-            nx = np.sqrt(np.maximum(x.sum(1), 1))
-            for j in range(0, len(a), 128):
-                out[i : i + 128, j : j + 128] = (x @ a[j : j + 128].T.astype(np.float32)) / np.outer(nx, na[j : j + 128])
+        for k in range(0, len(texts), 64):
+            part = texts[k : k + 64]
+            cp = codes(part)
+            found: list[list[np.ndarray]] = [[] for _ in part]
+            for seg, ids in self._present(cp, np.cumsum(cp == SEP, dtype=np.int32), len(part)):
+                for i, own in enumerate(np.split(ids, np.searchsorted(seg, np.arange(1, len(part))))):
+                    found[i].append(own)
+            for i, parts in enumerate(found):
+                ids = np.concatenate(parts)
+                out[k + i] = by_gram[ids].sum(0, dtype=np.float32) / np.sqrt(max(len(ids), 1)) / na
         return out
 
     def _presence(self, texts: list[str]) -> np.ndarray:
