@@ -260,3 +260,32 @@ def bilingual(content: str, answers: dict[int, str], mode: str, source: str, tar
         n.attrs.setdefault("lang", source)
         siblings[at : at + 1] = {"bilingual": [new, n], "interleaved": [n, new]}.get(mode, [new])
     return render(tree)
+
+
+def bilingual_documents(df: DataFrame, keys: list[str], answer, mode: str, source: str, target: str, content: str = "content", scope: Scope = Scope()) -> DataFrame:
+    """keys + (content): each document with `answer` of its selected texts put in. Null contents stay null."""
+    rows = df.select(*keys, F.col(content).cast("string").alias("__content"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[keys].copy()
+            made = []
+            for text in b["__content"]:
+                if not isinstance(text, str):
+                    made.append(None)
+                    continue
+                parts = selected(Tree(text), scope)
+                made.append(bilingual(text, {k: answer(t) for k, (_, _, t) in enumerate(parts)}, mode, source, target, scope))
+            out["content"] = made
+            yield out
+
+    return rows.mapInPandas(run, f"{kinds}, content string")
+
+
+def with_font(html: str, font: str) -> str:
+    """A document whose body has a font: a style at the end of the head, or at the start of the document if it has none."""
+    style = f"<style>body {{ font-family: {font}; }}</style>"
+    if re.search("</head>", html, re.I):
+        return re.sub("</head>", lambda m: style + m.group(), html, count=1, flags=re.I)
+    return re.sub(r"(<html\b[^>]*>)", lambda m: m.group() + style, html, count=1, flags=re.I)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import blocks as B
 from foliant.functions import html_tree as H
 from foliant.functions import text as T
-from foliant.operators import ocr, progress, resume, toc
+from foliant.operators import ocr, progress, refine, resume, toc
 from foliant.operators import translate as TR
 from foliant.session import table
 from foliant.sources import srt
@@ -500,3 +500,38 @@ def srt_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Cues written as files and parsed again; what isn't a whole cue is lost on the way."""
     c = table(spark, folder, "srt_entries").where("start_time is not null and end_time is not null and text is not null").dropDuplicates(["book_id", "idx"])
     return srt.files(c).select("book_id", F.explode(srt.cues(F.col("text"))).alias("c")).select("book_id", "c.*")
+
+
+# ---------------------------------------------------------------- second passes
+
+
+@query
+def refined_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose neighbouring paragraphs a second pass joined by twos, matched to the blocks they were."""
+    p = pages(spark, folder).where("text != ''")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "text"))), lambda s: s["text"]), " ")
+    refined = p.groupBy("book_id", "page_number", F.floor(F.col("block_ix") / 2).cast("int").alias("block_ix")).agg(joined.alias("text"))
+    return refine.carry_over(refined, p)
+
+
+def _squeezer() -> Callable[[list[str], int], list[str]]:
+    return lambda texts, _: [" ".join(t.split()) for t in texts]
+
+
+@query
+def refined_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages refined until nothing changes, by a stand-in that squeezes white space."""
+    return refine.to_fixpoint(pages(spark, folder), _squeezer)
+
+
+@query
+def plain_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents taken as answers in plain text: the types of their lines."""
+    lines = docs(spark, folder).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("pos", "line"))
+    return lines.select("doc_id", "pos", B.plain_type(F.col("line")).alias("kind"))
+
+
+@query
+def bilingual_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters as bilingual documents: selected texts with a stand-in's answers put in."""
+    return H.bilingual_documents(chapters(spark, folder), ["book_id", "idx"], lambda t: f"[ZH] {t}", "bilingual", "auto", "zh-CN")
