@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from foliant.functions import html_tree as H
 from foliant.functions import text as T
 from foliant.operators import ocr, progress, refine, resume, toc
 from foliant.operators import translate as TR
-from foliant.session import table
+from foliant.session import reach, shared_folder, table
 from foliant.sources import srt
+from foliant.streaming import progress as streams
 
 from .oracles import SQL
 
@@ -463,8 +465,12 @@ def box_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as progress of their users' tasks."""
+    return _as_progress(table(spark, folder, "events"))
+
+
+def _as_progress(events: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("Started", "ChapterStarted", "ChunkFinished", "ChapterFinished", "ChunkFinished", "ChapterFinished", "ChunkStarted", "ChapterFinished")]), (F.col("event_id") % 8 + 1).cast("int"))
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("event"),
         F.when(kind == "Started", F.col("event_id") % 13 + 3).alias("total"), (F.col("event_id") % 4).alias("chunk_index"), F.lit(5).cast("bigint").alias("chunk_total"),
     )
@@ -535,3 +541,37 @@ def plain_answers(spark: SparkSession, folder: str) -> DataFrame:
 def bilingual_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters as bilingual documents: selected texts with a stand-in's answers put in."""
     return H.bilingual_documents(chapters(spark, folder), ["book_id", "idx"], lambda t: f"[ZH] {t}", "bilingual", "auto", "zh-CN")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream gives when it has read all there is: its batches, written to the shared folder."""
+    folder = f"{shared_folder(stream.sparkSession)}/streams/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again takes its own place
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """The fold of the events as a stream; its last states are those of the batch."""
+    reach(spark)
+    raw = spark.readStream.schema(table(spark, folder, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/event*.parquet")
+    last = _drained(streams.fold(_as_progress(raw)), "progress", "update")
+    states = last.groupBy("task_id").agg(F.max_by(F.struct("total", "completed", "progress"), "seq").alias("s"))
+    return states.select("task_id", "s.*")
+
+
+@query
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Event kinds of each user that a stream sees for the first time."""
+    raw = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/event*.parquet")
+    keyed = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("cache_key"))
+    return _drained(streams.first_seen(keyed, delay="3650 days"), "dedup", "append").select("cache_key")

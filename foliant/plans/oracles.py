@@ -149,6 +149,8 @@ SQL: dict[str, str] = {
     "grid_columns": f"WITH c AS (SELECT *, row_number() OVER w - 1 AS cell_no, min(block_ix) OVER (PARTITION BY book_id, page_number, island) AS table_ix, count(*) OVER (PARTITION BY book_id, page_number, island) AS n FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag WINDOW w AS (PARTITION BY book_id, page_number, island ORDER BY block_ix)), t AS (SELECT c.*, k.k FROM c, (SELECT unnest(range(2, 200)) AS k) k WHERE n >= 6 AND k <= n // 2 AND n % k = 0), m AS (SELECT *, coalesce(bbox.x, 0) AS x, floor(avg(coalesce(bbox.x, 0)) OVER (PARTITION BY book_id, page_number, table_ix, k, cell_no % k)) AS mean FROM t) SELECT book_id, page_number, table_ix, CAST(min(k) AS INTEGER) AS columns FROM (SELECT book_id, page_number, table_ix, k, bool_or(abs(x - mean) > floor(mean / 6) + 50) AS bad FROM m GROUP BY book_id, page_number, table_ix, k) WHERE NOT bad GROUP BY book_id, page_number, table_ix",
     "plain_answers": f"SELECT doc_id, pos, CASE WHEN {caption('t')} THEN 'caption' WHEN regexp_matches(t, '^##+ ') OR regexp_matches(t, '^[0-9]+\\.[0-9]') THEN 'subheading' WHEN {heading('t')} THEN 'heading' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, pos, {trim('line')} AS t FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') END AS l FROM {DOCS})))",
     "progress_fold": FOLD,
+    "stream_progress": FOLD,
+    "stream_dedup": "SELECT DISTINCT user_id || '/' || event_type AS cache_key FROM events",
     "stage_remap": f"SELECT task_id, CAST(round(progress * 0.5) AS INTEGER) AS first_stage, CAST(round(progress * 0.5 + 50) AS INTEGER) AS second_stage FROM ({FOLD})",
     "log_search": "SELECT event_id, line FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || props AS line FROM events) WHERE event_type = 'click' AND contains(lower(line), '1')",
     "srt_html": f"SELECT book_id, idx, '<div class=\"srt-entry\" data-start=\"' || {ESCAPE.format('start_time')} || '\" data-end=\"' || {ESCAPE.format('end_time')} || '\"><p>' || {ESCAPE.format('text')} || '</p></div>' AS html FROM {ONE['cues']} WHERE start_time IS NOT NULL AND end_time IS NOT NULL",
