@@ -74,17 +74,16 @@ def split_chapters(chapters: DataFrame, jobs: DataFrame, broadcast_rows: int = 2
         .where("job_id is not null and book_id is not null")
         .dropDuplicates(["job_id"])
     )
-    texts = (
-        chapters.where("book_id is not null and idx is not null and content is not null")
-        .select("book_id", "idx", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-        .dropDuplicates(["book_id", "idx"])
-        .withColumn("n", tokens(F.col("text")))
-    )
+    texts = chapters.where("book_id is not null and idx is not null and content is not null").select(
+        "book_id", "idx", F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    ).withColumn("n", tokens(F.col("text")))
     if jobs.count() <= broadcast_rows:
         jobs = F.broadcast(jobs)
+    # repeated rows are dropped after the limit's test, so that only oversized texts are shuffled
     return (
         texts.join(jobs, "book_id")
         .where(F.col("n") > F.col("limit"))
+        .dropDuplicates(["job_id", "idx"])
         .select("job_id", "book_id", "idx", pieces_of(F.col("text"), F.col("limit"), F.col("overlap")).alias("all"))
         .select("job_id", "book_id", "idx", F.size("all").alias("n_pieces"), F.posexplode("all").alias("piece_no", "p"))
         .select(
