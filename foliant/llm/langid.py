@@ -1,6 +1,6 @@
 """Problem 1: the language of texts and of their segments, by string kernels.
 
-The kernel of two texts is the number of character n-grams (n = 1 to 4, a blended spectrum) present in both, divided by
+The kernel of two texts is the number of character n-grams (n = 2 to 4, a blended spectrum) present in both, divided by
 the root of the product of their own numbers. Nystroem landmarks are a fixed share of the labelled samples; ridge
 regression in their feature space gives one classifier per language. As the kernel against landmarks is X A' (X: which
 n-grams a segment has, A: which a landmark has), the scores of a block of segments are the product X (A' W), computed
@@ -42,7 +42,7 @@ LATIN = dict(
     )
 )
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3, 4)
 SLOTS = 1 << 19
 SEP, SPACE = 0xFFFF, 32
 _PICK, _CHARS = 1 << 21, 1 << 18
@@ -87,10 +87,10 @@ def codes(texts: list[str]) -> np.ndarray:
 def _keys(cp: np.ndarray) -> Iterator[np.ndarray]:
     """For each order the n-grams as exact 64-bit keys, at the position where each begins."""
     key = cp
-    for n in ORDERS:
-        if n > 1:
-            key = (key[:-1] << np.uint64(16)) | cp[n - 1 :]
-        yield key
+    for n in range(2, ORDERS[-1] + 1):
+        key = (key[:-1] << np.uint64(16)) | cp[n - 1 :]
+        if n in ORDERS:
+            yield key
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
