@@ -25,6 +25,7 @@ SHARE = 1 / 3
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_ACCENTS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]|(?<=\\w)-[ \t]*\r?\n[ \t]*")
 
@@ -34,9 +35,7 @@ def fold(text: str) -> str:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)) if any(map(unicodedata.combining, set(text))) else text
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", _ACCENTS.sub("", unicodedata.normalize("NFKD", text)))
     return _HIDDEN.sub("", text).casefold()
 
 
