@@ -270,6 +270,8 @@ def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, m
     jobs = jobs.where("job_id is not null and book_id is not null").select(
         "job_id", "book_id", langid.label_code(F.col("target_lang")).alias("target")
     ).dropDuplicates(["job_id"])
+    if jobs.count() <= BROADCAST_ROWS:  # else contents are shuffled to their jobs
+        jobs = F.broadcast(jobs)
     done = checkpoints.where("status = 'completed' and job_id is not null and idx is not null").select("job_id", "idx", "content")
     answers = long_features(done.join(jobs.select("job_id", "target", "book_id"), "job_id"), ["job_id", "idx", "book_id", "target"], model, "target")
     answers = answers.dropDuplicates(["job_id", "idx"])

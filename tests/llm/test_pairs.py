@@ -67,3 +67,10 @@ def test_spikes(spark):
 def test_shortened(spark):
     df = spark.createDataFrame([("es", "gremio", 9), ("es", "gremio de", 1), ("es", "gremio de @", 5), ("es", "faro", 3), ("fr", "gremio", 1)], "target string, phrase string, n long")
     assert sorted(tuple(r) for r in P.shortened(df).select("target", "phrase", "longer").collect()) == [("es", "gremio", "gremio de"), ("es", "gremio de", "gremio de @")]
+
+
+def test_both_ways_of_joining_agree(spark, data, model, monkeypatch):
+    tables = [spark.read.parquet(f"{data}/{t}.parquet") for t in ("chapters", "job_options", "checkpoints")]
+    few = sorted(map(tuple, P.long_defects(*tables, model).collect()))
+    monkeypatch.setattr(P, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, P.long_defects(*tables, model).collect())) == few
