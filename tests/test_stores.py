@@ -1,0 +1,56 @@
+"""Stores and services."""
+
+from pyspark.sql import functions as F
+
+from foliant.operators import backends as B
+from foliant.operators import translate as TR
+from foliant.sources import stores as S
+
+
+def test_cache_is_warm_after_a_run(spark, tmp_path):
+    cache = S.CacheTable(spark, str(tmp_path / "cache"))
+    docs = spark.createDataFrame([(1, "One. Two."), (2, "Three.")], "doc_id long, text string")
+    chunked = TR.keyed(TR.chunks(docs, ["doc_id"], "text", 1), "fake")
+    assert cache.read().count() == 0
+    missing = TR.misses(chunked, cache.read())
+    cache.put(TR.call(missing, TR.Fake))
+    assert TR.misses(chunked, cache.read()).count() == 0
+    cold = TR.reassemble(TR.lookup(chunked, cache.read()), ["doc_id"]).orderBy("doc_id").collect()
+    cache.put(cache.read())  # repeated rows change nothing
+    assert TR.reassemble(TR.lookup(chunked, cache.read()), ["doc_id"]).orderBy("doc_id").collect() == cold
+    cache.clear()
+    assert cache.read().count() == 0
+
+
+def test_checkpoint_files(spark, tmp_path):
+    rows = [("j", "h", "p", 1, "b", "failed", None, "e"), ("j", "h", "p", 0, "a", "completed", bytearray(b"<p/>"), None), ("k", "", "p", 0, "a", "pending", None, None)]
+    df = spark.createDataFrame(rows, "job_id string, source_hash string, source_path string, idx int, href string, status string, content binary, error string")
+    S.write_checkpoints(df, str(tmp_path))
+    folder = next(tmp_path.iterdir())
+    for k, f in enumerate(sorted(folder.glob("part*.json"))):
+        for n, line in enumerate(f.read_text().splitlines()):
+            (tmp_path / f"{k}-{n}.json").write_text(line)
+    (tmp_path / "bad.json").write_text("{not json")
+    got = S.read_checkpoints(spark, str(tmp_path / "*.json"))
+    assert sorted(map(tuple, got.select("job_id", "idx", "status", "error").collect())) == [("j", 0, "completed", None), ("j", 1, "failed", "e"), ("k", 0, "pending", None)]
+    assert bytes(got.where("content is not null").first()["content"]) == b"<p/>"
+
+
+def test_log(spark):
+    df = spark.sql("select timestamp'2025-01-02 03:04:05' time, 'm' message, d details from values ('x'), (null), ('') t(d)")
+    assert [r[0] for r in S.log_text(df).collect()] == ["[2025-01-02 03:04:05] m\n  x", "[2025-01-02 03:04:05] m", "[2025-01-02 03:04:05] m"]
+
+
+def test_services(spark):
+    class Sharper:
+        def verify(self, image, mime, text, scale):
+            if scale == 1.0:
+                raise RuntimeError("busy")
+            return text.upper(), 0.5 * scale
+
+    images = spark.createDataFrame([("b", 1, bytearray(b"one\ntwo"), "x"), ("b", 2, None, "x"), ("b", 3, bytearray(b"\xff"), "x")], "book_id string, page_number int, image binary, mime string")
+    got = {r["page_number"]: r for r in B.recognise(images, B.FakeReader).collect()}
+    assert [x["text"] for x in got[1]["blocks"]] == ["one", "two"] and got[2]["error"] == "no image" and got[3]["error"]
+    cand = images.where("page_number = 1").select("*", F.lit(0).alias("block_ix"), F.lit("abc").alias("text"), F.lit(0.6).alias("confidence"))
+    row = B.verify(cand, Sharper).first()
+    assert (row["text"], row["confidence"], row["changed"]) == ("ABC", 0.75, True)
