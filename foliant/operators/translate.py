@@ -50,8 +50,9 @@ def lookup(chunked: DataFrame, cache: DataFrame) -> DataFrame:
 def misses(chunked: DataFrame, cache: DataFrame) -> DataFrame:
     """(cache_key, chunk): each distinct chunk that the cache lacks, once."""
     known = cache.where("translation is not null").select("cache_key")
-    # duplicates are dropped before the join, map-side first: a chunk that a third of the rows hold moves once a task
-    return chunked.select("cache_key", "chunk").groupBy("cache_key").agg(F.min("chunk").alias("chunk")).join(known, "cache_key", "left_anti")
+    # duplicates are dropped before the join, map-side first: a chunk that a third of the rows hold moves once a task;
+    # the key follows from the chunk, so both are grouped by, which hashes where an aggregate of strings would sort
+    return chunked.select("cache_key", "chunk").distinct().join(known, "cache_key", "left_anti")
 
 
 def call(missing: DataFrame, make: Callable[[], Translator], concurrency: int = 3, retries: int = 3) -> DataFrame:

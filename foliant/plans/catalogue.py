@@ -83,7 +83,9 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
 def token_estimate(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of raw chapters, markup included, per book."""
     n = T.tokens(F.make_valid_utf8(F.col("content").cast("string")))
-    return chapters(spark, folder).groupBy("book_id").agg(F.sum(n).alias("tokens"), F.count("*").alias("chapters"))
+    # counted where the content is read: repeated rows have the same count, and no content is shuffled
+    each = table(spark, folder, "chapters").select("book_id", "idx", n.alias("n")).dropDuplicates(["book_id", "idx"])
+    return each.groupBy("book_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("chapters"))
 
 
 @query
@@ -177,7 +179,7 @@ def skip_docs(spark: SparkSession, folder: str) -> DataFrame:
     skip = F.lit(False)
     for p in ("cover", "titlepage", "copyright", "dedication", "colophon", "ch0[12]"):
         skip = skip | low.rlike(p)
-    return chapters(spark, folder).select("book_id", "idx", skip.alias("skipped"))
+    return table(spark, folder, "chapters").select("book_id", "idx", skip.alias("skipped")).distinct()
 
 
 @query
@@ -364,13 +366,14 @@ def prompt_leakage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def repeated_headers(spark: SparkSession, folder: str) -> DataFrame:
-    return ocr.repeated_headers(pages(spark, folder))
+    return ocr.repeated_headers(table(spark, folder, "verified_texts").where("text is not null"))  # repeated rows count once anyway
 
 
 @query
 def cleaned_blocks(spark: SparkSession, folder: str) -> DataFrame:
     p = pages(spark, folder)
-    return ocr.clean(p, ocr.repeated_headers(p, "greatest(2, floor(pages / 5))")).select("book_id", "page_number", "block_ix", "text")
+    all_rows = table(spark, folder, "verified_texts").where("text is not null")
+    return ocr.clean(p, ocr.repeated_headers(all_rows, "greatest(2, floor(pages / 5))")).select("book_id", "page_number", "block_ix", "text")
 
 
 @query
