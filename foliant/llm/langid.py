@@ -418,7 +418,7 @@ def score_parts(df: DataFrame, model: Classifier, markup: bool, chapter: str | N
     return source.mapInPandas(run, PART)
 
 
-CHAPTER_CLEAR, CHAPTER_LETTERS = 0.3, 60
+CHAPTER_CLEAR, CHAPTER_LETTERS = 0.8, 60
 
 
 def label_books(parts: DataFrame, temperature: float) -> DataFrame:
