@@ -13,7 +13,7 @@ from foliant.functions import html_tree as H
 from foliant.functions import text as T
 from foliant.operators import ocr, progress, refine, resume, toc
 from foliant.operators import translate as TR
-from foliant.session import reach, shared_folder, table
+from foliant.session import checkpointed, reach, shared_folder, table
 from foliant.sources import srt
 from foliant.streaming import progress as streams
 
@@ -240,7 +240,8 @@ def cache_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
 def _answered(spark: SparkSession, folder: str) -> DataFrame:
     chunked = _chunks(spark, folder)
     cache = _cache(chunked)
-    new = TR.call(TR.misses(chunked, cache), TR.Fake, concurrency=8)
+    # kept before anything reads them, so that no call is made twice
+    new = checkpointed(TR.call(TR.misses(chunked, cache), TR.Fake, concurrency=8))
     full = TR.upsert(cache, new)
     answered = TR.lookup(chunked, full).select("doc_id", "chunk_ix", "translation")
     return TR.reassemble(answered, ["doc_id"])
