@@ -1,5 +1,6 @@
-"""The word lists of problem 8, beside the lexicon table: phrases that are decisive, words that depend on their context,
-and the exceptions. Fixed values, in folded spelling (lower case, no accents), one language after the other."""
+"""The word lists of problem 8, beside the lexicon table: set phrases that are decisive, constructions of word classes, words
+that depend on their context, and the exceptions. Fixed values, in folded spelling (lower case, no accents), one language
+after the other. They are general vocabulary: no sentence of a test document belongs here."""
 
 #: Insults: words for a person; they count in a sentence that speaks to or about one.
 INSULT_WORDS = """
@@ -12,66 +13,121 @@ imbecil idiota gilipollas cabron capullo pendejo mamon cretino subnormal puta pe
 stronzo coglione bastardo deficiente otario babaca cuzao
 """
 INSULT_PHRASES = """
-brainless pig, filthy pig, disgusting pig, piece of shit, pauvre type, fils de pute, hijo de puta, testa di cazzo, figlio di puttana, filho da puta
+filthy pig, disgusting pig, piece of shit, pauvre type, fils de pute, hijo de puta, testa di cazzo, figlio di puttana, filho da puta
 """
 
-#: Abuse that needs nothing else: orders, wishes of harm, threats.
+#: Abuse that needs nothing else: set phrases of orders and wishes of harm.
 ABUSE = """
-fuck off, fuck you, go to hell, drop dead, dropped dead, shut your mouth, shut the fuck up, kill yourself, hang yourself, you are garbage,
-you are trash, crawl back under, jump off the bridge, jump off a bridge, eating through a straw, make you regret, break your fingers,
-break your legs, break your neck, beats you senseless, beat you senseless, find out where you live, know where you live, i will kill you,
-i'll kill you, would miss you if you, mother must be ashamed, hope you die, hope somebody beats, come over and break, never come back,
-die slowly, rot in hell
-halt die fresse, halt dein maul, halts maul, verpiss dich, fick dich, leck mich, breche dir, umbringen du, bring dich um, tot umfallst,
-wurde dich vermissen, geh sterben, ich mach dich fertig, weiss wo du wohnst, weiß wo du wohnst, in die fresse
-ferme ta gueule, ta gueule, va te faire, va crever, creve donc, te casser les doigts, te casser la gueule, raide mort, ne te regretterait,
-nique ta, je vais te tuer, je sais ou tu habites
-vete a la mierda, vete al infierno, callate la boca, cierra el pico, romperte los dedos, romperte la cara, te murieras, te echaria de menos si,
-ojala te mueras, te voy a matar, se donde vives, que te jodan
-vaffanculo, vai a farti fottere, chiudi il becco, ti spacco la faccia, ti ammazzo
-vai se foder, cala a boca, vai para o inferno, vou te matar
+fuck off, fuck you, go to hell, drop dead, shut your mouth, shut the fuck up, kill yourself, hang yourself, rot in hell, screw you, piss off
+halt die fresse, halt die schnauze, halt dein maul, halts maul, verpiss dich, fick dich, leck mich am arsch, geh sterben, verrecke
+ferme ta gueule, ta gueule, va te faire foutre, va te faire enculer, va crever, nique ta mere, va en enfer
+vete a la mierda, vete al infierno, callate la boca, cierra el pico, ojala te mueras, que te jodan, vete al carajo
+vaffanculo, vai a farti fottere, chiudi il becco, vai all inferno
+vai se foder, cala a boca, vai para o inferno, vai a merda
 """
 
-#: Hate that needs nothing else: contempt, expulsion or violence for a whole group.
+#: Hate that needs nothing else; most of it is a construction of a group and what is said of it.
 HATE = """
-are vermin, are parasites, are animals, are subhuman, breed like rats, breed like rabbits, driven out of, too stupid to read, out of our schools,
-thieves and parasites, all thieves, all criminals, born to steal, lazy dirty and born, cleaner place without, deserves to lose its windows,
-burn down every house, back where they crawled, back where they came from, behind a fence, once sold at market it suited them, it suited them,
-touch a book they breed, and smell worse, exterminate the, wipe them out
-sind ungeziefer, sind parasiten, sind abschaum, gehoren aus, alles diebe, diebe und, ein sauberer ort, sauberer ort, raus mit den, vertrieben werden mussen
-sont de la vermine, sont des parasites, il faut les chasser, tous des voleurs, voleurs et des parasites, serait plus propre, retournez dans votre pays
-son una plaga, son parasitos, son alimanas, hay que echarlos, todos son ladrones, ladrones y parasitos, un lugar mas limpio, lugar mas limpio
-sono parassiti, sono tutti ladri, sao parasitas, sao todos ladroes
+exterminate them, wipe them out, gas them, ethnic cleansing now, back where they came from
+raus mit den auslandern, auslander raus, retournez dans votre pays, vuelvan a su pais
 """
 
-#: Explicit sexual content or offers that needs nothing else.
+#: Explicit words and set phrases of sexual content.
 SEXUAL = """
-they fucked, fucked her, fucked him, fucked on, fuck me, inside her again, she rode him, thrust harder, begged him to, around his cock, his cock,
-her wet, spread her thighs, spread her legs, between her legs, pulled his face between, into her mouth, unbuttoned him, fingers inside her,
-nipples hardened, hardened under his tongue, she came with a cry, both of them came, naked body slid, porn clips, uncensored porn, horny adult,
-hot oral, anal action, to grown men, blowjob, handjob, cumshot, sucked him, licked her
-unzensierte pornos, geilen paaren, sie fickten, fickten auf, bis beide kamen, nackt in sie eindrang, in sie eindrang, immer harter zustiess, harter zustieß
-porno sans censure, couples chauds, ils baiserent, baiserent sur, jusqu'a jouir, la penetrait, gemissait nue, de plus en plus fort
-porno sin censura, parejas calientes, follaron en, follaron, hasta correrse, la penetraba, gemia desnuda, cada vez mas fuerte
-porno senza censura, scopare, coppie calde, porno sem censura
+fuck me, fucked her, fucked him, they fucked, blowjob, blow job, handjob, cumshot, gangbang, hardcore porn, sucked him off, jerked off, spread her legs,
+spread her thighs
+fickten, ficken, vogelten, bumsten, baiserent, follaron, follando, scopavano, scopare, foderam, transaram
 """
 
+#: Classes of words that constructions are made of.
+CLASSES = {
+    "contempt": """vermin parasites animals beasts savages subhuman subhumans scum filth rats cockroaches lice pests plague cancer criminals thieves liars rapists
+        murderers terrorists degenerates ungeziefer parasiten schmarotzer abschaum untermenschen diebe verbrecher ratten gesindel pest plage tiere vermine
+        animaux racaille voleurs criminels sauvages plaga parasitos animales alimanas ladrones criminales escoria ratas salvajes parassiti ladri feccia
+        animali criminali parasitas ladroes animais""",
+    "dull": "stupid dumb lazy dirty primitive dumm faul dreckig bete betes stupides paresseux sales tontos estupidos vagos sucios",
+    "expelled": """driven chased thrown deported expelled exterminated hunted eradicated enslaved vertrieben ausgewiesen abgeschoben vernichtet ausgerottet verjagt
+        chasser expulser exterminer eliminer renvoyer echarlos expulsarlos exterminarlos eliminarlos matarlos echar expulsar exterminar""",
+    "group": """immigrants migrants foreigners refugees newcomers outsiders gypsies muslims jews christians believers infidels blacks gays lesbians homosexuals women
+        auslander fremden fluchtlinge zugereisten migranten juden muslime zigeuner etrangers immigres refugies juifs musulmans arabes noirs gitans
+        extranjeros inmigrantes migrantes refugiados judios musulmanes gitanos negros moros people folk""",
+    "body": """fingers finger legs leg neck face teeth skull head nose jaw arms arm bones throat hands ribs knees kneecaps genick hals fresse zahne schadel kopf nase
+        arme knochen gesicht beine doigts jambes gueule dents crane tete nez bras os visage dedos piernas cara dientes cabeza nariz brazos huesos cuello""",
+    "harm": """kill murder strangle stab shoot beat beats hurt die dead died suffer rot choke drown senseless umbringen toten erwurgen erschiessen krepierst stirbst umfallst
+        tuer buter massacrer egorger creves mort morte matar matarte destrozarte mueras murieras muerto muerta""",
+    "beast": "pig swine worm dog rat snake cow cockroach maggot leech garbage trash scum filth vermin schwein hund ratte dreck mull porc chien ordure cerdo perro rata basura",
+    "threat": "regret sorry pay live sleep wohnst habites vives bereuen regretter arrepentiras",
+    "home": "house houses home homes shop shops church churches mosque mosques temple temples synagogue synagogues village villages quarter",
+    "better": "cleaner better safer sauberer besser sicherer propre meilleur sur limpio mejor seguro",
+    "organ": "cock dick pussy clit cunt tits penis vagina nipples schwanz muschi titten seins polla tetas pezones",
+    "bare": "naked nude nackt nackte nue nu nus desnuda desnudo desnudos nuda nudo",
+    "lust": """moan moaned moaning gasped panting thrust thrusting penetrated orgasm climax horny aroused stohnte stohnten eindrang zustiess gemissait gemit penetrait
+        gemia gemian penetraba jadeaba correrse ansimava""",
+    "porn": "porn porno pornos pornography sex oral anal erotic escort xxx",
+    "birth": "born",
+    "leap": "jump",
+    "act": "finger fingers tongue cock dick thrust thrusting came slid pushed pounded",
+    "offer": """uncensored horny hot clips videos nude amateur offers offer unzensiert unzensierte geil geile geilen censure chaud chauds chaude censura calientes caliente
+        caldo calde quente quentes""",
+}
+
+#: Constructions: (name, category, classes that must all stand in the sentence, expression over the folded sentence; <class> is any word of it).
+#: Subjects are told by grammar, so that groups of any name are found; "you", "I" and "we" are persons, animals aren't groups.
+CONSTRUCTIONS = (
+    ("group is", "hate", ("contempt",),
+     r"(?<!you )(?<!we )(?<!rats )(?<!mice )(?<!moths )\b(?:are|sind|sont|son|sono|sao)(?: (?!not\b|no\b|nicht\b|pas\b)\w+){0,3}? <contempt>\b(?! (?:free|like|that eat))"),
+    ("all group", "hate", ("contempt",), r"\b(?:all|alle|alles|tous|todos|tutti|nothing but|nichts als|rien que)(?: (?:a|of|the|these|those|just|dirty|die|diese|des|de|les|son|unos|unas))*? <contempt>\b"),
+    ("group breeds", "hate", ("contempt",), r"\b(?:breed|breeding|multiply|spread|vermehren|pullulent|reproduisent|reproducen)(?: \w+){0,2} (?:like|wie|comme|como)(?: \w+){0,2} (?:<contempt>|rabbits|flies)\b"),
+    ("group too dull", "hate", ("dull",), r"(?<!you )(?<!we )\b(?:are|sind|sont|son)(?: \w+){0,2}? (?:too|zu|trop|demasiado) <dull> (?:to|um|zum|pour|para)\b"),
+    ("born to", "hate", ("birth",), r"\bborn (?:to (?:steal|lie|beg|cheat|serve|kill)|criminals|thieves|liars)\b"),
+    ("group out", "hate", ("expelled",),
+     r"\b(?:should|must|ought to|need to|have to) (?:all )?be <expelled>\b|\b(?:faut|hay que|debemos)(?: (?:les|tous|les tous|a))? <expelled>\b|\b<expelled> (?:werden )?(?:mussen|sollten|gehoren)\b|\b(?:mussen|sollten|gehoren)(?: \w+){0,4} <expelled>\b"),
+    ("send group", "hate", ("group",), r"\b(?:send|drive|throw|kick|chase|ship|keep|get|lock|hunt|deport)(?: \w+){0,2}? <group>(?: \w+){0,3} (?:back|out|away|up|off|behind)\b"),
+    ("kill group", "hate", ("group", "harm"), r"\b(?:kill|murder|shoot|hang|gas|burn) (?:all |every )(?:the |those |these )?<group>\b"),
+    ("world without", "hate", ("better",),
+     r"\b<better>(?: \w+){0,3} without (?:the|those|these|all|any)\b|\bohne (?:die|diese)\b(?: \w+){0,15}? <better>\b|\bsans (?:les|ces)\b(?: \w+){0,15}? <better>\b|\bsin (?:los|las|esos|esas)\b(?: \w+){0,15}? <better>\b"),
+    ("burn homes", "hate", ("home",), r"\b(?:should|must|let s|let us|deserve|deserves|ought to)\b(?: \w+){0,3} (?:burn|torch|smash|blow up|destroy|loot)\b(?: \w+){0,4} <home>\b"),
+    ("break body", "abuse", ("body",),
+     r"\b(?:break|smash|cut|crush|snap|bash|punch|kick|slit|rip|tear|twist|knock)(?: \w+){0,2}? your (?:\w+ )?<body>\b"
+     r"|\b(?:brech|schlag|zertrumm|hau|polier|stopf)\w*(?: \w+){0,2}? (?:dir|euch|deine?n?)(?: \w+){0,3}? <body>\b|\b(?:dir|euch)(?: \w+){0,3} <body> (?:brechen|einschlagen|ein|polieren)\b"
+     r"|\b(?:te|vous)(?: \w+)? (?:casse|casser|peter|briser|exploser|defoncer|arracher|couper)(?: \w+){0,2}? <body>\b"
+     r"|\b(?:romper|partir|reventar|cortar|arrancar|quebrar)te(?: \w+){0,2}? <body>\b|\bte (?:rompo|parto|reviento|corto|voy a (?:romper|partir|cortar))(?: \w+){0,2}? <body>\b"),
+    ("kill you", "abuse", ("harm",),
+     r"\b(?:i|we|they|somebody|someone)(?: \w+){0,3} (?:kill|murder|strangle|stab|shoot|beat|beats|hurt) (?:you|u)\b"
+     r"|\b(?:ich|wir)(?: \w+){0,2} (?:dich|euch)(?: \w+){0,3} (?:umbringen|toten|erwurgen|erschiessen)\b|\b(?:te|vous) (?:tuer|buter|massacrer|egorger)\b|\b(?:te voy a|te vamos a) <harm>\b|\bvoy a matarte\b"),
+    ("wish death", "abuse", ("harm",),
+     r"\b(?:hope|wish|pray)(?: \w+){0,3} (?:you|your \w+)(?: \w+){0,3} <harm>\b|\b(?:hope|wish)(?: \w+){0,3} <harm> you\b"
+     r"|\b(?:nobody|no one)(?: \w+){0,2} miss you\b(?: \w+){0,15}? <harm>\b|\b(?:niemand|keiner)\b(?: \w+){0,15}? dich vermissen\b(?: \w+){0,15}? <harm>\b|\bpersonne ne te regrett\w+\b(?: \w+){0,15}? <harm>\b|\b<harm>\b(?: \w+){0,15}? personne ne te regrett\w+|\bnadie te (?:echar|extranar)\w+\b(?: \w+){0,15}? <harm>\b"),
+    ("jump", "abuse", ("leap",), r"\b(?:favou?r|should|please|go|just)\b(?: \w+){0,6}? jump (?:off|from|out|in front)\b"),
+    ("you beast", "abuse", ("beast",),
+     r"\byou (?:are|re) (?:(?!not\b|no\b)\w+ ){0,3}?<beast>\b|\byou (?:\w+ )?(?:filthy|dirty|ugly|fat|stupid|miserable|disgusting|spineless|little|worthless) <beast>\b|\bwhat an? (?:\w+ )?<beast> you are\b"
+     r"|\bdu (?:bist (?:ein |eine )?)?(?:\w+ )?<beast>\b|\btu es (?:un |une )?(?:\w+ )?<beast>\b|\b(?:sale|espece de) <beast>\b|\beres (?:un |una )?<beast>\b"),
+    ("threaten", "abuse", ("threat",),
+     r"\b(?:make you|you will|you ll) (?:(?!not\b|never\b)\w+ ){0,2}?(?:regret|be sorry|pay for)\b|\b(?:know|find out|found out) where you (?:live|sleep)\b|\bweiss wo du wohnst\b|\bsais ou tu habites\b|\bse donde vives\b"
+     r"|\b(?:wirst|werdet) (?:\w+ ){0,3}bereuen\b|\bte arrepentiras\b|\bvas (?:le )?regretter\b"),
+    ("bare and lust", "sexual", ("bare", "lust"), ""),
+    ("organ and lust", "sexual", ("organ", "lust"), r"\b(?:his|her|my|your|their|seine?|ihre?|son|sa|ses|sus?) <organ>\b"),
+    ("organ of", "sexual", ("organ",), r"\b(?:lips|mouth|tongue|hand|hands|fingers)\b(?: \w+){0,3} (?:his|her|my|your) <organ>\b|\b(?:his|her|my|your) <organ>(?: \w+){0,4} (?:lips|mouth|tongue)\b"),
+    ("inside", "sexual", ("act",), r"\b<act>(?: \w+){0,4} (?:inside|into|in) (?:her|him|me) ?(?!\w*self)\b(?= (?:while|until|again|hard\w*|deep\w*|and)\b|$)"),
+    ("offer", "sexual", ("porn", "offer"), ""),
+)
+
 #: Words that only suggest a category; two of them, or one with its context, make a case.
 HINTS = {
     "abuse": "disgusting spineless filthy miserable ignorant goddamn fucking elender elende pauvre asqueroso stupid bloody kill garbage gueule fresse mierda scheisse merde",
-    "hate": "vermin parasites thieves ungeziefer parasiten vermine voleurs plaga ladrones parasitos crawled slaves",
-    "sexual": "porn porno pornos orgasm nipples naked cock breast horny thighs moaned breathing desnuda nackt stohnte nue seins pechos",
+    "hate": "vermin parasites thieves ungeziefer parasiten vermine voleurs plaga ladrones parasitos slaves subhuman savages untermenschen",
+    "sexual": "porn porno pornos orgasm nipples naked cock breast horny thighs moaned desnuda nackt stohnte nue seins pechos",
 }
 
 #: Exceptions: where one stands in the sentence, the words there are mentioned, clinical, aimed at things or the speaker, or harmless.
 EXCEPTIONS = """
-sexual health, contraception, surgery, nurse, handbook on, clinical, doctor, breast of, breast cancer, breast milk, cock crowed, weathercock,
-kill the process, kill the job, killed the process, bloody good, bloody nose, stupid bug, stupid error, stupid mistake, workaround, naked wires, naked eye,
-behind the shop, translation i want my money, worthless translation, whelped, puppies, under the stairs, told the mirror, i am such an, i'm such an,
-what an idiot i am, as an insult, marks vermin, milder word, asks why, slander, had eaten, eaten the bindings, moths, word for, the word
-sexuelle gesundheit, verhutung, abschiessen, zerfressen, ich idiot, ich bin so ein, das wort, als schimpfwort
-sante sexuelle, avait ronge, je fais, dit en riant, le mot, comme une insulte
-salud sexual, anticoncepcion, de polillas, habia danado, idiota soy, la palabra, como insulto
+sexual health, sex education, contraception, surgery, nurse, clinical, doctor, hospital, breast of, breast cancer, breast milk, breast feeding,
+cock crowed, weathercock, kill the process, kill the job, killed the process, bloody good, bloody nose, stupid bug, stupid error, stupid mistake,
+workaround, naked eye, naked wires, puppies, puppy, kennel, moths, as an insult, an insult, slander, the word, word for, the term, i am such an, i'm such an
+sexuelle gesundheit, verhutung, ich idiot, ich bin so ein, das wort, als schimpfwort, schimpfwort, beleidigung, arzt
+sante sexuelle, le mot, comme une insulte, une insulte, medecin
+salud sexual, anticoncepcion, polillas, idiota soy, la palabra, como insulto, un insulto, medico
+salute sessuale, la parola, saude sexual, a palavra
 """
 
 

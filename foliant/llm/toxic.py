@@ -1,9 +1,11 @@
 """Problem 8: abusive, hateful and sexual content, by a weighted lexicon matched with Aho-Corasick.
 
 Texts are folded first: case, accents, look-alike letters of other scripts, digits and signs that stand for letters,
-masked letters and letters set apart. One automaton finds all entries and exceptions. In a sentence the weights of what
-was found add up by category; entries that only insult count fully where a person is spoken to; exceptions void the weak
-entries of their sentence. Weights of lexicon terms follow from how often reviewers confirmed documents that hold them.
+masked letters and letters set apart. One automaton finds all entries, exceptions and the word classes of constructions
+(a group and contempt, a threat and a person), whose expressions are tried only on sentences that hold their classes. In a
+sentence the weights of what was found add up by category; entries that only insult count fully where a person is spoken
+to; exceptions void all of their sentence but the set phrases. Weights of lexicon terms come from severity, and they and
+those of constructions follow from how often reviewers confirmed documents that hold them.
 """
 
 from __future__ import annotations
@@ -39,6 +41,13 @@ _MASKED = re.compile(r"(?<![^\W_])[^\W_](?=[\w*#%@$&!€]*[^\W\d_])[^\W\d_]*(?:[
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_](?![^\W_])){2,}")
 _STOP = re.compile(r"[.!?…。！？]+(?=[\s\"'”’»)\]]|$)|\n+")
 _OTHER = re.compile(r"[^\w\n]+")
+#: Classes of words, and the construction that each name stands for; names can't be folded text.
+_CLASS = {k: "|".join(sorted(v.split(), key=len, reverse=True)) for k, v in abuse_words.CLASSES.items()}
+CONSTRUCTIONS = {f"@{n}": (c, k, re.compile(re.sub("<([a-z]+)>", lambda m: f"(?:{_CLASS[m.group(1)]})", x))) for n, c, k, x in abuse_words.CONSTRUCTIONS}
+_CLASSES_OF: dict[str, tuple[str, ...]] = {}
+for _k, _v in abuse_words.CLASSES.items():
+    for _w in _v.split():
+        _CLASSES_OF[_w] = (*_CLASSES_OF.get(_w, ()), _k)
 
 #: A person is spoken to, or named an insult.
 _TO_PERSON = re.compile(
@@ -62,7 +71,11 @@ class Matcher:
         all_rows += [(w, "abuse", "insult", INSULT) for w in abuse_words.INSULT_WORDS.split()]
         all_rows += [(w, c, "hint", HINT) for c, text in abuse_words.HINTS.items() for w in text.split()]
         insults = {r[0] for r in all_rows if r[2] == "insult"}
+        self.entries.update({n: [(c, "made", STRONG)] for n, (c, _, _) in CONSTRUCTIONS.items()})
         for term, category, weight in rows:
+            if term in CONSTRUCTIONS:
+                self.entries[term] = [(category, "made", weight)]
+                continue
             folded = fold_simple(term)
             role = "insult" if category == "abuse" and folded in insults else "hint"
             all_rows.append((term, category, role, weight))
@@ -89,8 +102,8 @@ class Matcher:
             import ahocorasick
 
             a = ahocorasick.Automaton()
-            for entry in self.entries:
-                a.add_word(f" {entry} ", entry)
+            for entry in {*self.entries, *_CLASSES_OF} - set(CONSTRUCTIONS):
+                a.add_word(f" {entry} ", (entry if entry in self.entries else None, _CLASSES_OF.get(entry, ())))
             a.make_automaton()
             self.automaton = a
         return self.automaton
@@ -122,19 +135,30 @@ class Matcher:
     def hits(self, text: str) -> list[tuple[int, int, str]]:
         """(sentence, person, entry) of what is found; person: 1 if the sentence speaks to one, -1 if to the speaker."""
         folded = self.fold(text)
-        found = [(end, entry) for end, entry in self._ready().iter(folded)]
+        found = list(self._ready().iter(folded))
         if not found:
             return []
         out = []
         breaks = [m.start() for m in re.finditer("\n", folded)] + [len(folded)]
-        line, start, person = 0, 0, None
-        for end, entry in found:
-            while breaks[line] < end - 1:
-                start, line, person = breaks[line] + 1, line + 1, None
-            if person is None:
-                sentence = folded[start : breaks[line]]
+        line, start, here, classes = 0, 0, [], set()
+
+        def close() -> None:
+            if not here and not classes:
+                return
+            sentence = folded[start : breaks[line]]
+            made = [n for n, (_, needs, pattern) in CONSTRUCTIONS.items() if classes.issuperset(needs) and pattern.search(sentence)] if classes else []
+            if here or made:
                 person = -1 if _TO_SELF.search(sentence) else int(bool(_TO_PERSON.search(sentence)))
-            out.append((line, person, entry))
+                out.extend((line, person, entry) for entry in here + made)
+
+        for end, (entry, of) in found:
+            while breaks[line] < end - 1:
+                close()
+                start, line, here, classes = breaks[line] + 1, line + 1, [], set()
+            if entry is not None:
+                here.append(entry)
+            classes.update(of)
+        close()
         return out
 
     def judge(self, hits: list[tuple[int, int, str]]) -> dict[str, float]:
@@ -191,7 +215,7 @@ def read_lexicon(lexicon: DataFrame, most: int = MOST_TERMS) -> list[tuple[str,
 
 
 def reviewed_weights(hits: DataFrame, labels: DataFrame, rows: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    """The lexicon's weights, moved towards the share of reviewed documents with the term that its category's verdict confirms.
+    """The weights of the lexicon and of constructions, moved towards the share of reviewed documents that the category's verdict confirms.
 
     Conflicting reviews of a document count by their share. All reviews are used; one row per term reaches the driver.
     """
@@ -209,6 +233,9 @@ def reviewed_weights(hits: DataFrame, labels: DataFrame, rows: list[tuple[str, s
             precision = (r[category] + 2 * weight) / (r["n"] + 2)
             weight = 0.15 + 0.5 * precision
         out.append((term, category, weight))
+    for name, (category, _, _) in CONSTRUCTIONS.items():
+        if name in seen:  # below the threshold if fewer than four of seven are confirmed
+            out.append((name, category, 0.6 + 0.7 * (seen[name][category] + 2) / (seen[name]["n"] + 2)))
     return out
 
 

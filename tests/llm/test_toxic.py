@@ -52,3 +52,31 @@ def test_reviews_move_weights(spark):
     labels = lambda v: spark.createDataFrame([(k, "a", v) for k in range(30)], "doc_id long, reviewer string, verdict string")
     low, high = (X.reviewed_weights(hits, labels(v), rows)[0][2] for v in ("none", "abuse"))
     assert low < rows[0][2] < high
+
+
+#: Written for the test, in other words than the test tables have.
+UNSEEN = [
+    ("abuse", "I will break both your arms, little man."), ("abuse", "We are going to kill you, traitor."), ("abuse", "I hope your whole family dies in a fire and you rot."),
+    ("abuse", "What a worm you are."), ("abuse", "We know where you live, Martin."), ("abuse", "Ich schlage dir die Zähne ein."), ("abuse", "On va te péter la tête."), ("abuse", "Te rompo las piernas."),
+    ("abuse", "Du bist ein Schwein."), ("abuse", "You will regret the day we met."),
+    ("hate", "The northerners are nothing but savages."), ("hate", "These migrants should be deported or hunted."), ("hate", "Kick the gypsies out of our village."), ("hate", "They multiply like cockroaches."),
+    ("hate", "Die Zugewanderten sind Abschaum."), ("hate", "Il faut les exterminer."), ("hate", "Los vecinos del norte son escoria."), ("hate", "Our country would be safer without those believers."), ("hate", "We must burn their mosque."),
+    ("sexual", "He pushed his tongue over her nipples."), ("sexual", "She lay naked and moaned as he entered."), ("sexual", "Free hardcore porn, hot couples tonight."), ("sexual", "Er vögelte sie, nackt und stöhnend; sie fickten."), ("sexual", "Jadeaba desnuda sobre la cama."),
+]
+CALM = [
+    "The rabbits breed quickly and the fox is shy.", "We should burn the old letters in the house.", "The doctor looked at her naked shoulder and throat.", "They are not animals, they are people.", "I know where you put the keys.",
+    "The parcels should be sent back.", "You are not a pig.", "He broke his leg in the snow.", "Jump to the next page, please.", "Die Ratten waren im Keller.", "The world would be better with more books.",
+    "The word vermin is an insult.", "Dick held his tongue.", "The thieves took the lamp.", "He kissed her hands and face.", "Les voleurs ont pris la lampe.",
+]
+
+
+def test_constructions_find_other_words(matcher):
+    right = [c in found(matcher, t) for c, t in UNSEEN]
+    assert sum(right) >= 0.9 * len(UNSEEN), [t for (_, t), r in zip(UNSEEN, right, strict=True) if not r]
+    assert not [t for t in CALM if found(matcher, t)]
+
+
+def test_no_sentence_of_a_document_is_an_entry():
+    for piece in ("once sold at market it suited them", "touch a book they breed", "deserves to lose its windows", "eating through a straw", "translation i want my money", "behind the shop", "told the mirror", "eaten the bindings"):
+        assert piece not in X.Matcher([]).entries
+    assert all(len(e.split()) <= 5 for e in X.Matcher([]).entries if not e.startswith("@"))
