@@ -1,7 +1,7 @@
 """Problem 8: abusive, hateful and sexual content, by a weighted lexicon matched with Aho-Corasick.
 
 Texts are folded first: case, accents, look-alike letters of other scripts, digits and signs that stand for letters,
-masked letters and letters set apart. One automaton finds all entries, exceptions and the word classes of constructions
+masked, stretched letters and letters set apart. One automaton finds all entries, exceptions and the word classes of constructions
 (a group and contempt, a threat and a person), whose expressions are tried only on sentences that hold their classes. In a
 sentence the weights of what was found add up by category; entries that only insult count fully where a person is spoken
 to; exceptions void all of their sentence but the set phrases. Weights of lexicon terms come from severity, and they and
@@ -32,13 +32,18 @@ LOOKALIKES = dict(zip("аеорсухкмнвтіјѕԁԛԝһӏɡαορνυιτ
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"}
 
 _ACCENTS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]")
-_SIGN_INSIDE = re.compile(r"[a-z][0-9]|[0-9][a-z]|[_*#%@$&€]")
+#: Stands in every text of which _MASKED can change a word: a digit beside a letter, "!" between letters or digits, another sign.
+_SIGN_INSIDE = re.compile(r"[\d_*#%@$&€!](?:(?<=[_*#%@$&€])|(?<=[^\W\d_]\d)|(?<=\d)(?=[^\W\d_])|(?<=[^\W_]!)!*[^\W_])")
 _HIDDEN = re.compile("[\xad​-‏⁠﻿]")
 _MIXED = re.compile("[^\\W\\d_]*(?:[a-z][Ͱ-ϿЀ-ԯɡ]|[Ͱ-ϿЀ-ԯɡ][a-z])[^\\W\\d_]*")
 _BESIDE = re.compile("[Ͱ-ϿЀ-ԯɡ](?:[a-z]|(?<=[a-z].))")
 #: A word with digits or signs in place of letters.
 _MASKED = re.compile(r"(?<![^\W_])[^\W_](?=[\w*#%@$&!€]*[^\W\d_])[^\W\d_]*(?:[\d_*#%@$&!€]+[^\W\d_]*)+")
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_](?![^\W_])){2,}")
+#: A letter three times or more in a row, and the word around it.
+_RUN = re.compile(r"([^\W\d_])\1\1+")
+_STRETCHED = re.compile(r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_REPEAT = re.compile(r"(.)\1+")
 _STOP = re.compile(r"[.!?…。！？]+(?=[\s\"'”’»)\]]|$)|\n+")
 _OTHER = re.compile(r"[^\w\n]+")
 #: Classes of words, and the construction that each name stands for; names can't be folded text.
@@ -53,6 +58,8 @@ for _k, _v in abuse_words.CLASSES.items():
 _TO_PERSON = re.compile(
     r"\b(?:you|your|yours|yourself|u|du|dich|dir|dein|deine|deiner|ihr|euch|tu|toi|te|ton|vous|t|eres|tú|usted|pedazo|espece|sei|voce|vete|like [a-z]+ could)\b"
 )
+#: Words of address that are often stretched.
+SPOKEN_TO = ("you", "your", "are", "du", "tu", "vous", "eres")
 _TO_SELF = re.compile(r"\b(?:i am|i m|myself|himself|herself|ich bin|je suis|je fais|soy|me dije|mirror)\b")
 
 
@@ -92,6 +99,9 @@ class Matcher:
         for w in sorted(self.words, key=lambda w: (not any(k[1] == "insult" for k in self.entries.get(w, [])), w)):
             if len(w) > 2:
                 self.by_shape.setdefault((w[0], len(w)), []).append(w)
+        self.by_run: dict[str, list[str]] = {}  # words with each run of a letter made one letter -> the words
+        for w in sorted({*self.words, *_CLASSES_OF, *SPOKEN_TO}):
+            self.by_run.setdefault(_REPEAT.sub(r"\1", w), []).append(w)
         self.automaton = None
 
     def __getstate__(self) -> dict:
@@ -116,20 +126,35 @@ class Matcher:
             if not text.isascii() and _BESIDE.search(text):
                 text = _MIXED.sub(lambda m: "".join(LOOKALIKES.get(c, c) for c in m.group()), text)
         if _APART.search(text):
-            text = _APART.sub(lambda m: j if (j := re.sub(r"[ .\-_*]", "", m.group())) in self.words else m.group(), text)
+            text = _APART.sub(lambda m: self.known(re.sub(r"[ .\-_*]", "", m.group())) or m.group(), text)
         if _SIGN_INSIDE.search(text):
             text = _MASKED.sub(self.unmask, text)
+        if _RUN.search(text):
+            text = _STRETCHED.sub(lambda m: self.known(m.group()) or m.group(), text)
         return " " + _OTHER.sub(" ", _STOP.sub("\n", text)).replace("\n", " \n ") + " "
 
+    def known(self, word: str) -> str | None:
+        """The word if it is listed, else the listed word that it is with letters stretched: one of its runs has three or more."""
+        if word in self.words:
+            return word
+        if not _RUN.search(word):
+            return None
+        runs = [len(m.group()) for m in re.finditer(r"(.)\1*", word)]
+        for listed in self.by_run.get(_REPEAT.sub(r"\1", word), ()):
+            if all(len(m.group()) <= n for m, n in zip(re.finditer(r"(.)\1*", listed), runs, strict=True)):
+                return listed
+        return None
+
     def unmask(self, m: re.Match) -> str:
         """The entry's word that a masked word stands for: by what its signs look like, else by its other letters."""
         word = m.group().rstrip("!")
         read = "".join(LEET.get(c, c) for c in word)
-        if read in self.words:
-            return read + m.group()[len(word) :]
-        for known in self.by_shape.get((word[0], len(word)), ()):
-            if all(a == b or not a.isalpha() for a, b in zip(word, known, strict=True)):
-                return known + m.group()[len(word) :]
+        if known := self.known(read):
+            return known + m.group()[len(word) :]
+        for shape in dict.fromkeys((word, _RUN.sub(r"\1", word))):
+            for known in self.by_shape.get((shape[0], len(shape)), ()):
+                if all(a == b or not a.isalpha() for a, b in zip(shape, known, strict=True)):
+                    return known + m.group()[len(word) :]
         return m.group()
 
     def hits(self, text: str) -> list[tuple[int, int, str]]:

@@ -80,3 +80,27 @@ def test_no_sentence_of_a_document_is_an_entry():
     for piece in ("once sold at market it suited them", "touch a book they breed", "deserves to lose its windows", "eating through a straw", "translation i want my money", "behind the shop", "told the mirror", "eaten the bindings"):
         assert piece not in X.Matcher([]).entries
     assert all(len(e.split()) <= 5 for e in X.Matcher([]).entries if not e.startswith("@"))
+
+
+@pytest.mark.parametrize("text", ["You b!tch.", "You sh!thead, go.", "You b!!ch", "Du bist ein Miiiistkerl.", "You idiooot!", "You asssshoooole", "youuu moron", "You b!!!!tch", "you miiiistk*rl", "Fuuuuck off.", "You I D I O O O T"])
+def test_masks_and_stretched_letters(matcher, text):
+    assert "abuse" in found(matcher, text)
+
+
+def test_stretched_words_that_are_none(matcher):
+    for text in ("You said hmmm and aaah, brrr.", "You sooo good, reader!", "You wait!now", "The www address is yours."):
+        assert not found(matcher, text)
+
+
+def test_gate_admits_all_that_unmasking_changes(matcher, data, monkeypatch):
+    import random
+    import re
+
+    import pyarrow.parquet as pq
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("bitchasé1!5_*$ .ж٣") for _ in range(12)) for _ in range(20_000)] + ["you " + w[:k] + draw.choice("!1*é٣") * n + w[k + n :] for w in sorted(matcher.words) for k in range(1, len(w)) for n in (1, 2)]
+    texts += [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    gated = [matcher.fold(t) for t in texts]
+    monkeypatch.setattr(X, "_SIGN_INSIDE", re.compile(""))
+    assert [t for t, g in zip(texts, gated, strict=True) if matcher.fold(t) != g] == []
