@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,30 @@ def labels(entries: DataFrame) -> DataFrame:
 
 
 def unique_ids(ids: DataFrame) -> DataFrame:
-    """(book_id, idx, id): base, base_2, base_3 in order. A base that looks like a made id may repeat it; the writer's fold is exact."""
+    """(book_id, idx, id): base, base_2, base_3 in order, the next number free where another base or made id has it: as the EPUB writer's fold.
+
+    Made ids keep their base without its numbers, so only bases that share this root can collide; only roots with more
+    than one base in a book are folded, each by itself.
+    """
+    root = Window.partitionBy("book_id", "root")
     n = F.row_number().over(Window.partitionBy("book_id", "base").orderBy("idx"))
-    return ids.select("book_id", "idx", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))).alias("id"))
+    rows = ids.select("book_id", "idx", "base", F.regexp_replace("base", r"(_[0-9]+)+$", "").alias("root"))
+    rows = rows.withColumn("alone", F.min("base").over(root) == F.max("base").over(root))
+    plain = rows.where("alone").select("book_id", "idx", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("_", "base", n.cast("string"))).alias("id"))
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        following: dict[str, int] = {}
+        made = []
+        g = g.sort_values(["idx", "base"], kind="stable")
+        for base in g["base"]:
+            name, k = base, following.get(base, 2)
+            while name in used:
+                name, k = f"{base}_{k}", k + 1
+            following[base] = k
+            used.add(name)
+            made.append(name)
+        return g[["book_id", "idx"]].assign(id=made)
+
+    together = rows.where("not alone").groupBy("book_id", "root").applyInPandas(fold, plain.schema)
+    return plain.unionByName(together)

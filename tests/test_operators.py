@@ -198,3 +198,18 @@ def test_nodes_as_rows(spark):
     rows = H.nodes(df, ["book_id", "idx"]).collect()
     assert {r["idx"] for r in rows} == {0} and next(r for r in rows if r["tag"] == "b")["ancestors"] == ["p", "body", "html"]
     assert H.texts(df, ["book_id", "idx"]).where("tag = 'li'").first()["text"] == "Item one"
+
+
+def test_ids_are_unique_though_bases_look_like_made_ones(spark):
+    import random
+
+    from foliant.operators import toc
+    from foliant.sources.book import unique
+
+    draw = random.Random(1)
+    books = {"x": ["a", "a", "a_2"], "y": ["a_2", "a", "a", "a_2", "a_2_2", "b"]} | {f"r{k}": [draw.choice(["a", "a_2", "a_3", "a_2_2", "b", "b_x", "_2"]) for _ in range(20)] for k in range(6)}
+    rows = [(b, i, base) for b, bases in books.items() for i, base in enumerate(bases)]
+    made = {(r["book_id"], r["idx"]): r["id"] for r in toc.unique_ids(spark.createDataFrame(rows, "book_id string, idx int, base string")).collect()}
+    for b, bases in books.items():
+        used: set = set()
+        assert [made[b, i] for i in range(len(bases))] == [unique(base, used) for base in bases]
