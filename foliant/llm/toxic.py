@@ -25,7 +25,6 @@ from . import abuse_words
 
 CATEGORIES = ("abuse", "hate", "sexual")
 STRONG, INSULT, HINT, THRESHOLD = 1.0, 0.6, 0.35, 1.0
-MOST_TERMS = 100_000  # rows of the lexicon taken, at most; it is a word list, not data that grows
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухкмнвтіјѕԁԛԝһӏɡαορνυιτκε", "aeopcyxkmhbtijsdqwhlgaopvuitke", strict=True))
@@ -233,9 +232,9 @@ def find_entries(documents: DataFrame, matcher: Matcher) -> DataFrame:
     return documents.where("doc_id is not null and text is not null").select("doc_id", "source", "text").mapInPandas(run, HITS)
 
 
-def read_lexicon(lexicon: DataFrame, most: int = MOST_TERMS) -> list[tuple[str, str, float]]:
-    """(term, category, first weight): severity 1 to 3 gives 0.35 to 0.55."""
-    rows = lexicon.where("term is not null and category is not null").select("term", "category", "severity").distinct().orderBy("term", "category", "severity").limit(most).collect()
+def read_lexicon(lexicon: DataFrame) -> list[tuple[str, str, float]]:
+    """(term, category, first weight) of all terms: severity 1 to 3 gives 0.35 to 0.55. The list must fit the driver and each task."""
+    rows = lexicon.where("term is not null and category is not null").select("term", "category", "severity").distinct().orderBy("term", "category", "severity").collect()
     return [(t, c, 0.25 + 0.1 * min(max(s or 1, 1), 3)) for t, c, s in rows if c in CATEGORIES]
 
 

@@ -104,3 +104,8 @@ def test_gate_admits_all_that_unmasking_changes(matcher, data, monkeypatch):
     gated = [matcher.fold(t) for t in texts]
     monkeypatch.setattr(X, "_SIGN_INSIDE", re.compile(""))
     assert [t for t, g in zip(texts, gated, strict=True) if matcher.fold(t) != g] == []
+
+
+def test_all_terms_are_read(spark):
+    lexicon = spark.range(100_050).selectExpr("concat('term', id) term", "'hate' category", "1 severity")
+    assert len(X.read_lexicon(lexicon)) == 100_050
