@@ -49,7 +49,7 @@ def pack(parts: Column, budget: int) -> Column:
     """Greedy chunks of sentences of at most `budget` tokens, joined by a space that doesn't count.
 
     A sentence beyond the budget is cut into windows of budget * 4 code points. The fold appends to an array, so very
-    long documents cost the square of their chunks; `operators.translate.chunks` splits those by rows instead.
+    long documents cost the square of their chunks; `operators.translate.chunks` packs them this way too.
     """
     state = F.struct(
         F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).cast("bigint").alias("used")
