@@ -10,7 +10,10 @@ vollidiot trottel schwachkopf dummkopf arschloch wichser mistkerl drecksau dreck
 missgeburt arsch depp versager
 connard connasse salaud salope abruti encule enculee imbecile cretin batard ordure debile tocard
 imbecil idiota gilipollas cabron capullo pendejo mamon cretino subnormal puta perra zorra payaso
-stronzo coglione bastardo deficiente otario babaca cuzao
+stronzo coglione bastardo deficiente otario babaca cuzao merda vaffanculo cretino cornuto
+идиот идиотка дурак дура кретин ублюдок сволочь тварь мразь придурок дебил сука козел скотина гнида подонок урод
+傻逼 傻瓜 白痴 笨蛋 混蛋 王八蛋 贱人 蠢货 废物 垃圾 人渣 畜生
+馬鹿野郎 バカ アホ クズ 間抜け 死に損ない ゴミ野郎 この野郎
 """
 INSULT_PHRASES = """
 filthy pig, disgusting pig, piece of shit, pauvre type, fils de pute, hijo de puta, testa di cazzo, figlio di puttana, filho da puta
@@ -24,12 +27,18 @@ ferme ta gueule, ta gueule, va te faire foutre, va te faire enculer, va crever,
 vete a la mierda, vete al infierno, callate la boca, cierra el pico, ojala te mueras, que te jodan, vete al carajo
 vaffanculo, vai a farti fottere, chiudi il becco, vai all inferno
 vai se foder, cala a boca, vai para o inferno, vai a merda
+заткнись, пошел ты, иди к черту, чтоб ты сдох, сдохни, я тебя убью, убью тебя, пошла ты, закрои рот
+去死, 滚开, 滚蛋, 操你, 他妈的, 闭嘴, 我要杀了你, 杀了你, 宰了你
+死んでしまえ, 殺してやる, ぶっ殺す, くたばれ, 消え失せろ
 """
 
 #: Hate that needs nothing else; most of it is a construction of a group and what is said of it.
 HATE = """
 exterminate them, wipe them out, gas them, ethnic cleansing now, back where they came from
-raus mit den auslandern, auslander raus, retournez dans votre pays, vuelvan a su pais
+raus mit den auslandern, auslander raus, retournez dans votre pays, vuelvan a su pais, fuori gli stranieri, fora com os imigrantes
+убираитесь из нашеи страны, всех их надо выгнать, они недочеловеки, они все воры
+滚出我们的国家, 都是寄生虫, 都是小偷, 低等民族, 都该死, 应该被赶走
+外国人は国へ帰れ, 出て行け外国人, 害虫どもめ, 劣等民族, 皆殺しにしろ
 """
 
 #: Explicit words and set phrases of sexual content.
@@ -37,6 +46,7 @@ SEXUAL = """
 fuck me, fucked her, fucked him, they fucked, blowjob, blow job, handjob, cumshot, gangbang, hardcore porn, sucked him off, jerked off, spread her legs,
 spread her thighs
 fickten, ficken, vogelten, bumsten, baiserent, follaron, follando, scopavano, scopare, foderam, transaram
+трахал, трахались, трахнул, минет, кончил в нее, 口交, 色情片, エロ動画, セックスした, フェラチオ
 """
 
 #: Classes of words that constructions are made of.
@@ -115,8 +125,8 @@ CONSTRUCTIONS = (
 #: Words that only suggest a category; two of them, or one with its context, make a case.
 HINTS = {
     "abuse": "disgusting spineless filthy miserable ignorant goddamn fucking elender elende pauvre asqueroso stupid bloody kill garbage gueule fresse mierda scheisse merde",
-    "hate": "vermin parasites thieves ungeziefer parasiten vermine voleurs plaga ladrones parasitos slaves subhuman savages untermenschen",
-    "sexual": "porn porno pornos orgasm nipples naked cock breast horny thighs moaned desnuda nackt stohnte nue seins pechos",
+    "hate": "vermin parasites thieves ungeziefer parasiten vermine voleurs plaga ladrones parasitos slaves subhuman savages untermenschen паразиты 寄生虫 害虫",
+    "sexual": "porn porno pornos orgasm nipples naked cock breast horny thighs moaned desnuda nackt stohnte nue seins pechos порно голая 做爱 性交 射精 裸体 裸 喘息",
 }
 
 #: Exceptions: where one stands in the sentence, the words there are mentioned, clinical, aimed at things or the speaker, or harmless.
@@ -128,6 +138,7 @@ sexuelle gesundheit, verhutung, ich idiot, ich bin so ein, das wort, als schimpf
 sante sexuelle, le mot, comme une insulte, une insulte, medecin
 salud sexual, anticoncepcion, polillas, idiota soy, la palabra, como insulto, un insulto, medico
 salute sessuale, la parola, saude sexual, a palavra
+это слово, как оскорбление, врач, половое здоровье, 这个词, 作为侮辱, 医生, 性教育, という言葉, 侮辱として, 医師, 性教育
 """
 
 

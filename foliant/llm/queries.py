@@ -139,7 +139,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of every document that holds an entry of the lexicon; all others have none."""
+    """Scores of every document."""
     return toxic.score_documents(*(table(spark, folder, t) for t in ("documents", "lexicon", "labels")))
 
 
@@ -149,7 +149,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Shares of each source's documents, by category."""
-    return toxic.source_rates(table(spark, folder, "documents"), p8_scores(spark, folder))
+    return toxic.source_rates(p8_scores(spark, folder))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

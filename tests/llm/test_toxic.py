@@ -38,8 +38,9 @@ def test_rows_weights_and_rates(spark):
     labels = spark.createDataFrame([(1, "a", "abuse"), (1, "a", "abuse"), (1, "b", "none"), (2, "a", "none"), (None, "a", "none"), (5, "a", None)], "doc_id long, reviewer string, verdict string")
     scores = X.score_documents(docs, lexicon, labels)
     assert sorted(map(tuple, X.cases(scores).collect())) == [(1, "abuse"), (5, "abuse"), (6, "abuse")]
-    rates = {r["source"]: r["abuse_share"] for r in X.source_rates(docs, scores).collect()}
-    assert rates == {"s": 3 / 5 - 1 / 5, "t": 1 / 2, None: 1.0} or rates["t"] == 0.5
+    rates = {r["source"]: (r["documents"], r["abuse_share"]) for r in X.source_rates(scores).collect()}
+    assert rates == {"s": (4, 0.5), "t": (2, 0.5), None: (1, 1.0)}
+    assert {r["doc_id"]: r["abuse"] for r in scores.collect()}[2] == 0.0 and scores.count() == 7  # every document has a score
     assert X.score_documents(docs, lexicon.limit(0), labels.limit(0)).count() == scores.count()
     assert X.score_documents(docs.limit(0), lexicon, labels).count() == 0
 
@@ -48,12 +49,41 @@ def test_reviews_move_weights(spark):
     lexicon = spark.createDataFrame([(1, "bloody", "abuse", 2)], "entry_id long, term string, category string, severity int")
     docs = spark.createDataFrame([(k, "A bloody good day.", "s") for k in range(30)], "doc_id long, text string, source string")
     rows = X.read_lexicon(lexicon)
-    hits = X.find_entries(docs, X.Matcher(rows))
     labels = lambda v: spark.createDataFrame([(k, "a", v) for k in range(30)], "doc_id long, reviewer string, verdict string")
-    low, high = (X.reviewed_weights(hits, labels(v), rows)[0][2] for v in ("none", "abuse"))
+    low, high = (X.learn(docs, labels(v), rows).entries["bloody"][0][2] for v in ("none", "abuse"))
     assert low < rows[0][2] < high
 
 
+def test_reviews_teach_runs_of_words(spark):
+    calm = ["The harbour was quiet at noon.", "A letter came for the clockmaker.", "We counted every lamp in the street."]
+    rows = [(k, f"{calm[k % 3]} May your kettle never boil again. {calm[(k + 1) % 3]}" if k < 8 else f"{calm[k % 3]} The kettle boils at noon. {calm[(k + 1) % 3]}", "s") for k in range(200)]
+    docs = spark.createDataFrame([*rows, (500, "May your kettle never boil, friend.", "s"), (501, "The kettle boils.", "s")], "doc_id long, text string, source string")
+    # two wrong reviews in conflict with others, one confirmed document that shares nothing
+    labels = spark.createDataFrame([(k, "a", "abuse" if k < 8 or k == 100 else "none") for k in range(200)] + [(3, "b", "none"), (3, "c", "abuse")], "doc_id long, reviewer string, verdict string")
+    lexicon = spark.createDataFrame([], "entry_id long, term string, category string, severity int")
+    found = {r["doc_id"] for r in X.cases(X.score_documents(docs, lexicon, labels)).collect()}
+    assert found == {*range(8), 500}
+    matcher = X.learn(docs, labels, [])
+    assert "may your kettle never" in matcher.entries and not any(e in matcher.entries for e in ("the harbour was quiet", "letter came for the", "kettle"))
+    assert X.beyond_chance(3, 3, 0.5) == pytest.approx(0.125) and X.beyond_chance(0, 3, 0.5) == 1.0
+
+
+@pytest.mark.parametrize(("category", "text"), [("abuse", "Ты идиот, Иван."), ("abuse", "你这个白痴,走开。"), ("abuse", "お前はバカだ。"), ("abuse", "Чтоб ты сдох!"), ("abuse", "我要杀了你"), ("hate", "外国人は国へ帰れ。"), ("hate", "他们都是寄生虫。"), ("abuse", "Sei un coglione.")])
+def test_languages_without_spaces_or_latin_letters(matcher, category, text):
+    assert found(matcher, text) == {category}
+
+
+@pytest.mark.parametrize("text", ["バカンスに行きたい。", "この本ばかり読んでいた。", "他打开窗户,看着河。", "Он прочитал слово и закрыл книгу.", "垃圾桶在门口。", "Это слово — «идиот» — как оскорбление."])
+def test_harmless_in_such_languages(matcher, text):
+    assert not found(matcher, text)
+
+
+def test_hints_count_less_in_long_sentences(matcher):
+    near, far = "The vermin and parasites, like vermin of thieves", "The vermin " + "of the old and quiet harbour where nobody ever walks at noon or night " * 20 + " parasites thieves"
+    score = lambda t: matcher.judge(matcher.hits(t)).get("hate", 0.0)
+    assert score(near) > 2 * score(far) > 0
+
+
 #: Written for the test, in other words than the test tables have.
 UNSEEN = [
     ("abuse", "I will break both your arms, little man."), ("abuse", "We are going to kill you, traitor."), ("abuse", "I hope your whole family dies in a fire and you rot."),
@@ -79,7 +109,7 @@ def test_constructions_find_other_words(matcher):
 def test_no_sentence_of_a_document_is_an_entry():
     for piece in ("once sold at market it suited them", "touch a book they breed", "deserves to lose its windows", "eating through a straw", "translation i want my money", "behind the shop", "told the mirror", "eaten the bindings"):
         assert piece not in X.Matcher([]).entries
-    assert all(len(e.split()) <= 5 for e in X.Matcher([]).entries if not e.startswith("@"))
+    assert all(len(e.split()) <= 5 for e in X.Matcher([]).entries if not e.startswith("@") and not X._WIDE.search(e))
 
 
 @pytest.mark.parametrize("text", ["You b!tch.", "You sh!thead, go.", "You b!!ch", "Du bist ein Miiiistkerl.", "You idiooot!", "You asssshoooole", "youuu moron", "You b!!!!tch", "you miiiistk*rl", "Fuuuuck off.", "You I D I O O O T"])
