@@ -1,13 +1,16 @@
 """Problem 2: defective prompt and response pairs, with the type of defect.
 
-Short responses (glossary): responses are turned into phrases by putting a placeholder for the name that prompt and
-response share. Phrases are sorted by text in each target language and compared with the neighbour that begins with
-them: a phrase that is only the beginning of an established one is a shortened version. Counts over all rows tell which
-phrase a prompt usually gets and in which language a phrase is at home.
-
-Long responses (chapters): both sides are reduced to features before they are joined, so no text is shuffled. Length
-spikes (one length far more often than its neighbours) show responses cut by a limit; then come sentence and length
-ratios, copies, refusals and the language of the response.
+All responses are sorted by their text in each target language and compared with the neighbour that begins with them: one
+that is only the beginning of an established one is a shortened version. Spikes (one length far more often than its
+neighbours) show responses cut by a limit. Then come the rules for copies, refusals and languages.
+
+Short responses (glossary) are sorted as phrases, with a placeholder for the name that prompt and response share. Counts
+over all rows tell which phrase a prompt usually gets and in which language a phrase is at home. Verdicts are found for
+the distinct pairs of phrases and joined to their rows once.
+
+Long responses (chapters) are sorted by the hashes of their blocks of letters, which keeps common prefixes together; both
+sides are reduced to features before anything is joined, so no text is shuffled. As most answers stand alone, sentence and
+length ratios to the prompt add to what neighbours and spikes tell.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.session import checkpointed
@@ -92,14 +95,19 @@ def template(term: str, response: str) -> tuple[str, str, bool]:
     return key, out, False
 
 
-SHORT = "entry_id long, target string, source string, key string, phrase string, empty boolean, refusal boolean, copy boolean, proper boolean, kernel_lang string, kernel_lead double"
+FLAGS = ["empty", "refusal", "copy", "proper"]
+SHORT = "entry_id long, target string, source string, key string, phrase string, chars int, empty boolean, refusal boolean, copy boolean, proper boolean, kernel_lang string, kernel_lead double"
+
+
+def one_job(jobs: DataFrame, *columns) -> DataFrame:
+    """One row a job: repeated rows count once, of rows that differ the least."""
+    made = jobs.where("job_id is not null").select("job_id", F.struct(*columns).alias("j"))
+    return made.groupBy("job_id").agg(F.min("j").alias("j")).select("job_id", "j.*")
 
 
 def short_features(glossary: DataFrame, jobs: DataFrame, model: langid.Classifier) -> DataFrame:
     """One row of features per glossary row; rows whose job is unknown or whose id or term is null are left out."""
-    jobs = jobs.where("job_id is not null").select(
-        "job_id", langid.label_code(F.col("target_lang")).alias("target"), langid.label_code(F.col("source_lang")).alias("source")
-    ).dropDuplicates(["job_id"])
+    jobs = one_job(jobs, langid.label_code(F.col("target_lang")).alias("target"), langid.label_code(F.col("source_lang")).alias("source"))
     rows = glossary.where("entry_id is not null and term is not null").select("entry_id", "job_id", "term", "translation").join(jobs, "job_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,40 +119,54 @@ def short_features(glossary: DataFrame, jobs: DataFrame, model: langid.Classifie
             lead = sc.max(1) - np.where(target >= 0, sc[np.arange(len(sc)), target], sc.max(1))
             yield pd.DataFrame({
                 "entry_id": b["entry_id"], "target": b["target"], "source": b["source"],
-                "key": [m[0] for m in made], "phrase": [m[1] for m in made],
+                "key": [m[0] for m in made], "phrase": [m[1] for m in made], "chars": [len(r or "") for r in response],
                 "empty": [is_empty(r) for r in response],
                 "refusal": [bool(r and REFUSAL.search(r)) for r in response],
                 "copy": [bool(r) and letters_of(r) != "" and letters_of(r) == letters_of(t) for t, r in zip(b["term"], response, strict=True)],
                 "proper": [all(w[:1].isupper() and w.isascii() for w in t.split()) for t in b["term"]],
                 "kernel_lang": [langid.LANGUAGES[k] for k in sc.argmax(1)],
-                "kernel_lead": np.where(letters >= 3, lead, 0.0).astype(float),
+                "kernel_lead": np.round(np.where(letters >= 3, lead, 0.0).astype(float), 3),
             })
 
     return rows.select("entry_id", "term", "translation", "target", "source").mapInPandas(run, SHORT)
 
 
-def shortened(phrases: DataFrame) -> DataFrame:
-    """(target, phrase, longer, longer_n): phrases of which the next in the sorted order is a continuation.
+def shortened(texts: DataFrame) -> DataFrame:
+    """(target, text, longer, longer_n): texts (STRING or BINARY) of which the next in the sorted order is a continuation.
 
-    phrases: (target, phrase, n), distinct. A range partitioning by the first two characters keeps a phrase and its
-    continuations together; each partition is sorted and read as a stream, comparing neighbours.
+    texts: (target, text, n), distinct. Ranges of the sorted order go to tasks, which may part a text from its
+    continuation; so each task also tells its first and last row, and these are compared too. Empty texts have no
+    continuation, nor does a null target.
     """
-    ordered = phrases.withColumn("first", F.substring("phrase", 1, 2)).repartitionByRange("target", "first").sortWithinPartitions("target", "phrase")
+    kind = texts.schema["text"].dataType.simpleString()
+    ordered = texts.where("target is not null and length(text) > 0").select("target", "text", "n").repartitionByRange("target", "text").sortWithinPartitions("target", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
+        from pyspark import TaskContext
+
+        part, first, last = TaskContext.get().partitionId(), None, None
+        columns = ["part", "edge", "target", "text", "n", "longer", "longer_n"]
         for b in batches:
             out = []
-            for row in zip(b["target"], b["phrase"], b["n"], strict=True):
-                if last and last[0] == row[0] and row[1].startswith(last[1]) and last[1]:
-                    out.append((last[0], last[1], row[1], int(row[2])))
+            for row in zip(b["target"], b["text"], b["n"], strict=True):
+                first = first or row
+                if last and last[0] == row[0] and row[1].startswith(last[1]):
+                    out.append((part, 0, *last, row[1], row[2]))
                 last = row
-            yield pd.DataFrame(out, columns=["target", "phrase", "longer", "longer_n"])
+            yield pd.DataFrame(out, columns=columns)
+        if first:
+            yield pd.DataFrame([(part, 1, *first, None, 0), (part, 2, *last, None, 0)], columns=columns)
 
-    return ordered.select("target", "phrase", "n").mapInPandas(run, "target string, phrase string, longer string, longer_n long")
+    made = f"part int, edge int, target string, text {kind}, n long, longer {kind}, longer_n long"
+    found = checkpointed(ordered.mapInPandas(run, made))  # the ranges are drawn anew if they are computed again
+    ends = found.where("edge > 0").orderBy("part", "edge").collect()  # two rows a task
+    more = [(a["target"], a["text"], b["text"], b["n"]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a["target"] == b["target"] and b["text"].startswith(a["text"])]
+    out = f"target string, text {kind}, longer {kind}, longer_n long"
+    return found.where("edge = 0").select("target", "text", "longer", "longer_n").unionByName(found.sparkSession.createDataFrame(more, out))
 
 
 HOME_LEAST, HOME_SHARE = 3, 0.15
+SALT = 16
 
 
 def short_defects(features: DataFrame) -> DataFrame:
@@ -154,35 +176,39 @@ def short_defects(features: DataFrame) -> DataFrame:
     other_language (the phrase is at home in another language), truncated. Ties between usual phrases go to the one that
     sorts last, so that a shortened version never wins over its continuation.
     """
-    features = checkpointed(features)  # used six times below
-    good = features.where("not empty and not refusal and not copy and target is not null")
-    # partial counts first: a phrase that a third of the rows share is summed up before it is shuffled
-    phrases = good.groupBy("target", "phrase").agg(F.count("*").alias("n"))
-    homes = phrases.select(F.col("target").alias("lang"), "phrase", "n").unionByName(
-        features.where("source is not null").groupBy(F.col("source").alias("lang"), F.col("key").alias("phrase")).agg(F.count("*").alias("n"))
-    ).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).groupBy("phrase").agg(
-        F.max_by("lang", F.struct("n", "lang")).alias("home"), F.max("n").alias("home_n")
-    )
-    usual = good.groupBy("key", "target", "phrase").agg(F.count("*").alias("n")).groupBy("key", "target").agg(
-        F.max_by("phrase", F.struct("n", "phrase")).alias("usual"), F.max("n").alias("usual_n")
-    )
-    named = features.where("not empty and not refusal").groupBy("key").agg(F.avg(F.col("copy").cast("double")).alias("copied"))
-    joined = (
-        features.join(named, "key", "left")
-        .join(usual, ["key", "target"], "left")
-        .join(homes, "phrase", "left")
-        .join(phrases, ["target", "phrase"], "left")
-        .join(shortened(phrases), ["target", "phrase"], "left")
-    )
-    at_home = (F.col("home") == F.col("target")) | (F.col("n") >= HOME_SHARE * F.col("home_n"))
-    foreign = F.when(F.col("home_n") >= HOME_LEAST, ~at_home).otherwise((F.col("kernel_lang") != F.col("target")) & (F.col("kernel_lead") >= 0.6))
+    features = checkpointed(features)
+    same = ["target", "source", "key", "phrase", "chars", *FLAGS, "kernel_lang", "kernel_lead"]
+    # distinct pairs of phrases with their number: summed up before the shuffle, so that none is a hot key below
+    pairs = checkpointed(features.groupBy(*same).agg(F.count("*").alias("n")))
+    good = ~F.col("empty") & ~F.col("refusal") & ~F.col("copy") & F.col("target").isNotNull()
+    of_key, of_usual = Window.partitionBy("key"), Window.partitionBy("key", "target")
+    each = pairs.withColumn("good", good)
+    # what a prompt usually gets; names that most responses repeat
+    each = each.withColumn("answered", F.sum(F.when(good, F.col("n"))).over(Window.partitionBy("key", "target", "phrase")))
+    each = each.withColumn("usual", F.max(F.when(good, F.struct("answered", "phrase"))).over(of_usual)["phrase"])
+    told = ~F.col("empty") & ~F.col("refusal")
+    each = each.withColumn("copied", F.sum(F.when(told & F.col("copy"), F.col("n")).otherwise(0)).over(of_key) / F.sum(F.when(told, F.col("n"))).over(of_key))
+    # where a phrase is at home: the language that most responses and prompts with it are in
+    phrases = pairs.where(good).groupBy("target", "phrase").agg(F.sum("n").alias("n"))
+    asked = pairs.where("source is not null").groupBy(F.col("source").alias("lang"), F.col("key").alias("phrase")).agg(F.sum("n").alias("n"))
+    places = phrases.select(F.col("target").alias("lang"), "phrase", "n", F.col("n").alias("own")).unionByName(asked.withColumn("own", F.lit(0).cast("bigint")))
+    places = places.groupBy("phrase", "lang").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    homes = places.groupBy("phrase").agg(F.max(F.struct("n", "lang")).alias("home"), F.map_from_entries(F.collect_list(F.struct("lang", "own"))).alias("by"))
+    joined = each.join(homes, "phrase", "left").withColumn("own_n", F.element_at("by", F.col("target")))
+    joined = joined.join(shortened(phrases.withColumnRenamed("phrase", "text")).withColumnRenamed("text", "phrase"), ["target", "phrase"], "left")
+    limits = spikes(pairs.where(good).select(F.col("chars").alias("tokens"), "n")).select(F.col("tokens").alias("chars"), F.lit(True).alias("spike"))
+    joined = joined.join(limits, "chars", "left")
+    at_home = (F.col("home.lang") == F.col("target")) | (F.col("own_n") >= HOME_SHARE * F.col("home.n"))
+    foreign = F.when(F.col("home.n") >= HOME_LEAST, ~at_home).otherwise((F.col("kernel_lang") != F.col("target")) & (F.col("kernel_lead") >= 0.6))
     no_name = F.col("key").contains("@") & ~F.col("phrase").contains("@")
     longer = F.coalesce(F.col("longer"), F.lit(""))
+    goes_on = (F.length(longer) > 0) & ~longer.contains("@")
     cut = (
         (no_name & F.coalesce(F.col("usual"), longer).contains("@"))
         | (no_name & longer.contains("@"))
         | ((F.col("usual") != F.col("phrase")) & F.expr("startswith(usual, phrase)"))
-        | (~F.col("key").contains("@") & (F.length(longer) > 0) & ~longer.contains("@") & (F.col("longer_n") >= 3 * F.col("n")))
+        | (~F.col("key").contains("@") & goes_on & (F.col("longer_n") >= 3 * F.col("own_n")))
+        | (goes_on & F.coalesce(F.col("spike"), F.lit(False)) & (F.col("longer_n") > F.col("own_n")))
     )
     defect = (
         F.when(F.col("empty"), "empty")
@@ -193,17 +219,38 @@ def short_defects(features: DataFrame) -> DataFrame:
         .when(foreign, "other_language")
         .when(cut, "truncated")
     )
-    return joined.select("entry_id", defect.alias("defect")).where("defect is not null")
+    # a defective pair of phrases may be a hot one: its rows are spread over SALT tasks
+    pair = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in same])
+    wrong = joined.select(pair.alias("pair"), defect.alias("defect")).where("defect is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = features.select("entry_id", pair.alias("pair"), F.pmod(F.xxhash64("entry_id"), F.lit(SALT)).cast("int").alias("salt"))
+    return rows.join(wrong, ["pair", "salt"]).select("entry_id", "defect")
 
 
 # ---------------------------------------------------------------- long responses
 
-LONG = "empty boolean, refusal boolean, code boolean, hash string, sentences int, letters long, ended boolean, tokens int, lang string, lead double, wide boolean"
+LONG = "empty boolean, refusal boolean, code boolean, hash string, chain binary, sentences int, letters long, ended boolean, tokens int, scores array<float>, wide boolean"
+CHAIN = 128  # letters of a block, of which a text is a chain
 
 
-def long_features(df: DataFrame, keys: list[str], model: langid.Classifier | None, target: str | None = None) -> DataFrame:
-    """keys + features of content, without a shuffle; model and target only for responses. Null content counts as empty."""
-    source = df.select(*keys, F.col("content").alias("__content"), (F.col(target) if target else F.lit(None).cast("string")).alias("__target"))
+def is_refusal(story: str) -> bool:
+    """Whether a text, however long, says hardly anything but that the task is declined."""
+    rest = 0
+    for sentence in re.split(r"(?<=[.!?…])\s+|(?<=[。！？])", story):
+        if not REFUSAL.search(sentence[:2000]):  # one that is longer says something else, too
+            rest += sum(map(str.isalnum, sentence))
+            if rest >= 40:
+                return False
+    return bool(REFUSAL.search(story))
+
+
+def chain_of(letters: str) -> bytes:
+    """Four bytes for each whole block of CHAIN letters: the chain of a text's beginning begins the text's chain."""
+    return b"".join(hashlib.blake2b(letters[k : k + CHAIN].encode(), digest_size=4).digest() for k in range(0, len(letters) - CHAIN + 1, CHAIN))
+
+
+def long_features(df: DataFrame, keys: list[str], model: langid.Classifier | None) -> DataFrame:
+    """keys + features of content, without a shuffle; model (for responses) adds the languages' scores. Null content counts as empty."""
+    source = df.select(*keys, F.col("content").alias("__content"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keys)])
 
     def one(content: bytes | None) -> tuple:
@@ -213,26 +260,21 @@ def long_features(df: DataFrame, keys: list[str], model: langid.Classifier | Non
         story = html.unescape(_TAG.sub(" ", _CODE.sub(" ", body))) if code else html.unescape(_TAG.sub(" ", body))
         story = re.sub(r"\s+", " ", story).strip()
         n = len(_MARKS.sub("", story))
-        refusal = False
-        if n < 1500 and REFUSAL.search(story):
-            rest = " ".join(s for s in re.split(r"(?<=[.!?…])\s+|(?<=[。！？])", story) if not REFUSAL.search(s))
-            refusal = sum(map(str.isalnum, rest)) < 40
+        refusal = is_refusal(story)
         empty = n == 0 and not (code and any(c.isalnum() for c in bare(body))) or story.lower() in PLACEHOLDERS
-        digest = hashlib.md5(letters_of(bare(body) if code else story).encode()).hexdigest()
+        told = letters_of(bare(body) if code else story)
+        digest = hashlib.md5(told.encode()).hexdigest()
         wide = not story.isascii() and len(_WIDE.findall(story)) * 2 > n
-        return (empty, refusal, n == 0, digest, len(_SENTENCE.findall(story)), n, bool(_END.search(story)), -(-len(text) // 4)), story, wide
+        return (empty, refusal, n == 0, digest, chain_of(told) if model is not None else b"", len(_SENTENCE.findall(story)), n, bool(_END.search(story)), -(-len(text) // 4)), story, wide
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [one(c) for c in b["__content"]]
-            out = pd.DataFrame([m[0] for m in made], columns=["empty", "refusal", "code", "hash", "sentences", "letters", "ended", "tokens"], index=b.index)
-            out["lang"], out["lead"] = None, 0.0
+            out = pd.DataFrame([m[0] for m in made], columns=["empty", "refusal", "code", "hash", "chain", "sentences", "letters", "ended", "tokens"], index=b.index)
+            out["scores"] = None
             if model is not None and len(made):
                 sc, letters = model.scores([m[1] for m in made])
-                at = np.array([langid.LANGUAGES.index(t) if t in langid.LANGUAGES else -1 for t in b["__target"]])
-                lead = sc.max(1) - np.where(at >= 0, sc[np.arange(len(sc)), at], sc.max(1))
-                out["lang"] = [langid.LANGUAGES[k] for k in sc.argmax(1)]
-                out["lead"] = np.where(letters >= 20, lead, 0.0).astype(float)
+                out["scores"] = [row.astype(np.float32).tolist() if few >= 20 else None for row, few in zip(sc, letters, strict=True)]
             out["wide"] = [m[2] for m in made]
             yield pd.concat([b[keys], out], axis=1)
 
@@ -245,10 +287,10 @@ SPIKE_LEAST, SPIKE_TIMES = 30, 8
 def spikes(answers: DataFrame) -> DataFrame:
     """(tokens): lengths at which at least SPIKE_LEAST responses stop, SPIKE_TIMES as many as at a length nearby on average.
 
-    One row per length occurs, so the counts are small whatever the number of responses; the window moves over buckets
-    of lengths and never gathers the responses themselves.
+    answers: tokens, and n if a row stands for n responses. One row per length occurs, so the counts are small whatever the
+    number of responses; the window moves over lengths and never gathers the responses themselves.
     """
-    counts = answers.groupBy("tokens").agg(F.count("*").alias("n"))
+    counts = answers.groupBy("tokens").agg((F.sum("n") if "n" in answers.columns else F.count("*")).alias("n"))
     near = counts.select(F.explode(F.sequence(F.col("tokens") - 5, F.col("tokens") + 5)).alias("at"), "tokens", "n").where("at != tokens")
     around = near.groupBy(F.col("at").alias("tokens")).agg((F.sum("n") / 10).alias("mean"))
     return counts.join(around, "tokens", "left").where(
@@ -260,6 +302,12 @@ BROADCAST_ROWS = 200_000
 SENTENCES_LEAST, RATIO_LEAST, LETTERS_LEAST = 0.75, 0.6, 0.6
 
 
+def once(features: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of features a key: repeated rows have the same, of rows that differ the least counts."""
+    others = [c for c in features.columns if c not in keys]
+    return features.groupBy(*keys).agg(F.min(F.struct(*others)).alias("f")).select(*keys, "f.*")
+
+
 def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, model: langid.Classifier) -> DataFrame:
     """(job_id, idx, defect) of defective completed chapter responses.
 
@@ -267,31 +315,36 @@ def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, m
     a job without target language is judged without the language rule. In order: empty, refusal, copy (code-only
     chapters aside), other_language, truncated.
     """
-    jobs = jobs.where("job_id is not null and book_id is not null").select(
-        "job_id", "book_id", langid.label_code(F.col("target_lang")).alias("target")
-    ).dropDuplicates(["job_id"])
-    if jobs.count() <= BROADCAST_ROWS:  # else contents are shuffled to their jobs
-        jobs = F.broadcast(jobs)
+    jobs = one_job(jobs.where("book_id is not null"), "book_id", langid.label_code(F.col("target_lang")).alias("target"))
     done = checkpoints.where("status = 'completed' and job_id is not null and idx is not null").select("job_id", "idx", "content")
-    answers = long_features(done.join(jobs.select("job_id", "target", "book_id"), "job_id"), ["job_id", "idx", "book_id", "target"], model, "target")
-    answers = answers.dropDuplicates(["job_id", "idx"])
+    answers = once(long_features(done, ["job_id", "idx"], model), ["job_id", "idx"]).join(jobs, "job_id")
+    at = F.array_position(F.array(*map(F.lit, langid.LANGUAGES)), F.col("target"))
+    best = F.array_max("scores")
+    lead = F.when(F.col("scores").isNotNull() & (at > 0), best - F.element_at("scores", F.greatest(at, F.lit(1)).cast("int"))).otherwise(0.0)
+    lang = F.element_at(F.array(*map(F.lit, langid.LANGUAGES)), F.coalesce(F.array_position("scores", best), F.lit(1)).cast("int"))
+    answers = answers.withColumn("lead", lead).withColumn("lang", lang).drop("scores")
     chapters = chapters.where("book_id is not null and idx is not null")
     asked = done.select("job_id", "idx").join(jobs.select("job_id", "book_id"), "job_id").select("book_id", "idx").distinct()
     if asked.count() <= BROADCAST_ROWS:  # beyond, features of chapters that nobody asked for are computed too
         chapters = chapters.join(F.broadcast(asked), ["book_id", "idx"], "left_semi")
-    prompts = long_features(chapters, ["book_id", "idx"], None).dropDuplicates(["book_id", "idx"])
+    prompts = once(long_features(chapters, ["book_id", "idx"], None), ["book_id", "idx"])
     prompts = prompts.select("book_id", "idx", *[F.col(c).alias(f"p_{c}") for c in ("code", "hash", "sentences", "letters", "ended", "wide")])
-    pairs = checkpointed(answers.join(prompts, ["book_id", "idx"]))  # small rows, used three times below
+    pairs = checkpointed(answers.join(prompts, ["book_id", "idx"]))  # small rows, used below several times
     whole = (F.col("ended")) & (F.col("p_sentences") >= 4) & (F.col("sentences") >= 0.9 * F.col("p_sentences"))
     usual = pairs.where(whole).groupBy("target", "p_wide").agg(F.percentile_approx(F.col("letters") / F.col("p_letters"), 0.5, 1000).alias("usual"))
     limits = spikes(pairs.where("not empty and not refusal")).withColumn("spike", F.lit(True))
-    pairs = pairs.join(F.broadcast(usual), ["target", "p_wide"], "left").join(limits, "tokens", "left")
+    texts = pairs.where("not empty and not refusal and length(chain) > 0").groupBy("target", F.col("chain").alias("text")).agg(F.count("*").alias("n"))
+    parts = shortened(texts).select("target", F.col("text").alias("chain"), (F.length("longer") - F.length("text")).alias("further"))
+    pairs = pairs.join(F.broadcast(usual), ["target", "p_wide"], "left").join(limits, "tokens", "left").join(parts, ["target", "chain"], "left")
     share = F.col("letters") / F.greatest(F.col("p_letters"), F.lit(1)) / F.coalesce(F.col("usual"), F.lit(1.0))
     few = (F.col("p_sentences") >= 3) & (F.col("sentences") < SENTENCES_LEAST * F.col("p_sentences")) & (share < 0.9)
     short = (F.col("p_letters") >= 200) & (share < LETTERS_LEAST) & (F.col("usual").isNotNull())
     # a response breaks off if it doesn't end as its sentences do, or as the prompt does
     broken = ~F.col("ended") & ((F.col("sentences") >= 1) | (F.col("p_ended") & (F.col("p_sentences") >= 1))) & (share < 0.98)
     at_limit = F.coalesce(F.col("spike"), F.lit(False)) & ~F.col("ended")
+    # another answer goes on by a tenth of this one or more, and this one isn't as long as answers usually are
+    part = F.coalesce(F.col("further"), F.lit(0)) * 10 >= F.length("chain")
+    part = (F.coalesce(F.col("further"), F.lit(0)) > 0) & part & (share < 0.9)
     defect = (
         F.when(F.col("empty") & ~F.col("p_code"), "empty")
         .when(F.col("empty") & (F.col("letters") == 0) & (F.col("hash") != F.col("p_hash")), "empty")
@@ -299,6 +352,6 @@ def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, m
         .when(F.col("p_code"), None)
         .when(F.col("hash") == F.col("p_hash"), "copy")
         .when((F.col("lang") != F.col("target")) & (F.col("lead") >= 0.4), "other_language")
-        .when(few | short | broken | at_limit, "truncated")
+        .when(part | few | short | broken | at_limit, "truncated")
     )
     return pairs.select("job_id", "idx", defect.alias("defect")).where("defect is not null")

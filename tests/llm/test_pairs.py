@@ -65,8 +65,44 @@ def test_spikes(spark):
 
 
 def test_shortened(spark):
-    df = spark.createDataFrame([("es", "gremio", 9), ("es", "gremio de", 1), ("es", "gremio de @", 5), ("es", "faro", 3), ("fr", "gremio", 1)], "target string, phrase string, n long")
-    assert sorted(tuple(r) for r in P.shortened(df).select("target", "phrase", "longer").collect()) == [("es", "gremio", "gremio de"), ("es", "gremio de", "gremio de @")]
+    df = spark.createDataFrame([("es", "gremio", 9), ("es", "gremio de", 1), ("es", "gremio de @", 5), ("es", "faro", 3), ("fr", "gremio", 1), ("es", "", 4), (None, "faro", 1), (None, "faro del", 1)], "target string, text string, n long")
+    assert sorted(tuple(r) for r in P.shortened(df).collect()) == [("es", "gremio", "gremio de", 1), ("es", "gremio de", "gremio de @", 5)]
+    assert P.shortened(df.limit(0)).count() == 0
+
+
+def test_shortened_over_the_edges_of_tasks(spark):
+    words = [f"w{k:03d}" + "x" * n for k in range(40) for n in range(1, 12)]
+    want = {(a, b) for a, b in zip(sorted(words), sorted(words)[1:]) if b.startswith(a)}
+    assert len(want) == 40 * 10
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for kind, of in (("string", str), ("binary", lambda w: bytearray(w.encode()))):
+            df = spark.createDataFrame([("es", of(w), 1) for w in words], f"target string, text {kind}, n long")
+            got = {(r["text"], r["longer"]) if kind == "string" else (r["text"].decode(), r["longer"].decode()) for r in P.shortened(df).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_chains_and_refusals():
+    text = "abcdefgh" * 100
+    assert P.chain_of(text).startswith(P.chain_of(text[:300])) and len(P.chain_of(text)) == 4 * (800 // P.CHAIN) and P.chain_of("short") == b""
+    assert P.is_refusal("I'm sorry, but I cannot help with that. " * 200) and not P.is_refusal("")
+    assert not P.is_refusal("I cannot help you, said the printer. " + "The old reader walked back to the library in the rain. " * 200)
+
+
+def test_an_answer_that_is_the_beginning_of_another(spark, model):
+    many = [f"Satz Nummer {k} steht in der alten Bibliothek am stillen Hafen der Stadt." for k in range(40)]
+    asked = [f"Sentence number {k} stands in the old library at the quiet harbour of the town." for k in range(40)]
+    jobs = spark.createDataFrame([("j", "b", "de"), ("k", "b", "de")], "job_id string, book_id string, target_lang string")
+    chapters = spark.createDataFrame([("b", k, page(asked)) for k in range(8)], "book_id string, idx int, content binary")
+    rows = [("j", k, "completed", page([f"Kapitel {k} beginnt hier.", *many])) for k in range(8)] + [("k", 3, "completed", page(["Kapitel 3 beginnt hier.", *many[:33]]))]
+    done = spark.createDataFrame(rows, "job_id string, idx int, status string, content binary")
+    got = {(r["job_id"], r["idx"]): r["defect"] for r in P.long_defects(chapters, jobs, done, model).collect()}
+    assert got == {("k", 3): "truncated"}
 
 
 def test_both_ways_of_joining_agree(spark, data, model, monkeypatch):
