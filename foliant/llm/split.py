@@ -1,7 +1,7 @@
 """Problem 3: pieces of oversized texts, cut at natural boundaries, with overlap.
 
 One bounded-quantifier pattern per row, built from the row's limit: its alternatives consume up to the limit, the
-strongest boundary first (end of text, paragraph, sentence, word), then any characters. SQL array functions then put
+strongest boundary first (end of text, paragraph, sentence, word, none of them inside a tag or reference), then any characters. SQL array functions then put
 the end of each piece before the next one. All of it is built-in expressions; no Python runs.
 """
 
@@ -17,6 +17,8 @@ DEFAULT_LIMIT = 4000
 PARAGRAPH = r"(?<=\n[ \t]{0,8}\r?\n|</(?:p|li|ul|ol|dl|dt|dd|h[1-6]|div|pre|table|tr|td|th|blockquote|section|figure)>\s{0,8}|<(?:br|hr)\s?/?>)"
 SENTENCE = r"(?<=[.!?…][\"'”’»)\]]{0,3}\s{1,4}|[。！？][\"'”’»」』）]{0,3}|\n)"
 WORD = r"(?<=\s)(?=\S)"
+#: No cut between these falls inside a tag or a character reference (of bounded length), unless nothing else is left.
+OUTSIDE = r"(?<!<[^<>]{0,300})(?<!&[#\w]{0,10})"
 
 
 def tokens(text: Column) -> Column:
@@ -44,7 +46,7 @@ def pieces_of(text: Column, limit: Column, overlap: Column) -> Column:
     room = ((limit - overlap) * CHARS_PER_TOKEN).cast("string")
     take = F.concat(F.lit(".{1,"), room, F.lit("}"))
     pattern = F.concat(
-        F.lit("(?s)"), take, F.lit(r"\z|"), take, F.lit(PARAGRAPH + "|"), take, F.lit(SENTENCE + "|"), take, F.lit(WORD + "|"), take
+        F.lit("(?s)"), take, F.lit(r"\z|"), *[x for way in (PARAGRAPH, SENTENCE, WORD, "") for x in (take, F.lit(way + OUTSIDE + "|"))], take
     )
     bodies = F.regexp_extract_all(text, pattern, F.lit(0))
     keep = overlap * CHARS_PER_TOKEN

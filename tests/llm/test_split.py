@@ -62,3 +62,21 @@ def test_chapters_and_jobs(spark):
     other = split.split_chapters(chapters, jobs, broadcast_rows=0)  # the way without a broadcast
     assert sorted(map(tuple, other.collect())) == sorted(map(tuple, made.collect()))
     assert split.split_chapters(chapters.limit(0), jobs).count() == 0 and split.split_chapters(chapters, jobs.limit(0)).count() == 0
+
+
+def test_no_cut_inside_a_tag_or_reference(spark):
+    text = '<p class="alpha beta. gamma delta epsilon zeta">One two three four five six.</p> Fish &amp; chips &#12345; and more words here.' + '<img src="x" alt="A. B. C. D"/>' * 3 + "&amp;" * 40
+    for limit in (7, 13, 16, 20):
+        row = spark.createDataFrame([(text,)], "t string").select(split.pieces_of(F.col("t"), F.lit(limit), F.lit(0)).alias("p")).first()["p"]
+        pieces = [x["piece"] for x in row]
+        assert "".join(pieces) == text and all(len(x) <= 4 * limit for x in pieces)
+        at, ends = 0, []
+        for x in pieces[:-1]:
+            at += len(x)
+            ends.append(at)
+        inside = [e for e in ends if text[:e].rfind("<") > text[:e].rfind(">")]
+        assert not [e for e in ends if "&" in text[max(0, e - 8) : e] and ";" not in text[text[:e].rfind("&") : e]]
+        assert not inside or limit * 4 < 49  # the first tag alone is longer than such a limit
+    plain = "a < b and so on " * 40
+    row = spark.createDataFrame([(plain,)], "t string").select(split.pieces_of(F.col("t"), F.lit(5), F.lit(1)).alias("p")).first()["p"]
+    assert "".join(x["piece"][x["overlap_chars"] :] for x in row) == plain
