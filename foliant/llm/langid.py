@@ -284,12 +284,17 @@ def read_document(model: Classifier, scores: np.ndarray, letters: np.ndarray) ->
     return accepted, own
 
 
-def train(samples: DataFrame, documents: DataFrame | None = None, max_samples: int = MAX_SAMPLES, max_documents: int = 3000) -> tuple[Classifier, float]:
+CONFIRMED = 0.7  # of a labelled document's sentences
+
+
+def train(
+    samples: DataFrame, documents: DataFrame | None = None, max_samples: int = MAX_SAMPLES, max_documents: int = 3000, max_sentences: int = 240
+) -> tuple[Classifier, float]:
     """(model, temperature) from labelled samples and, to see more of each language, from a bounded number of labelled
-    documents whose label the first model confirms in at least nine tenths of their sentences.
+    documents whose label the first model confirms in at least CONFIRMED of their sentences.
 
-    Bounds: max_samples samples and max_documents documents, by the order of a hash of their text. The temperature is
-    the one of TEMPERATURES under which the samples are likeliest by a model that did not see them.
+    Bounds: max_samples samples, max_documents documents and of these max_sentences sentences a language, by the order of a
+    hash of their text. The temperature is the one of TEMPERATURES under which the samples are likeliest by a model that did not see them.
     """
     from .sampling import labelled
 
@@ -318,26 +323,30 @@ def train(samples: DataFrame, documents: DataFrame | None = None, max_samples: i
             continue
         sc, letters = model.scores(sentences)
         languages, own = read_document(model, sc, letters)
-        if languages == [LANGUAGES.index(lang)] and (sc.argmax(1) == languages[0]).mean() >= 0.7:
+        if languages == [LANGUAGES.index(lang)] and (sc.argmax(1) == languages[0]).mean() >= CONFIRMED:
             more.setdefault(lang, []).extend(sentences)
-    extra = [(lang, s) for lang, s in sorted((k, t) for k, v in more.items() for t in sorted(set(v), key=hash_text)[:240])]
+    extra = [(lang, s) for lang, s in sorted((k, t) for k, v in more.items() for t in sorted(set(v), key=hash_text)[:max_sentences])]
     return Classifier(rows + extra, per_language=2 * LANDMARKS_PER_LANGUAGE), temperature
 
 
-DOCUMENT = (
-    "doc_id long, label string, lang string, confidence double, languages array<struct<lang:string,sentences:int,letters:int>>, "
-    "segments array<struct<start:int,end:int,lang:string,confidence:double>>"
-)
+READ = "lang string, confidence double, languages array<struct<lang:string,sentences:int,letters:int>>, segments array<struct<start:int,end:int,lang:string,confidence:double>>"
 
 
 def label_documents(documents: DataFrame, model: Classifier, temperature: float) -> DataFrame:
-    """(doc_id, label, lang, confidence, languages, segments) of documents (doc_id, text, lang), without a shuffle.
+    """(doc_id, label, lang, confidence, languages, segments) of documents (doc_id, text, lang); label is the given lang."""
+    given = documents.select("doc_id", F.col("lang").alias("label"), "text")
+    return label_texts(given, ["doc_id", "label"], "text", model, temperature)
+
+
+def label_texts(df: DataFrame, keys: list[str], text: str, model: Classifier, temperature: float, markup: bool = False) -> DataFrame:
+    """keys + (lang, confidence, languages, segments) of each text (with markup: of what it shows), without a shuffle.
 
-    label is the given lang.
-    Lines of code aren't judged. segments are runs of sentences in one language, as code point offsets. A null, empty or letterless text has a null
-    language and empty arrays; a null doc_id stays; repeated rows stay repeated; other columns are ignored; an empty
-    table gives no rows.
+    Lines of code aren't judged. segments are runs of sentences in one language, as code point offsets. A null, empty or
+    letterless text has a null language and empty arrays; null keys stay; repeated rows stay repeated; other columns are
+    ignored; an empty table gives no rows.
     """
+    source = df.select(*keys, F.col(text).alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def one(text: str, cuts: list[tuple[int, int]], sc: np.ndarray, letters: np.ndarray) -> tuple:
         if not letters.sum():
@@ -364,7 +373,7 @@ def label_documents(documents: DataFrame, model: Classifier, temperature: float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = [plain(t) if markup and t is not None else t if isinstance(t, str) else "" for t in batch["__text"]]
             cuts = [spans(t) for t in texts]
             sentences = [t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in c]
             sc, letters = model.scores(["" if _CODE_LINE.search(s) else s for s in sentences])  # code speaks no language
@@ -372,12 +381,10 @@ def label_documents(documents: DataFrame, model: Classifier, temperature: float)
             for t, c in zip(texts, cuts, strict=True):
                 rows.append(one(t, c, sc[at : at + len(c)], letters[at : at + len(c)]))
                 at += len(c)
-            out = pd.DataFrame(rows, columns=["lang", "confidence", "languages", "segments"])
-            out.insert(0, "label", batch["lang"].to_numpy())
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            out = pd.DataFrame(rows, columns=["lang", "confidence", "languages", "segments"], index=batch.index)
+            yield pd.concat([batch[keys], out], axis=1)
 
-    return documents.select("doc_id", "text", "lang").mapInPandas(run, DOCUMENT)
+    return source.mapInPandas(run, f"{kinds}, {READ}")
 
 
 def spans(text: str) -> list[tuple[int, int]]:

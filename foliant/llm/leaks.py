@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -151,23 +152,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, block: int = 20_000) -> DataFr
     a verified overlap of at least the shortest run.
 
     docs: (doc_id, text), read once for each block of items and never shuffled; items: (item_id, lang, text), a held-out
-    set that is taken through the driver in blocks of `block` items, so that no block grows with the corpus. Null or
-    empty texts and null ids match nothing; repeated rows give repeated rows; an empty table gives no rows.
+    set that comes through the driver in blocks of `block` items, one partition at a time, so that no block grows with the
+    corpus. Items shorter than the shortest run match nothing, nor do null or empty texts and null ids; repeated rows of
+    documents give repeated rows, repeated items count once; an empty table gives no rows.
     """
-    rows = [tuple(r) for r in items.select("item_id", "lang", "text").where("item_id is not null").orderBy("item_id").collect()]
+    rows = items.select("item_id", "lang", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "lang", "text").toLocalIterator()
     schema = "doc_id long, item_id long, item_tokens int, exact_tokens int, tolerant_tokens int, longest_run int"
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     out = None
-    for start in range(0, max(len(rows), 1), block):
-        index = Items(rows[start : start + block])
+    while (part := [tuple(r) for r in islice(rows, block)]) or out is None:
+        index = Items(part)
 
         def run(batches: Iterator[pd.DataFrame], index: Items = index) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 found = [(doc, *m) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for m in index.match(text)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "item_tokens", "exact_tokens", "tolerant_tokens", "longest_run"])
 
-        part = docs.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
+        found = docs.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
     return out.withColumn("share", F.col("exact_tokens") / F.col("item_tokens")).withColumn(
         "tolerant_share", F.col("tolerant_tokens") / F.col("item_tokens")
     )

@@ -24,6 +24,20 @@ def p1_books(spark: SparkSession, folder: str) -> DataFrame:
     return langid.label_books(_book_parts(spark, folder, model), temperature)
 
 
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chapter, cue and scanned block with its languages and segments: (kind, book_id, page_number, idx, lang, confidence, languages, segments)."""
+    model, temperature = _language_model(spark, folder)
+    none = F.lit(None).cast("int")
+    parts = [
+        (table(spark, folder, "chapters").select(F.lit("chapter").alias("kind"), "book_id", none.alias("page_number"), "idx", F.col("content").alias("t")), True),
+        (table(spark, folder, "srt_entries").select(F.lit("cue").alias("kind"), "book_id", none.alias("page_number"), "idx", F.col("text").alias("t")), False),
+        (table(spark, folder, "verified_texts").select(F.lit("block").alias("kind"), "book_id", "page_number", F.col("block_ix").alias("idx"), F.col("text").alias("t")), False),
+    ]
+    keys = ["kind", "book_id", "page_number", "idx"]
+    made = [langid.label_texts(df, keys, "t", model, temperature, markup) for df, markup in parts]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 def _language_model(spark: SparkSession, folder: str) -> tuple[langid.Classifier, float]:
     return langid.train(table(spark, folder, "lang_samples"), table(spark, folder, "documents"))
 

@@ -66,3 +66,14 @@ def test_books(spark, model):
     got = {r["book_id"]: (r["lang"], r["languages"]) for r in L.label_books(parts, 4.0).collect()}
     assert got["a"][1] == ["de", "en"] and got["b"] == ("de", ["de"]) and got["e"] == ("de", ["de"]) and got["d"] == (None, [])
     assert set(got) == {"a", "b", "d", "e"}
+
+
+def test_segments_of_chapters(spark, data):
+    from foliant.llm import langid
+
+    model, temperature = langid.train(spark.read.parquet(f"{data}/lang_samples.parquet"), spark.read.parquet(f"{data}/documents.parquet"))
+    en, de = "The old reader walked back to the library in the rain. Nobody in the town remembered the quiet teacher. ", "Der alte Leser ging bei Regen in die Bibliothek zurück. Niemand in der Stadt erinnerte sich an die stille Lehrerin. "
+    rows = [("b", 1, bytearray(f"<p>{en}</p><p>{de}</p>".encode())), ("b", 2, None), ("b", 3, bytearray(b"<pre>x = 1</pre>")), (None, 4, bytearray(en.encode()))]
+    got = {r["idx"]: r for r in langid.label_texts(spark.createDataFrame(rows, "book_id string, idx int, content binary"), ["book_id", "idx"], "content", model, temperature, True).collect()}
+    assert [s["lang"] for s in got[1]["segments"]] == ["en", "de"] and all(s["confidence"] > 0.5 for s in got[1]["segments"])
+    assert got[2]["lang"] is None and got[3]["lang"] is None and got[4]["lang"] == "en"
