@@ -88,6 +88,21 @@ def plain_type(text: Column) -> Column:
     )
 
 
+#: Signs of formulas, and what ends a sentence.
+FORMULA = "μσδαβγθλπω∞∑∫%"
+ENDS = "。！？.!?\"”"
+
+
+def json_type(text: Column, has_box: Column) -> Column:
+    """The type of a recognised block that names none: as of a line; with a box, formulas and clusters of short lines are other."""
+    t = trim(text)
+    base = plain_type(text)
+    lines = F.filter(F.transform(F.split(t, "\n"), trim), lambda x: x != "")
+    short = (F.size(lines) >= 3) & (F.floor(F.octet_length(t) / F.greatest(F.size(lines), F.lit(1))) <= 20)
+    loose = ~t.rlike(f"[{ENDS}]$") & (t.rlike(f"[{FORMULA}]") | short)
+    return F.when(base != "paragraph", base).when(~has_box | (t == ""), "paragraph").when(t.startswith("图") | t.startswith("表") | t.startswith("Fig"), "caption").when(loose, "other").otherwise("paragraph")
+
+
 def box(json: Column) -> Column:
     """STRUCT<x, y, w, h> of an object or a list of four or five numbers; null unless all four are there and not negative."""
     kind = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"

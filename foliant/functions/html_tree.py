@@ -7,6 +7,7 @@ its position in document order (pre) and that of its last descendant (last), so
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
@@ -125,24 +126,77 @@ def text_of(node: Node) -> str:
     return re.sub(r" ?\n ?", "\n", " ".join(out)).strip()
 
 
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:[~^$*|]?=(?:\"[^\"]*\"|'[^']*'|[^\]\"']*))?\]|:(?:first-child|last-child|only-child|not\([^()]*\)))*)")
+_PART = re.compile(r"[.#][\w-]+|\[[^\]]+\]|:[\w-]+(?:\([^()]*\))?")
+
+
 def matches(node: Node, selector: str) -> bool:
-    """Simple selectors: tag, .class, #id, [attr], [attr=value], and their compounds."""
-    m = re.fullmatch(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:=\"?[^\"\]]*\"?)?\])*)", selector.strip())
-    if not m or not selector.strip():
+    """Selectors of elements: tag, .class, #id, [attr], [attr=value] (also ~= ^= $= *= |=), :first-child, :last-child,
+    :only-child, :not(...); compounds of these, descendants (a b), children (a > b) and lists (a, b).
+
+    One that isn't understood matches nothing, and makes its list match nothing.
+    """
+    steps = [chain_of(part) for part in re.split(r",(?![^\[]*\])(?![^()]*\))", selector)]
+    return all(steps) and any(_chain_matches(node, chain) for chain in steps)
+
+
+@lru_cache(maxsize=1000)
+def chain_of(selector: str) -> tuple[tuple[str, str], ...]:
+    """The compounds of a selector from the last to the first, each with what binds it to the next; empty if there is an error."""
+    tokens = re.findall(r"\s*>\s*|\s+|(?:[^\s>\[(]|\[[^\]]*\]|\([^()]*\))+", selector.strip())
+    out, bind = [], ""
+    for t in reversed(tokens):
+        if not t.strip() or t.strip() == ">":
+            if not out or bind:
+                return ()
+            bind = t.strip() or " "
+        else:
+            m = _SIMPLE.fullmatch(t)
+            if not m or not t or (out and not bind):
+                return ()
+            out.append((bind, t))
+            bind = ""
+    return () if bind else tuple(out)
+
+
+def _chain_matches(node: Node, chain: tuple[tuple[str, str], ...]) -> bool:
+    (_, own), rest = chain[0], chain[1:]
+    if not _compound_matches(node, own):
+        return False
+    if not rest:
+        return True
+    above = list(node.above())
+    bind = rest[0][0]
+    candidates = [a for a in above if a.parent is not None or a.tag] if bind == " " else [a for a in above if a is node.parent]
+    return any(_chain_matches(a, (("", rest[0][1]), *rest[1:])) for a in candidates)
+
+
+def _compound_matches(node: Node, compound: str) -> bool:
+    m = _SIMPLE.fullmatch(compound)
+    if not m:
         return False
     if m.group(1) not in (None, "*") and node.tag != m.group(1).lower():
         return False
-    for part in re.findall(r"[.#][\w-]+|\[[^\]]+\]", m.group(2)):
-        if part[0] == ".":
-            good = part[1:] in node.attrs.get("class", "").split()
-        elif part[0] == "#":
-            good = node.attrs.get("id") == part[1:]
-        else:
-            name, _, value = part[1:-1].partition("=")
-            good = name in node.attrs and (not value or node.attrs[name] == value.strip('"'))
-        if not good:
-            return False
-    return True
+    return all(_part_matches(node, part) for part in _PART.findall(m.group(2)))
+
+
+def _part_matches(node: Node, part: str) -> bool:
+    if part[0] == ".":
+        return part[1:] in node.attrs.get("class", "").split()
+    if part[0] == "#":
+        return node.attrs.get("id") == part[1:]
+    if part[0] == ":":
+        if part.startswith(":not("):
+            return not _compound_matches(node, part[5:-1].strip())
+        siblings = [c for c in node.parent.children if isinstance(c, Node)] if node.parent is not None else [node]
+        return (siblings[0] is node or part == ":last-child") and (siblings[-1] is node or part == ":first-child")
+    name, how, value = re.fullmatch(r"\[([\w-]+)(?:([~^$*|]?=)(.*))?\]", part).groups()
+    if name not in node.attrs or how is None:
+        return name in node.attrs
+    have, value = node.attrs[name], value.strip("\"'")
+    if not value and how in ("~=", "^=", "$=", "*="):
+        return False
+    return {"=": have == value, "~=": value in have.split(), "^=": have.startswith(value), "$=": have.endswith(value), "*=": value in have, "|=": have == value or have.startswith(value + "-")}[how]
 
 
 @dataclass(frozen=True)

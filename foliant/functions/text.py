@@ -185,6 +185,17 @@ def duration(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
 
 
+def elapsed(start: Column, end: Column) -> Column:
+    """Whole seconds between two times in seconds, at least 0; a start that is missing is the end."""
+    return F.greatest(F.floor(end - F.coalesce(start, end)), F.lit(0))
+
+
+def file_name(path: Column) -> Column:
+    """What follows the last slash of either kind; the path itself if nothing does."""
+    last = F.element_at(F.split(path, r"[\\\\/]"), -1)
+    return F.when(last == "", path).otherwise(last)
+
+
 def comma_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), trim), lambda x: x != "")
 

@@ -113,19 +113,27 @@ def table_rows(cells: Column) -> Column:
     return F.transform(rows, ordered)
 
 
-def grid_columns(tables: DataFrame) -> DataFrame:
-    """(book_id, page_number, table_ix, columns): the least number of columns, from 2 to half the cells, in which x repeats.
+def grid_of(cells: Column) -> Column:
+    """The least number of columns, from 2 to half of six cells or more, in which x repeats; null if there is none.
 
-    tables: table_runs with at least six cells. Within each column no x may differ from the mean by more than a sixth of
-    it and 50.
+    Within each column no x may differ from the mean, rounded down, by more than a sixth of it and 50.
     """
-    keys = [*PAGE, "table_ix"]
-    n = F.size("cells")
-    tries = tables.where(n >= 6).select(*keys, "cells", F.explode(F.sequence(F.lit(2), (n / 2).cast("int"))).alias("columns")).where(n % F.col("columns") == 0)
-    each = tries.select(*keys, "columns", F.posexplode("cells").alias("at", "c")).select(*keys, "columns", (F.col("at") % F.col("columns")).alias("col"), F.coalesce("c.bbox.x", F.lit(0)).alias("x"))
-    mean = F.floor(F.avg("x").over(Window.partitionBy(*keys, "columns", "col")))
-    bad = each.withColumn("mean", mean).withColumn("bad", F.abs(F.col("x") - F.col("mean")) > F.floor(F.col("mean") / 6) + 50)
-    return bad.groupBy(*keys, "columns").agg(F.max("bad").alias("bad")).where("not bad").groupBy(*keys).agg(F.min("columns").alias("columns"))
+    n = F.size(cells)
+    xs = F.transform(cells, lambda c: F.coalesce(c["bbox"]["x"], F.lit(0)))
+
+    def steady(columns: Column, k: Column) -> Column:
+        own = F.filter(xs, lambda x, i: i % columns == k)
+        mean = F.floor(F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x) / F.size(own))
+        return F.forall(own, lambda x: F.abs(x - mean) <= F.floor(mean / 6) + 50)
+
+    tries = F.filter(F.sequence(F.lit(2), F.greatest((n / 2).cast("int"), F.lit(2))), lambda c: (n % c == 0) & F.forall(F.sequence(F.lit(0), c - 1), lambda k: steady(c, k)))
+    return F.when(n >= 6, F.get(tries, F.lit(0)))
+
+
+def grid_columns(tables: DataFrame) -> DataFrame:
+    """(book_id, page_number, table_ix, columns) of tables (table_runs) whose places put all cells in one row."""
+    one = tables.where((F.size("cells") >= 6) & (F.size(table_rows(F.col("cells"))) == 1))
+    return one.select(*PAGE, "table_ix", grid_of(F.col("cells")).alias("columns")).where("columns is not null")
 
 
 def box_union(blocks: DataFrame) -> DataFrame:
@@ -157,20 +165,3 @@ def best_attempt(attempts: Column, original: Column, threshold: float = 0.7) ->
     start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("confidence"), F.lit(1.0).alias("anomaly"), F.lit(False).alias("done"))
     out = F.aggregate(attempts, start.cast(kind), step)
     return F.struct(out["text"].alias("text"), F.greatest(out["confidence"], original).alias("confidence"), out["anomaly"].alias("anomaly"))
-
-
-def markdown_rows(text: Column) -> Column:
-    """ARRAY<ARRAY<STRING>>: the cells of a Markdown table, also of one written in a single line; no rule lines."""
-    lines = F.split(F.regexp_replace(text, r"\| +\|", "|\n|"), "\n")
-    rows = F.filter(F.transform(lines, T.trim), lambda r: r.startswith("|") & ~r.rlike(r"^[|:\- ]+$"))
-    return F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), T.trim))
-
-
-def to_html(text: Column, kind: Column) -> Column:
-    """The markup of a block; paragraphs are those between its blank lines."""
-    ps = F.array_join(F.transform(T.paragraphs(text), lambda p: F.concat(F.lit("<p>"), T.escape(p), F.lit("</p>"))), "\n")
-    one = lambda tag: F.concat(F.lit(f"<{tag}>"), T.escape(T.squeeze(text)), F.lit(f"</{tag}>"))
-    return (
-        F.when(kind == "heading", one("h1")).when(kind == "subheading", one("h2")).when(kind == "caption", one("figcaption"))
-        .when(kind == "other", F.concat(F.lit("<pre>"), T.escape(text), F.lit("</pre>"))).otherwise(ps)
-    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,68 @@ def fold(events: DataFrame) -> DataFrame:
         "task_id", F.col("t").cast("bigint").alias("total"), F.when(over & F.col("t").isNotNull(), F.col("t")).otherwise(F.col("completed")).cast("bigint").alias("completed"),
         F.when(over, 100).otherwise(percent(F.col("t"), F.col("completed"), flight)).cast("int").alias("progress"),
     )
+
+
+#: Events and their fields: whole numbers end in "#".
+EVENTS = {
+    "Started": ("total#",), "ChapterStarted": ("index#", "href"), "ChapterFinished": ("index#", "href"), "ChunkStarted": ("index#", "href", "chunk_index#", "chunk_total#"),
+    "ChunkFinished": ("index#", "href", "chunk_index#", "chunk_total#"), "Failed": ("index#", "href", "error"),
+}
+PAYLOAD = "struct<event:string,total:bigint,index:bigint,href:string,chunk_index:bigint,chunk_total:bigint,error:string>"
+
+
+def payload(json: Column) -> Column:
+    """STRUCT of an event: the string "Completed", or an object with the event as its only key; null for anything else."""
+    raw = F.try_parse_json(json)
+    keys = F.json_object_keys(json)
+    fields = ("total#", "index#", "href", "chunk_index#", "chunk_total#", "error")
+
+    def value(event: str, field: str) -> tuple[Column, Column]:
+        """(the value, whether it is there in its type)."""
+        path = f"$.{event}.{field.rstrip('#')}"
+        kind = F.schema_of_variant(F.try_variant_get(raw, path, "variant"))
+        if field.endswith("#"):
+            return F.try_variant_get(raw, path, "bigint"), kind.rlike("^(BIGINT|INT|DECIMAL|DOUBLE|FLOAT)")
+        return F.try_variant_get(raw, path, "string"), kind == "STRING"
+
+    out = F.when(F.trim(json) == '"Completed"', F.struct(F.lit("Completed").alias("event"), *[F.lit(None).cast("bigint" if f.endswith("#") else "string").alias(f.rstrip("#")) for f in fields]))
+    for event, wanted in EVENTS.items():
+        have = {f: value(event, f) for f in wanted}
+        good = F.lit(True)
+        for _, there in have.values():
+            good = good & F.coalesce(there, F.lit(False))
+        made = [(have[f][0] if f in have else F.lit(None).cast("bigint" if f.endswith("#") else "string")).alias(f.rstrip("#")) for f in fields]
+        out = out.when((F.size(keys) == 1) & (F.get(keys, F.lit(0)) == event) & good, F.struct(F.lit(event).alias("event"), *made))
+    return out.cast(PAYLOAD)
+
+
+def last_state(events: DataFrame) -> DataFrame:
+    """(task_id, percent, message): the last of (task_id, seq, percent, message) of each task; ties go to the greater state."""
+    return events.groupBy("task_id").agg(F.max(F.struct("seq", "percent", "message")).alias("e")).select("task_id", "e.percent", "e.message")
+
+
+def chunk_numbers(counts: DataFrame, keys: list[str], block: str) -> DataFrame:
+    """keys + (block, first, total): the number that each block's first chunk has in its chapter, from 0, and the chapter's chunks.
+
+    counts: keys, block, chunks: one row a block, so only numbers run through the windows of a chapter.
+    """
+    chapter = Window.partitionBy(*keys)
+    before = F.sum("chunks").over(chapter.orderBy(block)) - F.col("chunks")
+    return counts.select(*keys, block, before.cast("bigint").alias("first"), F.sum("chunks").over(chapter).cast("bigint").alias("total"))
+
+
+#: The kinds of log entries by event.
+LEVELS = {"Completed": "success", "Started": "info", "Failed": "error"}
+
+
+def log_entries(events: DataFrame) -> DataFrame:
+    """(task_id, seq, level, message, details) of events (task_id, seq, event, href, total, chunk_index, chunk_total, error)."""
+    level = F.lit("chapter")
+    for event, name in LEVELS.items():
+        level = F.when(F.col("event") == event, name).otherwise(level)
+    chunk = F.concat_ws(" ", "event", F.concat((F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("chunk_total").cast("string")), "href")
+    message = (
+        F.when(F.col("event") == "Started", F.concat_ws(" ", "event", F.col("total").cast("string"))).when(F.col("event").startswith("Chunk"), chunk)
+        .when(F.col("event") == "Failed", F.concat_ws(" ", "event", "href", "error")).otherwise(F.concat_ws(" ", "event", "href"))
+    )
+    return events.select("task_id", "seq", level.alias("level"), message.alias("message"), F.when(F.col("event") == "Failed", F.col("error")).alias("details"))

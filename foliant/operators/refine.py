@@ -163,28 +163,72 @@ def carry_over(refined: DataFrame, original: DataFrame) -> DataFrame:
     return refined.select(*cols).groupBy(*keys).cogroup(original.select(*cols, "confidence", "bbox").groupBy(*keys)).applyInPandas(run, MATCHED)
 
 
-def to_fixpoint(pages: DataFrame, make: Callable[[], Callable[[list[str], int], list[str]]], rounds: int = 3) -> DataFrame:
-    """(book_id, page_number, block_ix, text, rounds): each page's texts refined until a round changes nothing, at most `rounds`.
+def to_fixpoint(pages: DataFrame, make: Callable[[], Callable[[list[tuple[str, str]], int], list[tuple[str, str]]]], rounds: int = 3) -> DataFrame:
+    """(book_id, page_number, block_ix, text, block_type, rounds): each page's blocks refined until a round changes neither
+    texts nor types, at most `rounds`.
 
-    make gives, once per partition, a function of the texts and the round.
+    make gives, once per partition, a function of the blocks (text, type) and the round. A null type is a paragraph.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refine = make()
         for b in batches:
             rows = []
-            for book, page, blocks in zip(b["book_id"], b["page_number"], b["texts"], strict=True):
-                texts, used = list(blocks), 0
+            for book, page, blocks in zip(b["book_id"], b["page_number"], b["blocks"], strict=True):
+                now, used = [(x["text"], x["block_type"]) for x in blocks], 0
                 for used in range(1, rounds + 1):
-                    new = refine(texts, used)
-                    if new == texts:
+                    new = [tuple(x) for x in refine(now, used)]
+                    if new == now:
                         break
-                    texts = new
-                rows += [(book, page, k, t, used) for k, t in enumerate(texts)]
-            yield pd.DataFrame(rows, columns=["book_id", "page_number", "block_ix", "text", "rounds"])
+                    now = new
+                rows += [(book, page, k, *x, used) for k, x in enumerate(now)]
+            yield pd.DataFrame(rows, columns=["book_id", "page_number", "block_ix", "text", "block_type", "rounds"])
 
     from pyspark.sql import functions as F
 
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "text"))), lambda s: s["text"])
-    grouped = pages.groupBy("book_id", "page_number").agg(ordered.alias("texts"))
-    return grouped.mapInPandas(run, "book_id string, page_number int, block_ix int, text string, rounds int")
+    ordered = F.array_sort(F.collect_list(F.struct("block_ix", "text", F.coalesce("block_type", F.lit("paragraph")).alias("block_type"))))
+    grouped = pages.groupBy("book_id", "page_number").agg(ordered.alias("blocks"))
+    return grouped.mapInPandas(run, "book_id string, page_number int, block_ix int, text string, block_type string, rounds int")
+
+
+PARSED = "part int, block_type string, text string"
+
+
+def parse_answers(answers: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys + (part, block_type, text): the blocks of answers in plain text, or of the JSON object they hold.
+
+    Null and empty answers give no rows; an object without a list of blocks is plain text.
+    """
+    from pyspark.sql import functions as F
+
+    source = answers.select(*keys, F.col(text).alias("__text")).where("__text is not null")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+
+    def blocks_of(answer: str) -> list[tuple[str, str]]:
+        found = loose_json(answer) if "{" in answer else None
+        if isinstance(found, dict) and isinstance(found.get("blocks"), list):
+            made = [(x.get("block_type"), x.get("text")) for x in found["blocks"] if isinstance(x, dict) and isinstance(x.get("text"), str)]
+            return [(k if k in KINDS else line_kind(t), t) for k, t in made]
+        return plain_blocks(answer)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*key, k, *x) for *key, answer in b[[*keys, "__text"]].itertuples(index=False) for k, x in enumerate(blocks_of(answer))]
+            yield pd.DataFrame(rows, columns=[*keys, "part", "block_type", "text"])
+
+    return source.mapInPandas(run, f"{kinds}, {PARSED}")
+
+
+def crops(blocks: DataFrame, scale: float, width: str = "page_width", height: str = "page_height") -> DataFrame:
+    """blocks + crop STRUCT<x, y, w, h>: the box of each, grown about its centre by `scale` and kept on the page; null without one.
+
+    As crop_box, by expressions: halves are rounded to even, as Python does.
+    """
+    from pyspark.sql import functions as F
+
+    b = lambda c: F.col(f"bbox.{c}").cast("double")
+    grown = {c: F.bround(b(c) * scale) for c in "wh"}
+    at = {c: F.greatest(F.lit(0), F.least(F.bround(b(c) - (grown[d] - b(d)) / 2), F.col(most))) for c, d, most in (("x", "w", width), ("y", "h", height))}
+    size = {d: F.greatest(F.lit(0), F.least(grown[d], F.col(most) - at[c])) for c, d, most in (("x", "w", width), ("y", "h", height))}
+    made = F.struct(*[(at | size)[c].cast("int").alias(c) for c in "xywh"])
+    return blocks.withColumn("crop", F.when(F.col("bbox").isNotNull(), made))

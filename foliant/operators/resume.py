@@ -18,6 +18,12 @@ def valid(checkpoints: DataFrame, sources: DataFrame) -> DataFrame:
     return checkpoints.join(sources, "job_id").where("source_hash = '' or source_hash = current_hash").drop("current_hash")
 
 
+def flagged(checkpoints: DataFrame, sources: DataFrame) -> DataFrame:
+    """checkpoints + matches_current_source: whether the stored hash is that of the job's source now; false without one."""
+    same = F.coalesce(F.col("source_hash") == F.col("current_hash"), F.lit(False))
+    return checkpoints.join(sources, "job_id", "left").withColumn("matches_current_source", same).drop("current_hash")
+
+
 def pending(wanted: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """wanted (job_id, idx) without the completed ones."""
     done = checkpoints.where("status = 'completed'").select("job_id", "idx").distinct()

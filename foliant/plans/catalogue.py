@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import blocks as B
 from foliant.functions import html_tree as H
+from foliant.functions import settings as S
 from foliant.functions import text as T
-from foliant.operators import ocr, progress, refine, resume, toc
+from foliant.operators import bookmaking, ocr, progress, refine, resume, toc
 from foliant.operators import translate as TR
-from foliant.session import checkpointed, reach, shared_folder, table
-from foliant.sources import srt
+from foliant.session import checkpointed, discard, reach, shared_folder, table
+from foliant.sources import book, srt, stores
 from foliant.streaming import progress as streams
 
 from .oracles import SQL
@@ -49,15 +52,19 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chapters").dropDuplicates(["book_id", "idx"])
+    return resume.latest(table(spark, folder, "chapters"), ["book_id", "idx"], "loaded_at")
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "checkpoints").dropDuplicates(["job_id", "idx"])
+    return resume.latest(table(spark, folder, "checkpoints"), ["job_id", "idx"], "saved_at")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "verified_texts").where("text is not null").dropDuplicates(["book_id", "page_number", "block_ix"])
+    return resume.latest(table(spark, folder, "verified_texts").where("text is not null"), ["book_id", "page_number", "block_ix"], "loaded_at")
+
+
+def cues(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.latest(table(spark, folder, "srt_entries").where("text is not null"), ["book_id", "idx"], "loaded_at")
 
 
 # ---------------------------------------------------------------- text
@@ -169,17 +176,147 @@ def source_budgets(spark: SparkSession, folder: str) -> DataFrame:
     return jobs(spark, folder).select("job_id", out.cast("bigint").alias("budget"))
 
 
+# ---------------------------------------------------------------- settings
+
+SERVICES = ("fake", "local", "remote_a", "Openai-compatible")
+TARGETS = ("de", "en", "es", "fr", "it", "ja", "ru", "zh-CN")
+
+
+def _settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Job options with further settings made of them, some wrong."""
+    n = F.length("job_id") + F.ascii("job_id")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    return jobs(spark, folder).select(
+        "job_id", "source_lang", "target_lang", "provider", "max_input_tokens", "max_output_tokens", "temperature", pick("m", "", "m2").alias("model"),
+        pick("https://a.example/v1", "ftp://a.example", "no url", None, "http://b").alias("base_url"), pick("k", "", None).alias("api_key"),
+        F.split(pick("pre,code", "p q", "a,,b", ".x"), ",").alias("exclude_selectors"), F.split(pick("alt,title", "data_x"), ",").alias("translate_attributes"),
+        F.split(pick("p,h1", "P", "td"), ",").alias("translate_tags"), pick("Serif", "a;b", None).alias("output_font"), ((n % 2) == 0).alias("dry_run"),
+    )
+
+
+@query
+def setting_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with each job's settings."""
+    t = _settings(spark, folder)
+    services = tuple(s.lower() for s in SERVICES)
+    return t.select("job_id", F.explode(S.checks(t.columns, services, TARGETS)).alias("p")).select("job_id", "p.field", "p.problem")
+
+
+@query
+def connection_problems(spark: SparkSession, folder: str) -> DataFrame:
+    t = _settings(spark, folder)
+    return t.select("job_id", S.connection_problem(F.col("provider"), F.col("api_key"), F.col("base_url"), ("fake", "local", "remote_a")).alias("problem"))
+
+
+@query
+def read_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings written as JSON with fields that nobody knows, and read with their defaults; every seventh is no object."""
+    j = jobs(spark, folder)
+    json = F.when(F.length("provider") % 7 == 0, F.lit("[1]")).otherwise(F.to_json(F.struct("provider", "max_input_tokens", F.col("job_id").alias("unknown"))))
+    made = S.read(json, "provider string, max_input_tokens bigint, concurrency bigint, refine boolean", {"provider": "fake", "max_input_tokens": 4000, "concurrency": 3, "refine": False})
+    return j.select("job_id", made.alias("s")).select("job_id", "s.*")
+
+
+@query
+def provider_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """What each job's calls use, of its own settings, those of all jobs, usual ones and the environment."""
+    t = _settings(spark, folder)
+    rows = t.select(
+        "job_id", F.col("provider").alias("name"), "dry_run", F.when(F.col("dry_run"), F.col("base_url")).alias("own_base_url"), F.col("api_key").alias("own_api_key"),
+        F.when(F.col("model") == "m", F.lit("unknown")).otherwise(F.col("model")).alias("own_model"), F.when(F.col("model") == "m2", 0).otherwise(700).alias("own_max_tokens"),
+        F.col("output_font").isNotNull().alias("own_known"), F.lit("https://usual.example").alias("usual_base_url"), F.lit("usual").alias("usual_model"), F.lit(2000).alias("usual_max_tokens"),
+        F.when(F.col("base_url").startswith("http"), F.col("base_url")).alias("all_base_url"), F.when(F.col("model") == "", F.lit("")).alias("all_api_key"), F.lit("all").alias("all_model"), F.lit(900).alias("all_max_tokens"),
+    )
+    environment = F.create_map(F.lit("REMOTE_A_API_KEY"), F.lit("ra"), F.lit("LOCAL_API_KEY"), F.lit(""))
+    out = S.resolve(rows, environment)
+    return out.select("job_id", "base_url", "api_key", "model", F.col("max_tokens").cast("bigint").alias("max_tokens"), "error")
+
+
+@query
+def merged_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Limits given with a call (every other job), in the job's options, or by default."""
+    t = _settings(spark, folder)
+    return t.select("job_id", S.merged(F.when(F.col("dry_run"), 500), F.col("max_input_tokens"), F.lit(4000)).cast("bigint").alias("max_input_tokens"))
+
+
+@query
+def service_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of keys in the environment, and whether models read images."""
+    j = jobs(spark, folder)
+    model = F.element_at(F.array(*map(F.lit, ("gpt-4o-mini", "claude-3-x", "llava:7b", "deepseek-chat", "GPT-3.5-vision"))), (F.ascii("job_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("openai", "anthropic", "ollama", "deepseek", "other"))), (F.ascii(F.substring("job_id", 2, 1)) % 5 + 1).cast("int"))
+    return j.select("job_id", S.key_name(F.replace("provider", F.lit("_"), F.lit("-"))).alias("key_name"), S.reads_images(kind, model).alias("reads_images"))
+
+
+@query
+def interface_locales(spark: SparkSession, folder: str) -> DataFrame:
+    """The interface's language for the systems that labels of books name."""
+    return books(spark, folder).select("book_id", S.interface_locale(F.col("language")).alias("locale"))
+
+
+@query
+def model_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Glossary terms of each job written as a service's list of models, with ids that are no strings, and read again."""
+    g = table(spark, folder, "glossary").where("job_id is not null and term is not null").select("job_id", "entry_id", "term").distinct()
+    item = F.when(F.col("entry_id") % 5 == 0, F.concat(F.lit('{"id":'), F.col("entry_id").cast("string"), F.lit("}"))).otherwise(F.to_json(F.struct(F.col("term").alias("id"))))
+    lists = g.groupBy("job_id").agg(F.concat(F.lit('{"data":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_id", item.alias("i")))), lambda x: x["i"]), ","), F.lit("]}")).alias("json"))
+    return lists.select("job_id", F.array_join(S.model_ids(F.col("json"), "data", "id"), "|").alias("ids"), F.size(S.model_ids(F.col("json"), "models", "id")).cast("bigint").alias("others"))
+
+
+@query
+def unique_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of a book's jobs' services: name, name 2, name 3."""
+    j = jobs(spark, folder)
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("job_id"))
+    return toc.unique_ids(j.select("book_id", n.alias("idx"), F.col("provider").alias("base")), " ").withColumnRenamed("id", "name")
+
+
+@query
+def selector_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of selectors with code left out or not, and with a value added once."""
+    t = _settings(spark, folder)
+    return t.select("job_id", F.array_join(S.left_out(F.col("exclude_selectors"), F.col("dry_run")), "|").alias("left_out"), S.add_once(F.array_join("exclude_selectors", ","), F.lit("code")).alias("added"))
+
+
+def _glossary_lines(spark: SparkSession, folder: str) -> DataFrame:
+    entries = F.array_sort(F.collect_list(F.struct("entry_id", "term", "translation")))
+    return table(spark, folder, "glossary").where("translation is not null").groupBy("job_id").agg(T.glossary_lines(entries).alias("lines"))
+
+
+@query
+def system_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The instruction of each job, by its own, its style and its glossary; and of its refining pass."""
+    t = jobs(spark, folder).join(_glossary_lines(spark, folder), "job_id", "left")
+    own, source = F.when(F.col("output_mode") == "interleaved", F.lit("Own {target_lang}.")), F.coalesce("source_lang", F.lit("auto"))
+    style = F.when(F.col("provider") == "fake", F.lit("literary")).when(F.col("provider") == "local", F.lit("another"))
+    return t.select("job_id", S.system_prompt(own, style, source, F.col("target_lang"), F.col("lines"), PROMPTS).alias("prompt"), S.refine_prompt(source, F.col("target_lang"), F.col("lines"), REFINE).alias("refine"))
+
+
+#: Prompts of the queries.
+PROMPTS = {"default": "From {source_lang} to {target_lang}.", "literary": "Prose from {source_lang} to {target_lang}."}
+REFINE = "Improve {target_lang}."
+
+
+@query
+def chapter_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts of chapters: some have one of their own."""
+    own = F.create_map(F.lit("ch001.xhtml"), F.lit("first"), F.lit("OEBPS/ch002.xhtml"), F.lit("second"))
+    return chapters(spark, folder).select("book_id", "idx", S.chapter_prompt(own, F.coalesce("href", F.lit("")), F.lit("general")).alias("prompt"))
+
+
 # ---------------------------------------------------------------- selection and contents
 
 
 @query
 def skip_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters that are left untranslated by the name of their file."""
-    low = F.lower("href")
-    skip = F.lit(False)
-    for p in ("cover", "titlepage", "copyright", "dedication", "colophon", "ch0[12]"):
-        skip = skip | low.rlike(p)
-    return table(spark, folder, "chapters").select("book_id", "idx", skip.alias("skipped")).distinct()
+    skipped = ~toc.is_running_text(F.col("href"), (*toc.SKIPPED, "ch0[12]"))
+    return chapters(spark, folder).select("book_id", "idx", skipped.alias("skipped"))
+
+
+@query
+def translatable_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    return toc.translatable(chapters(spark, folder), (*toc.SKIPPED, "ch0[12]"))
 
 
 @query
@@ -206,30 +343,19 @@ def manifest_ids(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- calls and cache
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return TR.keyed(TR.chunks(docs(spark, folder), ["doc_id"], "text", BUDGET), "fake")
-
-
-def _cache(chunked: DataFrame) -> DataFrame:
-    """A cache that holds the chunks of every third document."""
-    known = chunked.where("doc_id % 3 = 0").select("cache_key", F.concat(F.lit("[ZH] "), "chunk").alias("translation"))
-    return known.dropDuplicates(["cache_key"])
-
-
 @query
 def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Cue texts looked up among those of every third cue."""
-    cues = table(spark, folder, "srt_entries").where("text is not null").dropDuplicates(["book_id", "idx"]).select("book_id", "idx", F.col("text").alias("chunk"))
-    cues = TR.keyed(cues, "fake")
-    cache = cues.where("idx % 3 = 0").select("cache_key", F.concat(F.lit("[ZH] "), "chunk").alias("translation"))
-    return TR.lookup(cues, cache).select("book_id", "idx", "hit", "translation")
+    texts = TR.keyed(cues(spark, folder).select("book_id", "idx", F.col("text").alias("chunk")), "fake")
+    cache = texts.where("idx % 3 = 0").select("cache_key", F.concat(F.lit("[ZH] "), "chunk").alias("translation"))
+    return TR.lookup(texts, cache).select("book_id", "idx", "hit", "translation")
 
 
 @query
 def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
-    cues = TR.keyed(table(spark, folder, "srt_entries").where("text is not null").select("idx", F.col("text").alias("chunk")), "fake")
-    cache = cues.where("idx % 3 = 0").select("cache_key", F.col("chunk").alias("translation"))
-    return TR.misses(cues, cache)
+    texts = TR.keyed(table(spark, folder, "srt_entries").where("text is not null").select("idx", F.col("text").alias("chunk")), "fake")
+    cache = texts.where("idx % 3 = 0").select("cache_key", F.col("chunk").alias("translation"))
+    return TR.misses(texts, cache)
 
 
 @query
@@ -237,26 +363,56 @@ def cache_hit_rate(spark: SparkSession, folder: str) -> DataFrame:
     return cache_lookup(spark, folder).groupBy("book_id").agg(F.count("*").alias("cues"), F.sum(F.col("hit").cast("long")).alias("hits"))
 
 
-def _answered(spark: SparkSession, folder: str) -> DataFrame:
-    chunked = _chunks(spark, folder)
-    cache = _cache(chunked)
-    # kept before anything reads them, so that no call is made twice
-    new = checkpointed(TR.call(TR.misses(chunked, cache), TR.Fake, concurrency=8))
-    full = TR.upsert(cache, new)
-    answered = TR.lookup(chunked, full).select("doc_id", "chunk_ix", "translation")
-    return TR.reassemble(answered, ["doc_id"])
+#: Calls of a stand-in need no pauses between tries.
+AT_ONCE = {"partitions": 8, "pauses": ()}
+
+
+def _known(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache that holds every third document as a whole."""
+    third = docs(spark, folder).where("doc_id % 3 = 0").select(F.col("text").alias("chunk"))
+    return TR.keyed(third, "fake").groupBy("cache_key").agg(F.min(F.concat(F.lit("[ZH] "), T.trim(F.col("chunk")))).alias("translation"))
+
+
+def _answered(spark: SparkSession, folder: str, refined: bool = False) -> DataFrame:
+    done, _ = TR.translate(docs(spark, folder), ["doc_id"], "text", _known(spark, folder), TR.Fake, "fake", BUDGET, BUDGET if refined else None, **AT_ONCE)
+    return done
 
 
 @query
 def translated(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents through chunks, cache, calls of the misses, and back."""
+    """Documents through cache, chunks, calls of the misses, and back; every third is known as a whole."""
     return _answered(spark, folder).select("doc_id", "translation")
 
 
+@query
+def translated_refined(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a second pass over the answers."""
+    return _answered(spark, folder, refined=True).select("doc_id", "translation")
+
+
 @query
 def translate_bilingual(spark: SparkSession, folder: str) -> DataFrame:
-    both = docs(spark, folder).select("doc_id", T.trim(F.col("text")).alias("text")).join(_answered(spark, folder), "doc_id")
-    return TR.side_by_side(both, ["doc_id"], "text", "translation", "bilingual")
+    both = _answered(spark, folder).where("translation != ''").select("doc_id", T.trim(F.col("original")).alias("original"), "translation")
+    return TR.side_by_side(both, ["doc_id"], "original", "translation", "bilingual")
+
+
+@query
+def new_cache_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run over the documents adds to the cache."""
+    _, new = TR.translate(docs(spark, folder), ["doc_id"], "text", _known(spark, folder), TR.Fake, "fake", BUDGET, **AT_ONCE)
+    return new
+
+
+@query
+def translated_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapter titles of each job with checkpoints, but those of chapters that failed."""
+    keys = ["job_id", "idx"]
+    j = jobs(spark, folder).join(stored(spark, folder).select("job_id").distinct(), "job_id", "left_semi").select("job_id", "book_id")
+    every = chapters(spark, folder).select("book_id", "idx", "href", "title").join(j, "book_id")
+    wanted = TR.titles(every, stored(spark, folder).where("status = 'failed'"), keys)
+    none = spark.createDataFrame([], "cache_key string, translation string")
+    done, _ = TR.translate(wanted, [*keys, "prompt_key"], "title", none, TR.Fake, "fake", 4000, **AT_ONCE)
+    return done.select(*keys, "prompt_key", "translation")
 
 
 def _sides(mode: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -317,6 +473,25 @@ def checkpoint_valid(spark: SparkSession, folder: str) -> DataFrame:
     return resume.valid(stored(spark, folder).select("job_id", "idx", "source_hash"), sources).select("job_id", "idx")
 
 
+@query
+def checkpoint_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Every checkpoint with whether its source is still the book's."""
+    sources = jobs(spark, folder).join(books(spark, folder).select("book_id", F.col("source_hash").alias("current_hash")), "book_id").select("job_id", "current_hash")
+    return resume.flagged(stored(spark, folder).select("job_id", "idx", "source_hash"), sources).select("job_id", "idx", "matches_current_source")
+
+
+@query
+def checkpoint_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Checkpoints saved as files twice, the second time without what failed, and read again: the second save counts."""
+    path = f"{shared_folder(spark)}/saves/{uuid.uuid4().hex}"
+    s = stored(spark, folder).where("job_id is not null")
+    stores.write_checkpoints(s, path, datetime(2025, 1, 1))
+    stores.write_checkpoints(s.where("status != 'failed'"), path, datetime(2025, 1, 2))
+    read = checkpointed(stores.read_checkpoints(spark, path).select("job_id", "idx", "status", F.md5("content").alias("digest")))
+    discard(spark, path)
+    return read
+
+
 @query
 def chapter_failures(spark: SparkSession, folder: str) -> DataFrame:
     return resume.failures(stored(spark, folder).select("job_id", "idx", "href", "status"))
@@ -342,6 +517,14 @@ def html_headings(spark: SparkSession, folder: str) -> DataFrame:
     return html_nodes(spark, folder).where("tag = 'h1'").groupBy("book_id", "idx").agg(F.count("*").alias("headings"))
 
 
+@query
+def html_node_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements of some kinds that each chapter has."""
+    n = html_nodes(spark, folder)
+    count = lambda t: F.sum(F.when(F.col("tag") == t, 1).otherwise(0)).cast("bigint").alias(t)
+    return n.groupBy("book_id", "idx").agg(*[count(t) for t in ("h1", "h2", "p", "li", "td", "em", "pre")])
+
+
 @query
 def html_chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the selected texts of each chapter."""
@@ -349,6 +532,45 @@ def html_chunk_totals(spark: SparkSession, folder: str) -> DataFrame:
     return html_texts(spark, folder).groupBy("book_id", "idx").agg(F.sum(n).alias("chunks"), F.count("*").alias("texts"))
 
 
+def _epub_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Books with chapters as EPUB files, each with a style sheet."""
+    extra = books(spark, folder).select("book_id", F.lit("css/style.css").alias("href"), F.lit("text/css").alias("mime"), F.encode(F.coalesce("title", F.lit("")), "UTF-8").alias("data"))
+    made = book.epubs(chapters(spark, folder), books(spark, folder), extra)
+    return made.select(F.concat("book_id", F.lit(".epub")).alias("path"), F.col("data").alias("content"))
+
+
+@query
+def epub_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters written as EPUB files and read again."""
+    c = book.read_chapters(_epub_files(spark, folder))
+    return c.select("book_id", F.col("idx").cast("bigint").alias("idx"), "href", "title", F.md5("content").alias("digest"), "book_title", "language", "error")
+
+
+@query
+def epub_resources(spark: SparkSession, folder: str) -> DataFrame:
+    """What else the files hold: all of the manifest but the spine."""
+    r = book.read_resources(_epub_files(spark, folder))
+    return r.select("book_id", "href", "mime", F.decode("data", "UTF-8").alias("text"))
+
+
+@query
+def subtitle_books(spark: SparkSession, folder: str) -> DataFrame:
+    """Cues written as subtitle files and read as books: how many cues each holds."""
+    f = srt.files(cues(spark, folder).where("start_time is not null and end_time is not null"))
+    made = book.read_chapters(f.select(F.concat("book_id", F.lit(".srt")).alias("path"), F.encode("text", "UTF-8").alias("content")))
+    n = F.size(F.split(F.decode("content", "UTF-8"), '<div class="srt-entry"')) - 1
+    return made.select("book_id", "href", n.cast("bigint").alias("cues"))
+
+
+@query
+def text_books(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as text files, read as books: each line a paragraph."""
+    d = docs(spark, folder).where("not contains(text, chr(13)) and not contains(text, chr(65279))")
+    made = book.read_chapters(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")))
+    n = F.size(F.split(F.decode("content", "UTF-8"), "<p>")) - 1
+    return made.select("book_id", "title", n.cast("bigint").alias("paragraphs"))
+
+
 # ---------------------------------------------------------------- scanned pages
 
 
@@ -444,15 +666,60 @@ def verify_best(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the tables that tables of blocks give in Markdown's one-line form."""
-    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.replace(c["text"], F.lit("|"), F.lit("/"))), " | "), F.lit(" |"))
-    t = ocr.table_runs(pages(spark, folder)).select("book_id", "page_number", "table_ix", ocr.markdown_rows(line).alias("rows"))
-    return t.select("book_id", "page_number", "table_ix", F.posexplode("rows").alias("row", "cells")).select("book_id", "page_number", "table_ix", "row", F.size("cells").cast("bigint").alias("cells"))
+    """Tables of blocks, given in Markdown's one-line form with a rule, as markup."""
+    cell = lambda c: F.replace(F.replace(c["text"], F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" "))
+    row = F.concat(F.lit("| "), F.array_join(F.transform("cells", cell), " | "), F.lit(" |"))
+    t = ocr.table_runs(pages(spark, folder)).select("book_id", "page_number", "table_ix", F.concat(row, F.lit(" |---| "), F.regexp_replace(row, r"^\| ", "|")).alias("text"))
+    return t.select("book_id", "page_number", "table_ix", bookmaking.markdown_html(F.col("text")).alias("html"))
 
 
 @query
 def block_html(spark: SparkSession, folder: str) -> DataFrame:
-    return pages(spark, folder).select("book_id", "page_number", "block_ix", ocr.to_html(F.col("text"), F.col("block_type")).alias("html"))
+    return pages(spark, folder).select("book_id", "page_number", "block_ix", bookmaking.block_html(F.col("text"), F.col("block_type")).alias("html"))
+
+
+@query
+def table_html(spark: SparkSession, folder: str) -> DataFrame:
+    return ocr.table_runs(pages(spark, folder)).select("book_id", "page_number", "table_ix", bookmaking.table_html(F.col("cells")).alias("html"))
+
+
+@query
+def image_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks large enough to be cut out, as figures of their files."""
+    named = bookmaking.figures(pages(spark, folder))
+    return named.select("book_id", "page_number", "block_ix", bookmaking.image_html(F.col("href"), F.lit(None).cast("string")).alias("html"))
+
+
+@query
+def figure_names(spark: SparkSession, folder: str) -> DataFrame:
+    return bookmaking.figures(pages(spark, folder)).select("book_id", "page_number", "block_ix", "href")
+
+
+@query
+def figure_resources(spark: SparkSession, folder: str) -> DataFrame:
+    """Resources of a book, cut figures among them: names and types."""
+    cut = bookmaking.figures(pages(spark, folder)).select("book_id", "href", F.lit("image/png").alias("mime"))
+    return cut.unionByName(books(spark, folder).select("book_id", F.lit("style.css").alias("href"), F.lit("text/css").alias("mime")))
+
+
+@query
+def page_chapters(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters made of recognised pages: their names, titles and how much markup they hold."""
+    made = bookmaking.chapters(pages(spark, folder))
+    count = lambda t: F.size(F.split("content", f"<{t}[> ]")) - 1
+    return made.select("book_id", "idx", "href", "title", *[count(t).cast("bigint").alias(t) for t in ("h1", "h2", "table", "td")])
+
+
+@query
+def json_types(spark: SparkSession, folder: str) -> DataFrame:
+    return pages(spark, folder).select("book_id", "page_number", "block_ix", B.json_type(F.col("text"), F.col("bbox").isNotNull()).alias("kind"))
+
+
+@query
+def crop_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes grown by half on pages of 1000 by 1400."""
+    p = pages(spark, folder).where("bbox is not null").withColumn("page_width", F.lit(1000)).withColumn("page_height", F.lit(1400))
+    return refine.crops(p, 1.5).select("book_id", "page_number", "block_ix", *[F.col(f"crop.{c}").cast("bigint").alias(c) for c in "xywh"])
 
 
 @query
@@ -485,6 +752,51 @@ def progress_fold(spark: SparkSession, folder: str) -> DataFrame:
     return progress.fold(_events(spark, folder))
 
 
+@query
+def last_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The last percent and message of each task, of events with both."""
+    e = table(spark, folder, "events")
+    return progress.last_state(e.select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 101).cast("int").alias("percent"), F.col("event_type").alias("message")))
+
+
+@query
+def payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written as the JSON of progress, some in a wrong shape, read again; those that can't be read have none."""
+    e = table(spark, folder, "events")
+    i = F.col("event_id")
+    href = F.concat(F.lit("ch"), (i % 9).cast("string"), F.lit(".xhtml"))
+    forms = [
+        F.lit('"Completed"'), F.to_json(F.struct(F.struct((i % 13).alias("total")).alias("Started"))),
+        F.to_json(F.struct(F.struct((i % 13).alias("index"), href.alias("href")).alias("ChapterStarted"))),
+        F.to_json(F.struct(F.struct((i % 13).alias("index"), href.alias("href"), (i % 4).alias("chunk_index"), F.lit(5).alias("chunk_total")).alias("ChunkFinished"))),
+        F.to_json(F.struct(F.struct((i % 13).alias("index"), href.alias("href"), F.col("event_type").alias("error")).alias("Failed"))),
+        F.to_json(F.struct(F.struct(href.alias("total")).alias("Started"))), F.lit('{"Other": {}}'), F.lit("{broken"),
+    ]
+    raw = F.element_at(F.array(*forms), (i % 8 + 1).cast("int"))
+    return e.select("event_id", progress.payload(raw).alias("p")).select("event_id", "p.*")
+
+
+@query
+def log_entries(spark: SparkSession, folder: str) -> DataFrame:
+    e = _events(spark, folder).withColumn("href", F.lit("c.xhtml")).withColumn("error", F.lit(None).cast("string"))
+    return progress.log_entries(e).select("task_id", "seq", "level", "message")
+
+
+@query
+def chunk_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of each paragraph's first sentence in its document."""
+    p = paragraphs_from_text(spark, folder).select("doc_id", "pos", F.size(T.sentences(F.col("paragraph"))).alias("chunks"))
+    return progress.chunk_numbers(p, ["doc_id"], "pos")
+
+
+@query
+def elapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds from a job's making to its first save."""
+    first = table(spark, folder, "checkpoints").groupBy("job_id").agg(F.min("saved_at").alias("saved"))
+    j = jobs(spark, folder).join(first, "job_id")
+    return j.select("job_id", T.elapsed(F.unix_timestamp("created_at"), F.unix_timestamp("saved")).cast("bigint").alias("seconds"))
+
+
 @query
 def stage_remap(spark: SparkSession, folder: str) -> DataFrame:
     p = progress_fold(spark, folder)
@@ -501,14 +813,14 @@ def log_search(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def srt_html(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "srt_entries").where("start_time is not null and end_time is not null and text is not null").dropDuplicates(["book_id", "idx"])
+    c = cues(spark, folder).where("start_time is not null and end_time is not null")
     return c.select("book_id", "idx", srt.cue_html(F.col("start_time"), F.col("end_time"), F.col("text")).alias("html"))
 
 
 @query
 def srt_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Cues written as files and parsed again; what isn't a whole cue is lost on the way."""
-    c = table(spark, folder, "srt_entries").where("start_time is not null and end_time is not null and text is not null").dropDuplicates(["book_id", "idx"])
+    c = cues(spark, folder).where("start_time is not null and end_time is not null")
     return srt.files(c).select("book_id", F.explode(srt.cues(F.col("text"))).alias("c")).select("book_id", "c.*")
 
 
@@ -524,8 +836,8 @@ def refined_matches(spark: SparkSession, folder: str) -> DataFrame:
     return refine.carry_over(refined, p)
 
 
-def _squeezer() -> Callable[[list[str], int], list[str]]:
-    return lambda texts, _: [" ".join(t.split()) for t in texts]
+def _squeezer() -> Callable[[list[tuple[str, str]], int], list[tuple[str, str]]]:
+    return lambda blocks, _: [(re.sub("[ \t\r\n]+", " ", t).strip(" "), k) for t, k in blocks]
 
 
 @query
@@ -560,7 +872,9 @@ def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+    read = checkpointed(stream.sparkSession.read.parquet(f"{folder}/out").drop("batch"))
+    discard(stream.sparkSession, folder)
+    return read
 
 
 @query

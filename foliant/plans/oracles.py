@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from foliant.functions.blocks import CJK, LEAKED
-from foliant.functions.text import ODD, SENTENCE_ENDS, SIGNS, SPACE
+#: Fixed values, written here anew so that a wrong one in the engine shows: white space, ends of sentences, odd characters,
+#: signs, ideographs and their like, and phrases of leaked instructions.
+SPACE = "\\x{9}-\\x{d} \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+SENTENCE_ENDS = ".!?。！？\\n"
+ODD = "\ufffd〓▯□■●▪▫\\x{0}-\\x{8}\\x{e}-\\x{1f}\\x{7f}-\\x{84}\\x{86}-\\x{9f}"
+SIGNS = "!-/:-@\\x{5b}-`\\x{7b}-~。，、；：？！“”‘’（）《》—…"
+CJK = "\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}\\x{ff00}-\\x{ffef}\\x{3000}-\\x{303f}"
+LEAKED = (
+    "epub output should", "preserve heading hierarchy", "generate a table of contents", "ocr confidence is low", "verification backend",
+    "review low-confidence", "extract all text from the image", "return only a valid json", "top-level 'blocks' array", "each block must have",
+    "you are a strict ocr engine", "you are an ocr engine", "your job is to extract", "output format:", "rules:", "example of valid output",
+    "sample document", "testing pdf ocr", "rendered as page images", "vision - language model", "vision-language model", "layout analysis",
+    "reading order", "chapter segmentation", "test document", "## chapter", "chapter 2: structure", "sample heading",
+)
 
 TRIM = "regexp_replace(@, '^[" + SPACE + "]+|[" + SPACE + "]+$', '', 'g')"
 
@@ -23,12 +35,12 @@ def ltrim(x: str) -> str:
 DOCS = "(SELECT * FROM documents WHERE text IS NOT NULL)"
 SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([{SENTENCE_ENDS}])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {trim('s')}), lambda s: s <> '')"
 ONE = {
-    "chapters": "(SELECT DISTINCT ON (book_id, idx) * FROM chapters)",
-    "stored": "(SELECT DISTINCT ON (job_id, idx) * FROM checkpoints)",
-    "pages": "(SELECT DISTINCT ON (book_id, page_number, block_ix) * FROM verified_texts WHERE text IS NOT NULL)",
+    "chapters": "(SELECT DISTINCT ON (book_id, idx) * FROM chapters ORDER BY book_id, idx, loaded_at DESC)",
+    "stored": "(SELECT DISTINCT ON (job_id, idx) * FROM checkpoints ORDER BY job_id, idx, saved_at DESC)",
+    "pages": "(SELECT DISTINCT ON (book_id, page_number, block_ix) * FROM verified_texts WHERE text IS NOT NULL ORDER BY book_id, page_number, block_ix, loaded_at DESC)",
     "jobs": "(SELECT DISTINCT ON (job_id) * FROM job_options ORDER BY job_id, created_at DESC)",
     "books": "(SELECT DISTINCT ON (book_id) * FROM books ORDER BY book_id, loaded_at DESC)",
-    "cues": "(SELECT DISTINCT ON (book_id, idx) * FROM srt_entries WHERE text IS NOT NULL)",
+    "cues": "(SELECT DISTINCT ON (book_id, idx) * FROM srt_entries WHERE text IS NOT NULL ORDER BY book_id, idx, loaded_at DESC)",
 }
 ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 MODES = {
@@ -99,6 +111,100 @@ SELECT task_id, CAST(t AS BIGINT) AS total, CAST(done AS BIGINT) AS completed,
   CAST(CASE WHEN t IS NULL THEN 0 ELSE floor(least((done + CASE WHEN last = 'ChunkFinished' THEN (chunk + 1) / 5.0 ELSE 0 END) * 100.0 / t, 100.0)) END AS INTEGER) AS progress FROM a
 """
 
+
+FOLDED = """
+WITH RECURSIVE b AS (SELECT book_id, idx, base, row_number() OVER (PARTITION BY book_id ORDER BY idx, base) AS i FROM ({rows})),
+f(book_id, i, idx, id, used) AS (
+  SELECT book_id, CAST(0 AS BIGINT), CAST(NULL AS {kind}), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM b GROUP BY book_id
+  UNION ALL
+  SELECT book_id, i, idx, id, list_append(used, id) FROM (
+    SELECT f.book_id, b.i, b.idx, f.used,
+      CASE WHEN NOT list_contains(f.used, b.base) THEN b.base
+           ELSE list_filter(list_transform(range(2, len(f.used) + 3), lambda n: b.base || '{by}' || n), lambda x: NOT list_contains(f.used, x))[1] END AS id
+    FROM f JOIN b ON b.book_id = f.book_id AND b.i = f.i + 1))
+SELECT book_id, idx, id FROM f WHERE i > 0
+"""
+TITLE_IDS = f"SELECT book_id, idx, CASE WHEN r = '' OR regexp_matches(r, '^[0-9]') THEN 'i' || r ELSE r END AS base FROM (SELECT book_id, idx, regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\-._]', '_', 'g') AS r FROM {ONE['chapters']} WHERE title IS NOT NULL)"
+MANIFEST = FOLDED.replace("{rows}", TITLE_IDS).replace("{kind}", "INTEGER").replace("{by}", "_")
+NAMES = FOLDED.replace("{rows}", f"SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY job_id) AS INTEGER) AS idx, provider AS base FROM {ONE['jobs']}").replace("{kind}", "INTEGER").replace("{by}", " ")
+N = "(length(job_id) + ascii(job_id))"
+
+
+def pick(*values: str) -> str:
+    """One of some SQL values by the job's id."""
+    return f"[{', '.join(values)}][{N} % {len(values)} + 1]"
+
+
+SETTINGS = f"""(SELECT job_id, source_lang, target_lang, provider, max_input_tokens, max_output_tokens, temperature, {pick("'m'", "''", "'m2'")} AS model,
+  {pick("'https://a.example/v1'", "'ftp://a.example'", "'no url'", "NULL", "'http://b'")} AS base_url, {pick("'k'", "''", "NULL")} AS api_key,
+  {pick("'pre,code'", "'p q'", "'a,,b'", "'.x'")} AS selectors, {pick("'alt,title'", "'data_x'")} AS attributes, {pick("'p,h1'", "'P'", "'td'")} AS tags,
+  {pick("'Serif'", "'a;b'", "NULL")} AS font, {N} % 2 = 0 AS dry_run FROM {ONE['jobs']})"""
+KNOWN_LANG = "('auto', 'de', 'en', 'es', 'fr', 'it', 'ja', 'ru', 'zh-CN')"
+URL_BAD = "CASE WHEN base_url IN ('https://a.example/v1', 'http://b') THEN NULL WHEN base_url = 'ftp://a.example' THEN 'scheme' WHEN base_url IS NOT NULL THEN 'no url' END"
+PROBLEMS = f"""
+SELECT job_id, field, problem FROM (
+  SELECT job_id, 'provider' AS field, CASE WHEN lower(provider) IN ('fake', 'local', 'remote_a', 'openai-compatible') THEN NULL ELSE 'unknown' END AS problem FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'model', CASE WHEN trim(model) = '' THEN 'empty' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'base_url', {URL_BAD} FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'api_key', CASE WHEN NOT dry_run AND coalesce(api_key, '') = '' THEN 'required' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'max_input_tokens', CASE WHEN max_input_tokens <= 0 THEN 'not positive' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'max_output_tokens', CASE WHEN max_output_tokens <= 0 THEN 'not positive' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'temperature', CASE WHEN temperature < 0 OR temperature > 2 THEN 'out of range' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'source_lang', CASE WHEN trim(coalesce(source_lang, '')) = '' THEN 'empty' WHEN source_lang NOT IN {KNOWN_LANG} THEN 'unsupported' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'target_lang', CASE WHEN trim(coalesce(target_lang, '')) = '' THEN 'empty' WHEN target_lang NOT IN {KNOWN_LANG} THEN 'unsupported' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'exclude_selectors', CASE selectors WHEN 'a,,b' THEN 'empty entry' WHEN 'p q' THEN 'invalid entry' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'translate_attributes', CASE WHEN attributes = 'data_x' THEN 'invalid entry' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'translate_tags', CASE WHEN tags = 'P' THEN 'invalid entry' END FROM {SETTINGS}
+  UNION ALL SELECT job_id, 'output_font', CASE WHEN contains(font, ';') THEN 'invalid' END FROM {SETTINGS}) WHERE problem IS NOT NULL
+"""
+RESOLUTION = f"""
+SELECT job_id, coalesce(CASE WHEN dry_run THEN base_url END, CASE WHEN starts_with(base_url, 'http') THEN base_url END, 'https://usual.example') AS base_url, key AS api_key,
+  CASE WHEN coalesce(m, '') IN ('', 'unknown') THEN 'all' ELSE m END AS model, CAST(CASE WHEN t = 0 THEN 900 ELSE t END AS BIGINT) AS max_tokens,
+  CASE WHEN key IS NULL THEN 'no key: ' || upper(provider) || '_API_KEY' END AS error
+FROM (SELECT *, CASE WHEN font IS NULL THEN 'usual' WHEN model = 'm' THEN 'unknown' ELSE model END AS m, CASE WHEN font IS NULL THEN 2000 WHEN model = 'm2' THEN 0 ELSE 700 END AS t,
+  CASE WHEN dry_run THEN '' ELSE coalesce(nullif(coalesce(CASE WHEN model = '' THEN '' END, api_key), ''), CASE WHEN provider = 'remote_a' THEN 'ra' END) END AS key FROM {SETTINGS})
+"""
+GLOSSARY = "(SELECT job_id, chr(10) || 'Use the following glossary:' || chr(10) || string_agg('- ' || term || ' => ' || translation, chr(10) ORDER BY entry_id) || chr(10) AS lines FROM glossary WHERE translation IS NOT NULL GROUP BY job_id)"
+SOURCE_NAME = "CASE WHEN coalesce(source_lang, 'auto') = 'auto' THEN 'the original language' ELSE source_lang END"
+EVENT_FORM = "event_id % 8"
+PAYLOADS = f"""
+SELECT event_id, CASE {EVENT_FORM} WHEN 0 THEN 'Completed' WHEN 1 THEN 'Started' WHEN 2 THEN 'ChapterStarted' WHEN 3 THEN 'ChunkFinished' WHEN 4 THEN 'Failed' END AS event,
+  CASE WHEN {EVENT_FORM} = 1 THEN event_id % 13 END AS total, CASE WHEN {EVENT_FORM} IN (2, 3, 4) THEN event_id % 13 END AS index,
+  CASE WHEN {EVENT_FORM} IN (2, 3, 4) THEN 'ch' || event_id % 9 || '.xhtml' END AS href, CASE WHEN {EVENT_FORM} = 3 THEN event_id % 4 END AS chunk_index,
+  CASE WHEN {EVENT_FORM} = 3 THEN CAST(5 AS BIGINT) END AS chunk_total, CASE WHEN {EVENT_FORM} = 4 THEN event_type END AS error FROM events
+"""
+LOG = f"""
+SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, CASE WHEN k = 'Started' THEN 'info' ELSE 'chapter' END AS level,
+  CASE WHEN k = 'Started' THEN 'Started ' || (event_id % 13 + 3) WHEN starts_with(k, 'Chunk') THEN k || ' ' || (event_id % 4 + 1) || '/5 c.xhtml' ELSE k || ' c.xhtml' END AS message
+FROM (SELECT *, {KINDS} AS k FROM events)
+"""
+#: Chunks of documents: sentences packed up to 64 tokens, a chunk's number by the fold of PACK, windows of longer sentences.
+WALK = f"""
+WITH RECURSIVE s AS (SELECT doc_id, pos + 1 AS i, sentence, {TOKENS.format('sentence')} AS n FROM ({SPLIT})),
+walk(doc_id, i, used, chunk, open) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false FROM (SELECT DISTINCT doc_id FROM s)
+  UNION ALL
+  SELECT w.doc_id, s.i, CASE WHEN s.n > 64 THEN 0 WHEN w.open AND w.used + s.n <= 64 THEN w.used + s.n ELSE s.n END,
+    CASE WHEN w.open AND s.n <= 64 AND w.used + s.n <= 64 THEN w.chunk WHEN s.n > 64 THEN w.chunk + CAST(ceil(length(s.sentence) / 256.0) AS BIGINT) ELSE w.chunk + 1 END, s.n <= 64
+  FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+told AS (SELECT walk.doc_id, walk.i, walk.chunk, s.sentence, s.n FROM walk JOIN s USING (doc_id, i)),
+chunked AS (
+  SELECT doc_id, chunk, string_agg(sentence, ' ' ORDER BY i) AS text FROM told WHERE n <= 64 GROUP BY doc_id, chunk
+  UNION ALL
+  SELECT doc_id, chunk - k + k2 + 1 - 1, substring(sentence, 256 * k2 + 1, 256) FROM (SELECT *, CAST(ceil(length(sentence) / 256.0) AS BIGINT) - 1 AS k, unnest(range(CAST(ceil(length(sentence) / 256.0) AS BIGINT))) AS k2 FROM told WHERE n > 64))
+"""
+CHUNKED = WALK + "SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_ix, text AS chunk FROM chunked"
+#: Answers of the stand-in: of every third text as a whole, of the others chunk by chunk.
+ANSWERED = f"""{WALK}, known AS (SELECT DISTINCT text FROM {DOCS} WHERE doc_id % 3 = 0),
+parts AS (SELECT doc_id, {trim("replace(string_agg('[ZH] ' || text, ' ' ORDER BY chunk), chr(10), ' ')")} AS answer FROM chunked GROUP BY doc_id),
+done AS (SELECT d.doc_id, d.text, CASE WHEN d.text IN (SELECT text FROM known) THEN '[ZH] ' || {trim('d.text')} ELSE coalesce(p.answer, '') END AS translation FROM {DOCS} d LEFT JOIN parts p USING (doc_id))
+"""
+LF_ONLY = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+PAGE_ROWS = f"(SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') AS safe FROM {ONE['pages']})"
+PARAS = "list_filter(list_transform(string_split({t}, chr(10) || chr(10)), lambda p: " + squeeze("p") + "), lambda p: p <> '')"
+FIGURES = f"""(WITH p AS (SELECT *, dense_rank() OVER (PARTITION BY book_id ORDER BY page_number) - 1 AS page FROM {ONE['pages']})
+SELECT book_id, page_number, block_ix, printf('figure-%03d-%03d.png', page, row_number() OVER (PARTITION BY book_id ORDER BY page_number, block_ix)) AS href FROM p WHERE block_type = 'other' AND bbox.w >= 20 AND bbox.h >= 20)"""
+
 SQL: dict[str, str] = {
     "sentence_split": SPLIT,
     "chunk_counts": PACK,
@@ -120,7 +226,7 @@ SQL: dict[str, str] = {
     "skip_docs": f"SELECT book_id, idx, regexp_matches(lower(href), 'cover|titlepage|copyright|dedication|colophon|ch0[12]') AS skipped FROM {ONE['chapters']}",
     "toc_labels": f"SELECT book_id, path, label FROM (SELECT book_id, printf('part%03d.xhtml', idx // 3) AS path, title AS label, row_number() OVER (PARTITION BY book_id, idx // 3 ORDER BY idx % 2, CASE WHEN idx % 2 = 0 THEN -idx ELSE idx END) AS n FROM {ONE['chapters']} WHERE title IS NOT NULL) WHERE n = 1",
     "clean_hrefs": f"SELECT book_id, idx, href, CASE WHEN href = '' OR regexp_matches(href, '^[0-9]') THEN 'i' || id ELSE id END AS id FROM (SELECT *, regexp_replace(href, '[^\\p{{L}}\\p{{N}}\\-._]', '_', 'g') AS id FROM (SELECT book_id, idx, CASE WHEN h = '' THEN 'index.xhtml' ELSE h END AS href FROM (SELECT book_id, idx, regexp_replace(regexp_replace(href, '^/+', ''), '^(?:OEBPS|EPUB)/', '') AS h FROM {ONE['chapters']})))",
-    "manifest_ids": f"SELECT book_id, idx, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS id FROM (SELECT *, row_number() OVER (PARTITION BY book_id, base ORDER BY idx) AS n FROM (SELECT book_id, idx, CASE WHEN r = '' OR regexp_matches(r, '^[0-9]') THEN 'i' || r ELSE r END AS base FROM (SELECT book_id, idx, regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\-._]', '_', 'g') AS r FROM {ONE['chapters']} WHERE title IS NOT NULL)))",
+    "manifest_ids": MANIFEST,
     "cache_lookup": f"SELECT c.book_id, c.idx, k.k IS NOT NULL AS hit, CASE WHEN k.k IS NOT NULL THEN '[ZH] ' || c.text END AS translation FROM {ONE['cues']} c LEFT JOIN (SELECT DISTINCT sha256('fake:' || text) AS k FROM {ONE['cues']} WHERE idx % 3 = 0) k ON k.k = sha256('fake:' || c.text)",
     "cache_misses": "SELECT DISTINCT sha256('fake:' || text) AS cache_key, text AS chunk FROM srt_entries WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM srt_entries WHERE text IS NOT NULL AND idx % 3 = 0)",
     "cache_hit_rate": f"SELECT book_id, count(*) AS cues, CAST(count(*) FILTER (WHERE text IN (SELECT text FROM srt_entries WHERE text IS NOT NULL AND idx % 3 = 0)) AS BIGINT) AS hits FROM {ONE['cues']} GROUP BY book_id",
@@ -143,16 +249,55 @@ SQL: dict[str, str] = {
     "table_runs": CELLS,
     "box_unions": f"SELECT p.book_id, p.page_number, b.x, b.y, b.r - b.x AS w, b.b - b.y AS h FROM (SELECT DISTINCT book_id, page_number FROM {ONE['pages']}) p LEFT JOIN (SELECT book_id, page_number, CAST(min(bbox.x) AS BIGINT) AS x, CAST(min(bbox.y) AS BIGINT) AS y, max(CAST(bbox.x AS BIGINT) + bbox.w) AS r, max(CAST(bbox.y AS BIGINT) + bbox.h) AS b FROM {ONE['pages']} WHERE bbox IS NOT NULL GROUP BY book_id, page_number) b USING (book_id, page_number)",
     "verify_candidates": f"SELECT {PAGE_KEYS}, round(a, 6) AS anomaly FROM (SELECT *, {ANOMALY} AS a FROM {with_runs(ONE['pages'], PAGE_KEYS)}) WHERE CAST(confidence AS DOUBLE) < 0.7 OR a > 0.3",
-    "markdown_tables": f"SELECT book_id, page_number, table_ix, 0 AS row, cells FROM ({CELLS})",
     "box_parse": f"SELECT {PAGE_KEYS}, CAST(bbox.x AS BIGINT) AS x, CAST(bbox.y AS BIGINT) AS y, CAST(bbox.w AS BIGINT) AS w, CAST(bbox.h AS BIGINT) AS h FROM {ONE['pages']} WHERE bbox IS NOT NULL",
     "cleaned_blocks": f"WITH h AS (SELECT h.book_id, h.header FROM (SELECT book_id, header, count(*) AS n FROM (SELECT DISTINCT book_id, page_number, regexp_replace(text, '[{SPACE}]', '', 'g') AS header FROM {ONE['pages']} WHERE {trim('text')} <> '' AND strlen({trim('text')}) <= 80) GROUP BY book_id, header) h JOIN (SELECT book_id, count(DISTINCT page_number) AS pages FROM {ONE['pages']} GROUP BY book_id) p USING (book_id) WHERE pages >= 3 AND n >= greatest(2, pages // 5)) SELECT {PAGE_KEYS}, text FROM (SELECT *, regexp_replace(text, '[{SPACE}]', '', 'g') AS k FROM {ONE['pages']}) p WHERE NOT {IS_LEAKED} AND NOT {IS_PAGE} AND NOT EXISTS (SELECT 1 FROM h WHERE h.book_id = p.book_id AND starts_with(p.k, h.header) AND strlen(p.k) <= strlen(h.header) + 10)",
-    "grid_columns": f"WITH c AS (SELECT *, row_number() OVER w - 1 AS cell_no, min(block_ix) OVER (PARTITION BY book_id, page_number, island) AS table_ix, count(*) OVER (PARTITION BY book_id, page_number, island) AS n FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag WINDOW w AS (PARTITION BY book_id, page_number, island ORDER BY block_ix)), t AS (SELECT c.*, k.k FROM c, (SELECT unnest(range(2, 200)) AS k) k WHERE n >= 6 AND k <= n // 2 AND n % k = 0), m AS (SELECT *, coalesce(bbox.x, 0) AS x, floor(avg(coalesce(bbox.x, 0)) OVER (PARTITION BY book_id, page_number, table_ix, k, cell_no % k)) AS mean FROM t) SELECT book_id, page_number, table_ix, CAST(min(k) AS INTEGER) AS columns FROM (SELECT book_id, page_number, table_ix, k, bool_or(abs(x - mean) > floor(mean / 6) + 50) AS bad FROM m GROUP BY book_id, page_number, table_ix, k) WHERE NOT bad GROUP BY book_id, page_number, table_ix",
+    "grid_columns": f"WITH c AS (SELECT *, row_number() OVER w - 1 AS cell_no, min(block_ix) OVER (PARTITION BY book_id, page_number, island) AS table_ix, count(*) OVER (PARTITION BY book_id, page_number, island) AS n, max(coalesce(bbox.y, 0)) OVER (PARTITION BY book_id, page_number, island) - min(coalesce(bbox.y, 0)) OVER (PARTITION BY book_id, page_number, island) AS spread, min(bbox.h // 2) OVER (PARTITION BY book_id, page_number, island) AS half FROM (SELECT *, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag WINDOW w AS (PARTITION BY book_id, page_number, island ORDER BY block_ix)), t AS (SELECT c.*, k.k FROM c, (SELECT unnest(range(2, 200)) AS k) k WHERE n >= 6 AND k <= n // 2 AND n % k = 0 AND spread <= greatest(coalesce(half, 10), 5)), m AS (SELECT *, coalesce(bbox.x, 0) AS x, floor(avg(coalesce(bbox.x, 0)) OVER (PARTITION BY book_id, page_number, table_ix, k, cell_no % k)) AS mean FROM t) SELECT book_id, page_number, table_ix, CAST(min(k) AS INTEGER) AS columns FROM (SELECT book_id, page_number, table_ix, k, bool_or(abs(x - mean) > floor(mean / 6) + 50) AS bad FROM m GROUP BY book_id, page_number, table_ix, k) WHERE NOT bad GROUP BY book_id, page_number, table_ix",
     "plain_answers": f"SELECT doc_id, pos, CASE WHEN {caption('t')} THEN 'caption' WHEN regexp_matches(t, '^##+ ') OR regexp_matches(t, '^[0-9]+\\.[0-9]') THEN 'subheading' WHEN {heading('t')} THEN 'heading' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, pos, {trim('line')} AS t FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') END AS l FROM {DOCS})))",
     "progress_fold": FOLD,
     "stream_progress": FOLD,
     "stream_dedup": "SELECT DISTINCT user_id || '/' || event_type AS cache_key FROM events",
     "stage_remap": f"SELECT task_id, CAST(round(progress * 0.5) AS INTEGER) AS first_stage, CAST(round(progress * 0.5 + 50) AS INTEGER) AS second_stage FROM ({FOLD})",
     "log_search": "SELECT event_id, line FROM (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || props AS line FROM events) WHERE event_type = 'click' AND contains(lower(line), '1')",
+    "html_node_counts": "SELECT book_id, idx, " + ", ".join(f"CAST(len(regexp_extract_all(decode(content), '<{t}[ />]')) AS BIGINT) AS {t}" for t in ("h1", "h2", "p", "li", "td", "em", "pre")) + f" FROM {ONE['chapters']}",
+    "markdown_tables": f"SELECT book_id, page_number, min(block_ix) AS table_ix, '<table>' || chr(10) || '  <thead>' || chr(10) || '    <tr>' || string_agg('<th>' || c || '</th>', '' ORDER BY block_ix) || '</tr>' || chr(10) || '  </thead>' || chr(10) || '  <tbody>' || chr(10) || '    <tr>' || string_agg('<td>' || c || '</td>', '' ORDER BY block_ix) || '</tr>' || chr(10) || '  </tbody>' || chr(10) || '</table>' AS html FROM (SELECT *, {ESCAPE.format(trim("replace(replace(text, '|', '/'), chr(10), ' ')"))} AS c, {ISLAND} AS island FROM (SELECT *, block_type = 'table_cell' AS flag FROM {ONE['pages']})) WHERE flag GROUP BY book_id, page_number, island",
+    "srt_roundtrip": f"SELECT book_id, idx, start_time AS start, end_time AS \"end\", t AS text FROM (SELECT *, {trim("string_split(" + LF_ONLY + ", chr(10) || chr(10))[1]")} AS t FROM {ONE['cues']}) WHERE start_time IS NOT NULL AND end_time IS NOT NULL AND t <> ''",
+    "subtitle_books": f"SELECT book_id, 'chapter.xhtml' AS href, count(*) FILTER (WHERE t <> '') AS cues FROM (SELECT *, {trim("string_split(" + LF_ONLY + ", chr(10) || chr(10))[1]")} AS t FROM {ONE['cues']}) WHERE start_time IS NOT NULL AND end_time IS NOT NULL GROUP BY book_id",
+    "chunk_pack": CHUNKED,
+    "translated": ANSWERED + "SELECT doc_id, translation FROM done",
+    "translate_bilingual": ANSWERED + f"SELECT doc_id, part, side, CASE WHEN side = 'translation' THEN translation ELSE {trim('text')} END AS text FROM done, ({MODES['bilingual']}) WHERE translation <> ''",
+    "new_cache_rows": ANSWERED + f"SELECT DISTINCT sha256('fake:' || c.text) AS cache_key, '[ZH] ' || c.text AS translation FROM chunked c JOIN {DOCS} d USING (doc_id) WHERE d.text NOT IN (SELECT text FROM known) AND c.text NOT IN (SELECT text FROM known)",
+    "translated_titles": f"SELECT j.job_id, c.idx, 'toc:' || c.href AS prompt_key, {trim(chr(39) + '[ZH] ' + chr(39) + ' || array_to_string(' + SENTENCES.replace('text', 'c.title').replace('regexp_replace(c.title', 'regexp_replace(c.title') + ', ' + chr(39) + ' ' + chr(39) + ')')} AS translation FROM {ONE['chapters']} c JOIN {ONE['jobs']} j USING (book_id) WHERE c.title IS NOT NULL AND {trim('c.title')} <> '' AND j.job_id IN (SELECT job_id FROM checkpoints) AND NOT EXISTS (SELECT 1 FROM {ONE['stored']} k WHERE k.job_id = j.job_id AND k.idx = c.idx AND k.status = 'failed')",
+    "translatable_chapters": f"SELECT book_id, idx FROM {ONE['chapters']} WHERE href IS NULL OR NOT regexp_matches(lower(href), 'cover|titlepage|copyright|dedication|colophon|ch0[12]')",
+    "setting_problems": PROBLEMS,
+    "connection_problems": f"SELECT job_id, CASE WHEN lower(provider) NOT IN ('fake', 'local', 'remote_a') THEN 'provider' WHEN coalesce(api_key, '') = '' THEN 'api_key' WHEN coalesce(base_url, '') <> '' AND {URL_BAD} IS NOT NULL THEN 'base_url' END AS problem FROM {SETTINGS}",
+    "read_settings": f"SELECT job_id, CASE WHEN ok THEN provider END AS provider, CASE WHEN ok THEN CAST(coalesce(max_input_tokens, 4000) AS BIGINT) END AS max_input_tokens, CASE WHEN ok THEN CAST(3 AS BIGINT) END AS concurrency, CASE WHEN ok THEN false END AS refine FROM (SELECT *, coalesce(length(provider) % 7 <> 0, true) AS ok FROM (SELECT * REPLACE (coalesce(provider, 'fake') AS provider) FROM {ONE['jobs']}))",
+    "provider_resolution": RESOLUTION,
+    "merged_settings": f"SELECT job_id, CAST(CASE WHEN dry_run THEN 500 ELSE coalesce(max_input_tokens, 4000) END AS BIGINT) AS max_input_tokens FROM {SETTINGS}",
+    "service_names": f"SELECT job_id, replace(upper(provider), '-', '_') || '_API_KEY' AS key_name, CASE k WHEN 0 THEN starts_with(m, 'gpt-4o') OR contains(m, 'vision') WHEN 1 THEN starts_with(m, 'claude-3') WHEN 2 THEN contains(m, 'llava') OR contains(m, 'vision') WHEN 3 THEN false ELSE true END AS reads_images FROM (SELECT job_id, provider, ascii(substring(job_id, 2, 1)) % 5 AS k, ['gpt-4o-mini', 'claude-3-x', 'llava:7b', 'deepseek-chat', 'gpt-3.5-vision'][ascii(job_id) % 5 + 1] AS m FROM {ONE['jobs']})",
+    "interface_locales": f"SELECT book_id, coalesce(list_filter(['en', 'es', 'ja', 'ko', 'ru', 'zh-CN'], lambda x: lower(x) = l)[1], list_filter(['en', 'es', 'ja', 'ko', 'ru', 'zh-CN'], lambda x: starts_with(lower(x), string_split(l, '-')[1]))[1], 'en') AS locale FROM (SELECT book_id, lower(replace(language, '_', '-')) AS l FROM {ONE['books']})",
+    "model_lists": "SELECT job_id, coalesce(string_agg(term, '|' ORDER BY entry_id) FILTER (WHERE entry_id % 5 <> 0), '') AS ids, CAST(0 AS BIGINT) AS others FROM (SELECT DISTINCT job_id, entry_id, term FROM glossary WHERE job_id IS NOT NULL AND term IS NOT NULL) GROUP BY job_id",
+    "unique_names": f"SELECT book_id, idx, id AS name FROM ({NAMES})",
+    "selector_lists": f"SELECT job_id, replace(selectors, ',', '|') || CASE WHEN dry_run THEN '' ELSE '|pre|code' END AS left_out, CASE WHEN selectors = 'pre,code' THEN selectors ELSE selectors || ', code' END AS added FROM {SETTINGS}",
+    "system_prompts": f"SELECT j.job_id, CASE WHEN output_mode = 'interleaved' THEN 'Own {{target_lang}}.' ELSE CASE WHEN provider = 'fake' THEN 'Prose from ' ELSE 'From ' END || {SOURCE_NAME} || ' to ' || target_lang || '.' || coalesce(lines, '') END AS prompt, 'Improve ' || target_lang || '.' || coalesce(lines, '') AS refine FROM {ONE['jobs']} j LEFT JOIN {GLOSSARY} g USING (job_id)",
+    "chapter_prompts": f"SELECT book_id, idx, CASE href WHEN 'ch001.xhtml' THEN 'first' WHEN 'OEBPS/ch002.xhtml' THEN 'second' ELSE 'general' END AS prompt FROM {ONE['chapters']}",
+    "checkpoint_match": f"SELECT k.job_id, k.idx, coalesce(k.source_hash = b.source_hash, false) AS matches_current_source FROM {ONE['stored']} k LEFT JOIN ({ONE['jobs']} j JOIN {ONE['books']} b USING (book_id)) USING (job_id)",
+    "checkpoint_files": f"SELECT job_id, idx, status, CASE WHEN content IS NOT NULL THEN md5(content) END AS digest FROM {ONE['stored']} WHERE job_id IN (SELECT job_id FROM {ONE['stored']} WHERE status <> 'failed') AND status <> 'failed' UNION ALL SELECT job_id, idx, status, CASE WHEN content IS NOT NULL THEN md5(content) END FROM {ONE['stored']} WHERE job_id NOT IN (SELECT job_id FROM {ONE['stored']} WHERE status <> 'failed')",
+    "epub_chapters": f"SELECT c.book_id, row_number() OVER (PARTITION BY c.book_id ORDER BY c.idx) - 1 AS idx, 'OEBPS/' || h AS href, coalesce(nullif({trim('c.title')}, ''), 'Untitled') AS title, md5(c.content) AS digest, coalesce(nullif({trim('b.title')}, ''), 'Untitled') AS book_title, coalesce(nullif({trim('b.language')}, ''), 'en') AS language, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, CASE WHEN x = '' THEN 'index.xhtml' ELSE x END AS h FROM (SELECT *, regexp_replace(regexp_replace(href, '^/+', ''), '^(?:OEBPS|EPUB)/', '') AS x FROM {ONE['chapters']})) c LEFT JOIN {ONE['books']} b USING (book_id)",
+    "epub_resources": f"SELECT book_id, 'OEBPS/css/style.css' AS href, 'text/css' AS mime, coalesce(title, '') AS text FROM {ONE['books']} WHERE book_id IN (SELECT book_id FROM chapters)",
+    "text_books": f"SELECT 'd' || doc_id AS book_id, 'd' || doc_id AS title, CAST(len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS BIGINT) AS paragraphs FROM {DOCS} WHERE NOT contains(text, chr(13)) AND NOT contains(text, chr(65279))",
+    "figure_names": FIGURES,
+    "figure_resources": f"SELECT book_id, href, 'image/png' AS mime FROM {FIGURES} UNION ALL SELECT book_id, 'style.css', 'text/css' FROM {ONE['books']}",
+    "image_html": f"SELECT book_id, page_number, block_ix, '<figure><img src=\"' || href || '\" alt=\"figure\"/><figcaption>图</figcaption></figure>' AS html FROM {FIGURES}",
+    "block_html": f"SELECT {PAGE_KEYS}, CASE block_type WHEN 'heading' THEN '<h1>' || safe || '</h1>' WHEN 'subheading' THEN '<h2>' || safe || '</h2>' WHEN 'table_cell' THEN '<td>' || safe || '</td>' WHEN 'other' THEN CASE WHEN contains(regexp_replace(safe, chr(10) || '$', ''), chr(10)) THEN '<figure><pre>' || safe || '</pre></figure>' ELSE '<p>' || safe || '</p>' END ELSE array_to_string(list_transform({PARAS.replace('{t}', 'safe')}, lambda p: '<p>' || p || '</p>'), chr(10)) END AS html FROM {PAGE_ROWS}",
+    "json_types": f"SELECT {PAGE_KEYS}, CASE WHEN base <> 'paragraph' THEN base WHEN bbox IS NULL OR t = '' THEN 'paragraph' WHEN starts_with(t, '图') OR starts_with(t, '表') OR starts_with(t, 'Fig') THEN 'caption' WHEN NOT regexp_matches(t, '[。！？.!?\"”]$') AND (regexp_matches(t, '[μσδαβγθλπω∞∑∫%]') OR (len(l) >= 3 AND strlen(t) // len(l) <= 20)) THEN 'other' ELSE 'paragraph' END AS kind FROM (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: {trim('x')}), lambda x: x <> '') AS l, CASE WHEN {caption('t')} THEN 'caption' WHEN regexp_matches(t, '^##+ ') OR regexp_matches(t, '^[0-9]+\\.[0-9]') THEN 'subheading' WHEN {heading('t')} THEN 'heading' ELSE 'paragraph' END AS base FROM (SELECT *, {trim('text')} AS t FROM {ONE['pages']}))",
+    "crop_boxes": f"SELECT {PAGE_KEYS}, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(greatest(0, least(gw, 1000 - x)) AS BIGINT) AS w, CAST(greatest(0, least(gh, 1400 - y)) AS BIGINT) AS h FROM (SELECT *, greatest(0, least(round_even(bbox.x - (gw - bbox.w) / 2, 0), 1000)) AS x, greatest(0, least(round_even(bbox.y - (gh - bbox.h) / 2, 0), 1400)) AS y FROM (SELECT *, round_even(bbox.w * 1.5, 0) AS gw, round_even(bbox.h * 1.5, 0) AS gh FROM {ONE['pages']} WHERE bbox IS NOT NULL))",
+    "page_chapters": f"SELECT book_id, CAST(n - 1 AS INTEGER) AS idx, printf('chapter%03d.xhtml', n) AS href, coalesce(arg_min(first, page_number * 100000 + block_ix) FILTER (WHERE top), 'Chapter') AS title, count(*) FILTER (WHERE top) AS h1, count(*) FILTER (WHERE block_type = 'subheading' OR (block_type = 'heading' AND NOT top)) AS h2, count(*) FILTER (WHERE block_type = 'table_cell' AND NOT coalesce(before, false)) AS table, count(*) FILTER (WHERE block_type = 'table_cell') AS td FROM (SELECT *, greatest(sum(CASE WHEN top THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY page_number, block_ix), 1) AS n, lag(block_type = 'table_cell') OVER (PARTITION BY book_id, page_number ORDER BY block_ix) AS before FROM (SELECT *, {trim('string_split(text, chr(10))[1]')} AS first, block_type = 'heading' AND {TOP.replace('text', 'string_split(text, chr(10))[1]')} AS top FROM {ONE['pages']})) GROUP BY book_id, n",
+    "last_states": "SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(arg_max(event_id % 101, event_id) AS INTEGER) AS percent, arg_max(event_type, event_id) AS message FROM events GROUP BY user_id",
+    "payloads": PAYLOADS,
+    "log_entries": LOG,
+    "chunk_numbers": f"SELECT doc_id, pos, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS BIGINT) AS first, CAST(sum(n) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM (SELECT doc_id, pos, len({SENTENCES.replace('text', 'paragraph')}) AS n FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS paragraph FROM (SELECT doc_id, {PARAS.replace('{t}', 'text')} AS l FROM {DOCS})))",
+    "elapsed": f"SELECT job_id, CAST(greatest(date_diff('second', date_trunc('second', created_at), date_trunc('second', saved)), 0) AS BIGINT) AS seconds FROM {ONE['jobs']} JOIN (SELECT job_id, min(saved_at) AS saved FROM checkpoints GROUP BY job_id) USING (job_id)",
+    "refined_pages": f"SELECT book_id, page_number, CAST(row_number() OVER (PARTITION BY book_id, page_number ORDER BY block_ix) - 1 AS INTEGER) AS block_ix, t AS text, coalesce(block_type, 'paragraph') AS block_type, CASE WHEN bool_or(t <> text) OVER (PARTITION BY book_id, page_number) THEN 2 ELSE 1 END AS rounds FROM (SELECT *, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM {ONE['pages']})",
     "srt_html": f"SELECT book_id, idx, '<div class=\"srt-entry\" data-start=\"' || {ESCAPE.format('start_time')} || '\" data-end=\"' || {ESCAPE.format('end_time')} || '\"><p>' || {ESCAPE.format('text')} || '</p></div>' AS html FROM {ONE['cues']} WHERE start_time IS NOT NULL AND end_time IS NOT NULL",
 } | {
     f"sentences_{mode}": f"SELECT doc_id, pos, part, side, CASE WHEN side = 'translation' THEN '[ZH] ' || sentence ELSE sentence END AS text FROM ({SPLIT}), ({rows})"

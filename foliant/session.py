@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def session(cpus: int | str = "*", shuffle: int = 8, app: str = "foliant") -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -58,3 +61,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+@contextmanager
+def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
+    """Work inside carries a tag; the function given ends it, from any thread: running tasks stop and none is begun."""
+    tag = f"foliant-{name}"
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield lambda: context.cancelJobsWithTag(tag)
+    finally:
+        context.removeJobTag(tag)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark writes to; one that isn't there is no error."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,10 +1,11 @@
-"""A data source of book files (EPUB, DOCX, MOBI, plain text, SRT) and a writer of EPUB files.
+"""Book files (EPUB, DOCX, MOBI, plain text, SRT) as tables, and a writer of EPUB files.
 
-    spark.dataSource.register(BookSource)
-    spark.read.format("book").load("/books/*")              -> chapters
-    spark.read.format("book").option("kind", "resources").load(...)
+    read_chapters(files(spark, "hdfs:///books/"))           -> chapters
+    read_resources(files(spark, "hdfs:///books/"))          -> images, styles and the rest
+    spark.dataSource.register(BookSource)                   the same by name, over a folder that all executors see:
+    spark.read.format("book").load("/books/*")              one partition per file
 
-Each file is one partition; a file that can't be read gives a row with its error and no chapter.
+A file that can't be read gives a row with its error and no chapter.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape as _escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from foliant.functions.text import FORMATS
@@ -214,6 +216,53 @@ def read_book(path: str, data: bytes) -> Book:
     return read_epub(data) if kind == "epub" else {"docx": read_docx, "text": read_text, "srt": read_srt, "mobi": read_mobi}[kind](data, stem)
 
 
+def files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = tuple(FORMATS)) -> DataFrame:
+    """(path, content) of the book files below a path of any file system that Spark reads; other files are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
+
+
+def _rows(book_files: DataFrame, schema: str, make) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):  # one file's rows at a time
+                rows = list(make(path, bytes(content)))
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return book_files.select("path", "content").where("path is not null and content is not null").mapInPandas(run, schema)
+
+
+def _chapter_rows(path: str, data: bytes) -> Iterator[tuple]:
+    name, digest = os.path.splitext(os.path.basename(unquote(path)))[0], hashlib.sha256(data).hexdigest()
+    try:
+        book = read_book(unquote(path), data)
+    except Exception as e:
+        yield name, None, None, None, None, None, None, None, path, digest, str(e)
+        return
+    for k, (href, title, content) in enumerate(book.chapters):
+        yield name, k, href, title, content, book.title, book.language, book.identifier, path, digest, None
+
+
+def _resource_rows(path: str, data: bytes) -> Iterator[tuple]:
+    name = os.path.splitext(os.path.basename(unquote(path)))[0]
+    try:
+        yield from ((name, *r) for r in read_book(unquote(path), data).resources)
+    except Exception:
+        return  # its error is a row of the chapters
+
+
+def read_chapters(book_files: DataFrame) -> DataFrame:
+    """CHAPTERS of files (path, content); a file that can't be read gives one row with its error; null contents give none."""
+    return _rows(book_files, CHAPTERS, _chapter_rows)
+
+
+def read_resources(book_files: DataFrame) -> DataFrame:
+    """RESOURCES of files (path, content): what the manifest names beside the chapters."""
+    return _rows(book_files, RESOURCES, _resource_rows)
+
+
 class BookSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -242,21 +291,9 @@ class BookReader(DataSourceReader):
     def read(self, part: FilePart) -> Iterator[tuple]:
         if not part.path:
             return
-        book_id = os.path.splitext(os.path.basename(part.path))[0]
         with open(part.path, "rb") as f:
             data = f.read()
-        digest = hashlib.sha256(data).hexdigest()
-        try:
-            book = read_book(part.path, data)
-        except Exception as e:
-            if self.kind == "chapters":
-                yield book_id, None, None, None, None, None, None, None, part.path, digest, str(e)
-            return
-        if self.kind == "resources":
-            yield from ((book_id, *r) for r in book.resources)
-            return
-        for k, (href, title, content) in enumerate(book.chapters):
-            yield book_id, k, href, title, content, book.title, book.language, book.identifier, part.path, digest, None
+        yield from (_resource_rows if self.kind == "resources" else _chapter_rows)(part.path, data)
 
 
 # ---------------------------------------------------------------- writing
@@ -341,16 +378,29 @@ def epub_bytes(title: str | None, language: str | None, identifier: str | None,
     return out.getvalue()
 
 
-def epubs(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, data): an EPUB file of each book. A file holds a whole book, so a book is one group here by its nature."""
-    meta = books.select("book_id", "title", "language", "identifier").dropDuplicates(["book_id"])
-    meta = meta.withColumnsRenamed({"title": "book_title"})
-    rows = chapters.select("book_id", "idx", "href", "title", "content").dropDuplicates(["book_id", "idx"]).join(meta, "book_id", "left")
+def epubs(chapters: DataFrame, books: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """(book_id, data): an EPUB file of each book that has chapters, with its resources (book_id, href, mime, data).
+
+    A file holds a whole book, so a book is one group here by its nature. Repeated rows count once, of rows that differ
+    under one key the least; null keys are left out; a book without a row has no title.
+    """
+
+    def least(df: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
+        good = df.where(" and ".join(f"{k} is not null" for k in keys))
+        return good.groupBy(*keys).agg(F.min(F.struct(*others)).alias("r")).select(*keys, "r.*")
+
+    meta = least(books, ["book_id"], ["title", "language", "identifier"]).withColumnsRenamed({"title": "book_title"})
+    rows = least(chapters, ["book_id", "idx"], ["href", "title", "content"]).join(meta, "book_id", "left")
+    if resources is None:
+        resources = rows.sparkSession.createDataFrame([], RESOURCES)
+    extra = least(resources, ["book_id", "href"], ["mime", "data"])
+    extra = extra.join(rows.select("book_id").distinct(), "book_id", "left_semi")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
+    def run(g: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        g, more = g.sort_values("idx"), more.sort_values("href")
         value = lambda c: g[c].iloc[0] if isinstance(g[c].iloc[0], str) else None
         parts = [(h or "", t if isinstance(t, str) else None, bytes(c or b"")) for h, t, c in zip(g["href"], g["title"], g["content"], strict=True)]
-        return pd.DataFrame({"book_id": [g["book_id"].iloc[0]], "data": [epub_bytes(value("book_title"), value("language"), value("identifier"), parts)]})
+        others = [(h, m or "application/octet-stream", bytes(d or b"")) for h, m, d in zip(more["href"], more["mime"], more["data"], strict=True)]
+        return pd.DataFrame({"book_id": [g["book_id"].iloc[0]], "data": [epub_bytes(value("book_title"), value("language"), value("identifier"), parts, others)]})
 
-    return rows.groupBy("book_id").applyInPandas(run, "book_id string, data binary")
+    return rows.groupBy("book_id").cogroup(extra.groupBy("book_id")).applyInPandas(run, "book_id string, data binary")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 CACHE = "cache_key string, translation string, tokens int"
@@ -35,29 +34,46 @@ class CacheTable:
         self.spark.createDataFrame([], CACHE).write.mode("overwrite").parquet(self.path)
 
 
-_CHAPTER = T.StructType(
-    [T.StructField("index", T.IntegerType()), T.StructField("href", T.StringType()), T.StructField("status", T.StringType()), T.StructField("content", T.StringType()), T.StructField("error", T.StringType())]
-)
-_FILE = T.StructType(
-    [T.StructField("job_id", T.StringType()), T.StructField("source_hash", T.StringType()), T.StructField("source_path", T.StringType()), T.StructField("chapters", T.ArrayType(_CHAPTER)), T.StructField("_bad", T.StringType())]
+_FILE = (
+    "job_id string, source_hash string, source_path string, saved_at timestamp, "
+    "chapters array<struct<index:int,href:string,status:string,content:string,error:string>>"
 )
+JOBS_A_FILE = 500
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, source_hash, source_path, idx, href, status, content, error) of a folder of JSON files, one job each.
+    """(job_id, source_hash, source_path, saved_at, idx, href, status, content, error) of the JSON files below a path, the latest of each job.
 
-    Files that can't be parsed, or name no job, are left out; a file without chapters gives no rows.
+    A file holds one job as an object, in any layout, or one job a line, as write_checkpoints makes them. What can't be
+    parsed or names no job is left out; jobs without a time are older than all others; a job without chapters gives no rows.
     """
-    raw = spark.read.schema(_FILE).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    good = raw.where("_bad is null and job_id is not null").select("job_id", F.coalesce("source_hash", F.lit("")).alias("source_hash"), "source_path", F.explode("chapters").alias("c"))
-    return good.select("job_id", "source_hash", "source_path", F.col("c.index").alias("idx"), "c.href", F.coalesce("c.status", F.lit("pending")).alias("status"), F.encode("c.content", "UTF-8").alias("content"), "c.error")
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    one = raw.select(F.explode(F.split("value", r"\n(?=\{)")).alias("value")).select(F.from_json("value", _FILE, {"mode": "PERMISSIVE"}).alias("j"))
+    good = one.where("j.job_id is not null")
+    last = good.groupBy("j.job_id").agg(F.max(F.struct(F.col("j.saved_at").alias("saved_at"), F.col("j").alias("j"))).alias("last")).select("last.j.*")
+    each = last.select("job_id", F.coalesce("source_hash", F.lit("")).alias("source_hash"), "source_path", "saved_at", F.explode("chapters").alias("c"))
+    return each.select(
+        "job_id", "source_hash", "source_path", "saved_at", F.col("c.index").alias("idx"), "c.href", F.coalesce("c.status", F.lit("pending")).alias("status"), F.encode("c.content", "UTF-8").alias("content"), "c.error"
+    )
+
 
+def write_checkpoints(checkpoints: DataFrame, path: str, saved_at: datetime | None = None) -> None:
+    """Adds a save of the jobs to path, one JSON line a job: read_checkpoints of the same path gives the latest save of each job.
 
-def write_checkpoints(checkpoints: DataFrame, path: str) -> None:
-    """One JSON line per job, in a new folder below path; a job's chapters are gathered, as the format demands."""
+    A job's chapters are gathered, as the format demands. The write is one commit: a run that dies adds nothing.
+    """
     chapter = F.struct(F.col("idx").alias("index"), "href", "status", F.decode("content", "UTF-8").alias("content"), "error")
+    time = F.lit(saved_at) if saved_at else F.current_timestamp()
     jobs = checkpoints.groupBy("job_id", "source_hash", "source_path").agg(F.array_sort(F.collect_list(chapter), lambda a, b: a["index"] - b["index"]).alias("chapters"))
-    jobs.write.mode("error").json(f"{path}/{uuid.uuid4().hex}")
+    jobs.withColumn("saved_at", time).write.mode("append").option("maxRecordsPerFile", JOBS_A_FILE).json(path)
+
+
+def superseded(spark: SparkSession, path: str) -> DataFrame:
+    """(path, saves): files of which no save is a job's latest; they can be deleted."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path, schema="job_id string, saved_at timestamp").select("job_id", "saved_at", F.col("_metadata.file_path").alias("path"))
+    last = raw.where("job_id is not null").groupBy("job_id").agg(F.max("saved_at").alias("last"))
+    kept = raw.join(last, "job_id", "left").groupBy("path").agg(F.max(F.coalesce(F.col("saved_at") == F.col("last"), F.lit(False))).alias("kept"), F.count("*").alias("saves"))
+    return kept.where("not kept").select("path", "saves")
 
 
 def log_text(log: DataFrame) -> DataFrame:

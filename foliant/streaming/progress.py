@@ -1,4 +1,4 @@
-"""Streams: progress of tasks as state, and chunks seen for the first time."""
+"""Streams: progress of tasks as state, and chunks seen for the first time. Log entries are a projection: `operators.progress.log_entries`."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "task_id string, seq long, total long, completed long, progress int"
@@ -31,29 +30,39 @@ def share(total, done: int, flight: float) -> int:
     return int(min((done + flight) * 100 / total, 100)) if total else 0
 
 
-def fold(events: DataFrame) -> DataFrame:
+#: A task whose events stop for so long has no more to come, in milliseconds of processing time.
+IDLE = 7 * 24 * 3600 * 1000
+
+
+def fold(events: DataFrame, idle: int = IDLE) -> DataFrame:
     """A stream of (task_id, seq, event, total, chunk_index, chunk_total) as its tasks' states, one row per task and batch.
 
     Events of a task must come in order of seq over batches; within one they are sorted. Older ones than the state's are
-    left out, so a batch that is run again changes nothing.
+    left out, so a batch that is run again changes nothing. Only the live run of a task matters: of the events that come
+    at once those before the last start are dropped as they are read. State ends after `idle` milliseconds without events.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seq, total, done, percent = state.get if state.exists else (-1, None, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples(index=False):
-            if r.seq > seq:
-                (total, done, percent), seq = step((total, done, percent), r.event, r.total, r.chunk_index, r.chunk_total), int(r.seq)
+        rows, since = [], seq
+        for b in batches:
+            b = b[(b["seq"] > seq) & (b["seq"] >= since)]
+            starts = b.loc[b["event"] == "Started", "seq"]
+            if len(starts) and starts.max() > since:
+                since = int(starts.max())
+                rows = [r[r["seq"] >= since] for r in rows]
+                b = b[b["seq"] >= since]
+            rows.append(b)
+        for r in pd.concat(rows).sort_values("seq").itertuples(index=False):
+            (total, done, percent), seq = step((total, done, percent), r.event, r.total, r.chunk_index, r.chunk_total), int(r.seq)
         state.update((seq, total, done, percent))
+        state.setTimeoutDuration(idle)
         yield pd.DataFrame([(key[0], seq, total, done, percent)], columns=["task_id", "seq", "total", "completed", "progress"])
 
-    return events.groupBy("task_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def log_lines(events: DataFrame) -> DataFrame:
-    """(task_id, seq, level, message) of each event, as it comes."""
-    level = F.when(F.col("event").endswith("Failed"), "error").when(F.col("event") == "Completed", "success").otherwise("info")
-    return events.select("task_id", "seq", level.alias("level"), F.concat_ws(" ", "event", "href").alias("message"))
+    return events.groupBy("task_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_seen(chunks: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:

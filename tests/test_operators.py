@@ -125,11 +125,6 @@ def test_best_attempt_stops_early(spark):
     assert [(r["b"]["text"], r["b"]["confidence"]) for r in df.select(ocr.best_attempt(F.col("a"), F.lit(0.55)).alias("b")).collect()] == [("b", 0.8), ("b", 0.6), (None, 0.55)]
 
 
-def test_markdown_rows(spark):
-    df = spark.createDataFrame([("| a | b | |---|---| | 1 | 2 |",), ("| a |\n|---|\n| 1 |",), ("none",)], "t string")
-    assert [r[0] for r in df.select(ocr.markdown_rows(F.col("t"))).collect()] == [[["a", "b"], ["1", "2"]], [["a"], ["1"]], []]
-
-
 def test_captions(spark):
     df = blocks(spark, [("b", 1, 0, "image", "i"), ("b", 1, 1, "caption", "c"), ("b", 1, 2, "image", "j"), ("b", 2, 0, "caption", "d")])
     assert [(r["block_ix"], r["caption"]) for r in ocr.captions(df).orderBy("block_ix").collect()] == [(0, "c"), (2, None)]
