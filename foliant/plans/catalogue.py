@@ -559,13 +559,13 @@ def subtitle_books(spark: SparkSession, folder: str) -> DataFrame:
     f = srt.files(cues(spark, folder).where("start_time is not null and end_time is not null"))
     made = book.read_chapters(f.select(F.concat("book_id", F.lit(".srt")).alias("path"), F.encode("text", "UTF-8").alias("content")))
     n = F.size(F.split(F.decode("content", "UTF-8"), '<div class="srt-entry"')) - 1
-    return made.select("book_id", "href", n.cast("bigint").alias("cues"))
+    return made.groupBy("book_id", "href").agg(F.sum(n).cast("bigint").alias("cues"))  # a long book has several files
 
 
 @query
 def text_books(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as text files, read as books: each line a paragraph."""
-    d = docs(spark, folder).where("not contains(text, chr(13)) and not contains(text, chr(65279))")
+    d = docs(spark, folder).where(~F.col("text").rlike("[\\r\\x{feff}]"))
     made = book.read_chapters(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")))
     n = F.size(F.split(F.decode("content", "UTF-8"), "<p>")) - 1
     return made.select("book_id", "title", n.cast("bigint").alias("paragraphs"))

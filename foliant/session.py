@@ -69,10 +69,12 @@ def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
     tag = f"foliant-{name}"
     context = spark.sparkContext
     context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
     try:
         yield lambda: context.cancelJobsWithTag(tag)
     finally:
         context.removeJobTag(tag)
+        context.setInterruptOnCancel(False)
 
 
 def discard(spark: SparkSession, path: str) -> None:

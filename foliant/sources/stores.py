@@ -47,7 +47,7 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     A file holds one job as an object, in any layout, or one job a line, as write_checkpoints makes them. What can't be
     parsed or names no job is left out; jobs without a time are older than all others; a job without chapters gives no rows.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     one = raw.select(F.explode(F.split("value", r"\n(?=\{)")).alias("value")).select(F.from_json("value", _FILE, {"mode": "PERMISSIVE"}).alias("j"))
     good = one.where("j.job_id is not null")
     last = good.groupBy("j.job_id").agg(F.max(F.struct(F.col("j.saved_at").alias("saved_at"), F.col("j").alias("j"))).alias("last")).select("last.j.*")
@@ -68,14 +68,6 @@ def write_checkpoints(checkpoints: DataFrame, path: str, saved_at: datetime | No
     jobs.withColumn("saved_at", time).write.mode("append").option("maxRecordsPerFile", JOBS_A_FILE).json(path)
 
 
-def superseded(spark: SparkSession, path: str) -> DataFrame:
-    """(path, saves): files of which no save is a job's latest; they can be deleted."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path, schema="job_id string, saved_at timestamp").select("job_id", "saved_at", F.col("_metadata.file_path").alias("path"))
-    last = raw.where("job_id is not null").groupBy("job_id").agg(F.max("saved_at").alias("last"))
-    kept = raw.join(last, "job_id", "left").groupBy("path").agg(F.max(F.coalesce(F.col("saved_at") == F.col("last"), F.lit(False))).alias("kept"), F.count("*").alias("saves"))
-    return kept.where("not kept").select("path", "saves")
-
-
 def log_text(log: DataFrame) -> DataFrame:
     """(value): lines of (time, message, details) as an export writes them; write it with .text()."""
     time = F.concat(F.lit("["), F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), "message")

@@ -30,16 +30,13 @@ def share(total, done: int, flight: float) -> int:
     return int(min((done + flight) * 100 / total, 100)) if total else 0
 
 
-#: A task whose events stop for so long has no more to come, in milliseconds of processing time.
-IDLE = 7 * 24 * 3600 * 1000
-
-
-def fold(events: DataFrame, idle: int = IDLE) -> DataFrame:
+def fold(events: DataFrame, idle: int | None = None) -> DataFrame:
     """A stream of (task_id, seq, event, total, chunk_index, chunk_total) as its tasks' states, one row per task and batch.
 
     Events of a task must come in order of seq over batches; within one they are sorted. Older ones than the state's are
     left out, so a batch that is run again changes nothing. Only the live run of a task matters: of the events that come
-    at once those before the last start are dropped as they are read. State ends after `idle` milliseconds without events.
+    at once those before the last start are dropped as they are read. With `idle` a task's state ends after so many
+    milliseconds without events; such a stream always has a further batch to run, so it isn't for a trigger that ends.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,10 +56,11 @@ def fold(events: DataFrame, idle: int = IDLE) -> DataFrame:
         for r in pd.concat(rows).sort_values("seq").itertuples(index=False):
             (total, done, percent), seq = step((total, done, percent), r.event, r.total, r.chunk_index, r.chunk_total), int(r.seq)
         state.update((seq, total, done, percent))
-        state.setTimeoutDuration(idle)
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame([(key[0], seq, total, done, percent)], columns=["task_id", "seq", "total", "completed", "progress"])
 
-    return events.groupBy("task_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("task_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_seen(chunks: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:

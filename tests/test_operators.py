@@ -37,7 +37,7 @@ def test_calls_are_retried_and_errors_kept(spark):
             raise RuntimeError("no")
 
     missing = spark.createDataFrame([("k", "x")], "cache_key string, chunk string")
-    row = TR.call(missing, Bad, 1, 1).first()
+    row = TR.call(missing, Bad, 1, pauses=(0.0,)).first()
     assert row["translation"] is None and row["error"] == "no"
     failed = TR.reassemble(spark.createDataFrame([(1, 0, "a"), (1, 1, None)], "doc_id long, chunk_ix int, translation string"), ["doc_id"]).first()
     assert failed["failed"] and failed["translation"] is None

@@ -34,8 +34,11 @@ def test_pages(spark):
     got = {r["page_number"]: r for r in R.carry_over(new, old).collect()}
     assert (got[1]["first_ix"], got[1]["last_ix"], got[1]["x"], got[1]["w"], got[1]["h"]) == (0, 1, 1, 14, 9) and abs(got[1]["confidence"] - 0.9) < 1e-6
     assert got[2]["first_ix"] is None and got[3]["first_ix"] is None
-    rows = R.to_fixpoint(old, lambda: lambda texts, k: [t + "!" if k < 3 else t for t in texts], 5).orderBy("page_number", "block_ix").collect()
+    typed = old.selectExpr("*", "if(block_ix = 0, 'heading', null) block_type")
+    rows = R.to_fixpoint(typed, lambda: lambda blocks, k: [(t + "!" if k < 3 else t, kind if k < 4 else "caption") for t, kind in blocks], 5).orderBy("page_number", "block_ix").collect()
     assert [(r["text"], r["rounds"]) for r in rows] == [("Hello!!", 3), ("world!!", 3), ("x!!", 3)]
+    rows = R.to_fixpoint(typed, lambda: lambda blocks, k: [(t, "caption" if k > 0 else kind) for t, kind in blocks], 5).collect()
+    assert {(r["block_type"], r["rounds"]) for r in rows} == {("caption", 2)}  # a change of types only is one, too
 
 
 def test_documents(spark):
