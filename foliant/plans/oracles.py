@@ -179,20 +179,24 @@ SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, CASE WHEN k = 'Star
 FROM (SELECT *, {KINDS} AS k FROM events)
 """
 #: Chunks of documents: sentences packed up to 64 tokens, a chunk's number by the fold of PACK, windows of longer sentences.
-WALK = f"""
-WITH RECURSIVE s AS (SELECT doc_id, pos + 1 AS i, sentence, {TOKENS.format('sentence')} AS n FROM ({SPLIT})),
-walk(doc_id, i, used, chunk, open) AS (
-  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false FROM (SELECT DISTINCT doc_id FROM s)
+def walked(split: str, x: str = "") -> str:
+    """Common tables s, walk, told and chunked (doc_id, chunk, text) of sentences (doc_id, pos, sentence); x tells several apart."""
+    return f"""s{x} AS (SELECT doc_id, pos + 1 AS i, sentence, {TOKENS.format('sentence')} AS n FROM ({split})),
+walk{x}(doc_id, i, used, chunk, open) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false FROM (SELECT DISTINCT doc_id FROM s{x})
   UNION ALL
   SELECT w.doc_id, s.i, CASE WHEN s.n > 64 THEN 0 WHEN w.open AND w.used + s.n <= 64 THEN w.used + s.n ELSE s.n END,
     CASE WHEN w.open AND s.n <= 64 AND w.used + s.n <= 64 THEN w.chunk WHEN s.n > 64 THEN w.chunk + CAST(ceil(length(s.sentence) / 256.0) AS BIGINT) ELSE w.chunk + 1 END, s.n <= 64
-  FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
-told AS (SELECT walk.doc_id, walk.i, walk.chunk, s.sentence, s.n FROM walk JOIN s USING (doc_id, i)),
-chunked AS (
-  SELECT doc_id, chunk, string_agg(sentence, ' ' ORDER BY i) AS text FROM told WHERE n <= 64 GROUP BY doc_id, chunk
+  FROM walk{x} w JOIN s{x} s ON s.doc_id = w.doc_id AND s.i = w.i + 1),
+told{x} AS (SELECT w.doc_id, w.i, w.chunk, s.sentence, s.n FROM walk{x} w JOIN s{x} s USING (doc_id, i)),
+chunked{x} AS (
+  SELECT doc_id, chunk, string_agg(sentence, ' ' ORDER BY i) AS text FROM told{x} WHERE n <= 64 GROUP BY doc_id, chunk
   UNION ALL
-  SELECT doc_id, chunk - k + k2 + 1 - 1, substring(sentence, 256 * k2 + 1, 256) FROM (SELECT *, CAST(ceil(length(sentence) / 256.0) AS BIGINT) - 1 AS k, unnest(range(CAST(ceil(length(sentence) / 256.0) AS BIGINT))) AS k2 FROM told WHERE n > 64))
+  SELECT doc_id, chunk - k + k2, substring(sentence, 256 * k2 + 1, 256) FROM (SELECT *, CAST(ceil(length(sentence) / 256.0) AS BIGINT) - 1 AS k, unnest(range(CAST(ceil(length(sentence) / 256.0) AS BIGINT))) AS k2 FROM told{x} WHERE n > 64))
 """
+
+
+WALK = "WITH RECURSIVE " + walked(SPLIT)
 CHUNKED = WALK + "SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_ix, text AS chunk FROM chunked"
 #: Answers of the stand-in: of every third text as a whole, of the others chunk by chunk.
 ANSWERED = f"""{WALK}, known AS (SELECT DISTINCT text FROM {DOCS} WHERE doc_id % 3 = 0),
@@ -200,6 +204,20 @@ parts AS (SELECT doc_id, {trim("replace(string_agg('[ZH] ' || text, ' ' ORDER BY
 done AS (SELECT d.doc_id, d.text, CASE WHEN d.text IN (SELECT text FROM known) THEN '[ZH] ' || {trim('d.text')} ELSE coalesce(p.answer, '') END AS translation FROM {DOCS} d LEFT JOIN parts p USING (doc_id))
 """
 LF_ONLY = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+REFINED = ANSWERED + ", " + walked(SPLIT.replace(DOCS, "(SELECT doc_id, translation AS text FROM done)"), "2") + f"""
+SELECT d.doc_id, coalesce(p.answer, '') AS translation FROM done d LEFT JOIN (SELECT doc_id, {trim("replace(string_agg('[ZH] ' || text, ' ' ORDER BY chunk), chr(10), ' ')")} AS answer FROM chunked2 GROUP BY doc_id) p USING (doc_id)
+"""
+#: The best attempt of each page: a fold over its blocks in order.
+BEST = f"""
+WITH RECURSIVE a AS (SELECT book_id, page_number, row_number() OVER (PARTITION BY book_id, page_number ORDER BY block_ix) AS i, text, coalesce(CAST(confidence AS DOUBLE), 0.0) AS c, round({ANOMALY}, 6) AS an FROM {with_runs(ONE['pages'], PAGE_KEYS)}),
+f(book_id, page_number, i, text, c, an, done) AS (
+  SELECT DISTINCT book_id, page_number, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE), false FROM a
+  UNION ALL
+  SELECT book_id, page_number, i, CASE WHEN better THEN t ELSE text END, CASE WHEN better THEN c2 ELSE c END, CASE WHEN better THEN an2 ELSE an END, CASE WHEN better THEN c2 >= 0.7 AND an2 <= 0.2 ELSE done END FROM (
+    SELECT f.book_id, f.page_number, a.i, f.text, f.c, f.an, f.done, a.text AS t, a.c AS c2, CAST(a.an AS DOUBLE) AS an2, NOT f.done AND (f.text IS NULL OR a.c > f.c OR (a.c = f.c AND a.an < f.an)) AS better
+    FROM f JOIN a ON a.book_id = f.book_id AND a.page_number = f.page_number AND a.i = f.i + 1))
+SELECT book_id, page_number, text, round(greatest(c, 0.5), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_number ORDER BY i DESC) AS k FROM f) WHERE k = 1
+"""
 PAGE_ROWS = f"(SELECT *, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') AS safe FROM {ONE['pages']})"
 PARAS = "list_filter(list_transform(string_split({t}, chr(10) || chr(10)), lambda p: " + squeeze("p") + "), lambda p: p <> '')"
 FIGURES = f"""(WITH p AS (SELECT *, dense_rank() OVER (PARTITION BY book_id ORDER BY page_number) - 1 AS page FROM {ONE['pages']})
@@ -264,6 +282,8 @@ SQL: dict[str, str] = {
     "subtitle_books": f"SELECT book_id, 'chapter.xhtml' AS href, count(*) FILTER (WHERE t <> '') AS cues FROM (SELECT *, {trim("string_split(" + LF_ONLY + ", chr(10) || chr(10))[1]")} AS t FROM {ONE['cues']}) WHERE start_time IS NOT NULL AND end_time IS NOT NULL GROUP BY book_id",
     "chunk_pack": CHUNKED,
     "translated": ANSWERED + "SELECT doc_id, translation FROM done",
+    "translated_refined": REFINED,
+    "verify_best": BEST,
     "translate_bilingual": ANSWERED + f"SELECT doc_id, part, side, CASE WHEN side = 'translation' THEN translation ELSE {trim('text')} END AS text FROM done, ({MODES['bilingual']}) WHERE translation <> ''",
     "new_cache_rows": ANSWERED + f"SELECT DISTINCT sha256('fake:' || c.text) AS cache_key, '[ZH] ' || c.text AS translation FROM chunked c JOIN {DOCS} d USING (doc_id) WHERE d.text NOT IN (SELECT text FROM known) AND c.text NOT IN (SELECT text FROM known)",
     "translated_titles": f"SELECT j.job_id, c.idx, 'toc:' || c.href AS prompt_key, {trim(chr(39) + '[ZH] ' + chr(39) + ' || array_to_string(' + SENTENCES.replace('text', 'c.title').replace('regexp_replace(c.title', 'regexp_replace(c.title') + ', ' + chr(39) + ' ' + chr(39) + ')')} AS translation FROM {ONE['chapters']} c JOIN {ONE['jobs']} j USING (book_id) WHERE c.title IS NOT NULL AND {trim('c.title')} <> '' AND j.job_id IN (SELECT job_id FROM checkpoints) AND NOT EXISTS (SELECT 1 FROM {ONE['stored']} k WHERE k.job_id = j.job_id AND k.idx = c.idx AND k.status = 'failed')",
