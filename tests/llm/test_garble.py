@@ -92,3 +92,22 @@ def test_share_restored_exactly(spark, data, trained):
         found += got[0]
         good += got[4] == text
     assert made >= 10 and found == made and good >= 0.9 * made, (made, found, good)
+
+
+def test_models_know_every_record(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rare = [chr(0x1400 + k) for k in range(300)]
+    text = F.concat(F.lit("word number "), F.col("id").cast("string"), F.when(F.col("id") % 100 == 0, F.expr("concat(' a', char_at[cast(id / 100 as int)], 'b')")).otherwise(""))
+    samples = spark.range(30_000).withColumn("char_at", F.array(*map(F.lit, rare))).select(F.lit("en").alias("lang"), text.alias("text"))
+    documents = spark.range(4000).select(F.lit("fr").alias("lang"), F.concat(F.lit("mot "), F.col("id").cast("string")).alias("text"))
+    models, margin = G.train(samples.unionByName(samples.limit(50)), documents)
+    assert set(rare) <= models.alphabet and margin == G.LEAST_MARGIN
+    counted = G.count_grams(G.clean_records(samples, documents)).where("order = 0").collect()
+    want = Counter((G.LANGUAGES.index(r["lang"]), c) for r in samples.unionByName(documents).collect() for w in r["text"].split() for c in w + "  ")
+    assert {(r["lang"], chr(r["gram"])): r["n"] for r in counted} == want
+    assert 0 < sum(r["held_n"] for r in counted) < sum(r["n"] for r in counted)
+    with pytest.raises(ValueError):
+        G.train(samples.limit(0), documents.limit(0))
