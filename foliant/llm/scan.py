@@ -37,9 +37,9 @@ FREQUENT, TIMES = 5, 8  # a link's target occurs that often, and that many times
 FREQUENT_ODD, TIMES_ODD = 1, 1  # the same for a word with a glyph that no word has
 #: Words around that make up a word's company; the vectors' length; the share of all words that makes one a context, so that there are at most 2,000.
 WINDOW, DIMENSIONS, CONTEXT_SHARE = 4, 48, 5e-4
-#: A link holds if its vector is nearer to the word's company than this share of REFERENCE frequent words: at one occurrence, and over all of them.
+#: A link holds if its vector is nearer to the word's company than this share of all frequent words of letters: at one occurrence, and over all of them.
 #: With fewer than LEAST_REFERENCE such words there is nothing to compare with, and links hold.
-NEAR_HERE, NEAR_ALL, REFERENCE, LEAST_REFERENCE = 0.7, 0.85, 512, 16
+NEAR_HERE, NEAR_ALL, LEAST_REFERENCE = 0.7, 0.85, 16
 #: With OWN occurrences or more a word's company must also be as close to the link's as this share of how close it is to itself.
 OWN, OWN_SHARE = 3, 0.7
 SCALE = 1000  # vectors are summed as whole numbers, so that sums don't depend on their order
@@ -498,12 +498,26 @@ def unit(sums: np.ndarray) -> np.ndarray:
     return sums / np.maximum(np.linalg.norm(sums, axis=-1, keepdims=True), 1e-9)
 
 
+def units(known: DataFrame) -> np.ndarray:
+    """The unit vectors of companies, in the order of their words: 4 bytes a number, made by the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": b["word"], "v": [unit(np.asarray(v, float)).astype(np.float32) for v in b["v"]]})
+
+    found = known.select("word", "v").mapInPandas(run, "word string, v array<float>").toArrow()
+    if not len(found):
+        return np.zeros((0, DIMENSIONS), np.float32)
+    made = found["v"].combine_chunks().flatten().to_numpy().reshape(len(found), DIMENSIONS)
+    return made[np.argsort(found["word"].to_numpy().astype(str), kind="stable")]
+
+
 def keeps_company(own: np.ndarray, times: int, other: np.ndarray, other_times: int, reference: np.ndarray) -> bool:
     """Whether a word (sum of its vectors, number) keeps the company of another one: near it, and about as close to it as to itself."""
     own, other = own / SCALE, other / SCALE
     each = float(own @ other) / (times * other_times)
     itself = (float(own @ own) - times) / (times * (times - 1))
-    nearer = float((reference @ unit(own) < float(unit(other) @ unit(own)) + 1e-6).mean()) if len(reference) else 1.0
+    nearer = float((reference @ unit(own).astype(reference.dtype) < float(unit(other) @ unit(own)) + 1e-6).mean()) if len(reference) else 1.0
     return nearer >= NEAR_ALL and each >= OWN_SHARE * itself
 
 
@@ -670,14 +684,14 @@ def clean_blocks(blocks: DataFrame, books: DataFrame) -> DataFrame:
     whole = counts.unionByName(judged.where("not compound and right != ''").groupBy(F.col("joined_word").alias("word")).agg(F.count("*").alias("n")))
     pairs = checkpointed(links(whole.groupBy("word").agg(F.sum("n").alias("n"))))
     company = learn_company(bodies, counts)
-    names = pairs.select(F.explode(F.array("word", "target")).alias("word")).distinct()
-    # words to compare with, a part of the model: some of the frequent ones
-    sample = {r["word"] for r in counts.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}{3,}$")).orderBy(F.xxhash64("word"), "word").limit(REFERENCE).select("word").collect()}
-    # few enough words with links: only theirs are summed up
-    wanted = {r["word"] for r in names.collect()} | sample if names.count() <= 2 * BROADCAST_WORDS else None
+    names = pairs.select(F.explode(F.array("word", "target")).alias("word"))
+    # words to compare with: all that are frequent, made of letters
+    frequent = counts.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}{3,}$")).select("word")
+    names = checkpointed(names.unionByName(frequent).distinct())
+    # few enough words with links or to compare with: only theirs are summed up
+    wanted = {r["word"] for r in names.collect()} if names.count() <= 2 * BROADCAST_WORDS else None
     known = checkpointed(companies(bodies, company, wanted))
-    vectors = [r["v"] for r in known.where(F.col("word").isin(sorted(sample))).orderBy("word").collect()] if sample else []
-    reference = unit(np.array(vectors, float).reshape(len(vectors), DIMENSIONS))
+    reference = units(known.join(frequent, "word", "left_semi"))
     if len(reference) < LEAST_REFERENCE:
         reference = reference[:0]
     return repair(bodies, judged, checkpointed(judge_links(pairs, known, reference)), company, reference)

@@ -187,3 +187,15 @@ def test_ambiguous_glyphs_have_all_readings():
 def test_rows_that_differ_under_one_key(spark):
     rows = [("a", 1, 0, "Second text here.", "paragraph", "x"), ("a", 1, 0, "First text here.", "paragraph", "x")]
     assert [r["text"] for r in S.clean_blocks(spark.createDataFrame(rows * 2, BLOCKS), spark.createDataFrame([], BOOKS)).collect()] == ["First text here."]
+
+
+def test_links_are_compared_with_every_frequent_word(spark, monkeypatch):
+    words = [f"{a}{b}{c}wort" for a in "bdgkmnprst" for b in "aeiou" for c in "dgkmnprstbvwxz"]
+    rows = [("a", p, k, " ".join(words[k * 14 : k * 14 + 14]) + " the und.", "paragraph", "x") for p in range(1, 7) for k in range(50)]
+    seen = []
+    real = S.repair
+    monkeypatch.setattr(S, "repair", lambda bodies, judged, linked, company, reference: seen.append(reference) or real(bodies, judged, linked, company, reference))
+    for bound in (S.BROADCAST_WORDS, -1):
+        monkeypatch.setattr(S, "BROADCAST_WORDS", bound)
+        S.clean_blocks(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame([], BOOKS)).count()
+    assert len(words) == 700 and [r.shape for r in seen] == [(702, S.DIMENSIONS)] * 2 and (seen[0] == seen[1]).all()
