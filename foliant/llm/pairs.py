@@ -330,7 +330,7 @@ def long_defects(chapters: DataFrame, jobs: DataFrame, checkpoints: DataFrame, m
     prompts = once(long_features(chapters, ["book_id", "idx"], None), ["book_id", "idx"])
     prompts = prompts.select("book_id", "idx", *[F.col(c).alias(f"p_{c}") for c in ("code", "hash", "sentences", "letters", "ended", "wide")])
     pairs = checkpointed(answers.join(prompts, ["book_id", "idx"]))  # small rows, used below several times
-    whole = (F.col("ended")) & (F.col("p_sentences") >= 4) & (F.col("sentences") >= 0.9 * F.col("p_sentences"))
+    whole = (F.col("ended")) & (F.col("p_sentences") >= 4) & (F.col("p_letters") > 0) & (F.col("sentences") >= 0.9 * F.col("p_sentences"))
     usual = pairs.where(whole).groupBy("target", "p_wide").agg(F.percentile_approx(F.col("letters") / F.col("p_letters"), 0.5, 1000).alias("usual"))
     limits = spikes(pairs.where("not empty and not refusal")).withColumn("spike", F.lit(True))
     texts = pairs.where("not empty and not refusal and length(chain) > 0").groupBy("target", F.col("chain").alias("text")).agg(F.count("*").alias("n"))

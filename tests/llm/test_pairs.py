@@ -110,3 +110,10 @@ def test_both_ways_of_joining_agree(spark, data, model, monkeypatch):
     few = sorted(map(tuple, P.long_defects(*tables, model).collect()))
     monkeypatch.setattr(P, "BROADCAST_ROWS", -1)
     assert sorted(map(tuple, P.long_defects(*tables, model).collect())) == few
+
+
+def test_a_chapter_of_marks_only(spark, model):
+    jobs = spark.createDataFrame([("j", "b", "de")], "job_id string, book_id string, target_lang string")
+    chapters = spark.createDataFrame([("b", 0, page(["…", "…", "…", "…"])), ("b", 1, page(EN))], "book_id string, idx int, content binary")
+    done = spark.createDataFrame([("j", 0, "completed", page(DE)), ("j", 1, "completed", page(DE[:2]))], "job_id string, idx int, status string, content binary")
+    assert {(r["idx"], r["defect"]) for r in P.long_defects(chapters, jobs, done, model).collect()} == {(1, "truncated")}
